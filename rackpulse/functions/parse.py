@@ -118,7 +118,8 @@ def sensor_readings(text: Column | str, roles: Column | str) -> Column:
 def keyed_json(text: Column | str) -> Column:
     """Timestamp-keyed readings of a JSON text; several objects in a row merge, last key wins."""
     joined = F.regexp_replace(as_column(text), r"\}\s*\{", ",")
-    return F.from_json(joined, JSON_READINGS)
+    # Rebuilding the map drops repeated keys, which the JSON reader keeps.
+    return F.map_from_entries(F.map_entries(F.from_json(joined, JSON_READINGS)))
 
 
 def double_readings(readings: Column | str) -> Column:

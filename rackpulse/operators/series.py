@@ -22,11 +22,11 @@ def tolerance_join(
     """Pair every BMC row with the earliest host row less than the tolerance away.
 
     Both frames carry ``keys`` and a microsecond column ``t``; the result has the
-    keys and the two rows as structs ``bmc`` and ``host``. The pair satisfies
-    ``|bmc.t - drift - host.t| < tolerance`` strictly; ``tie`` orders host rows
+    keys and the two rows as structs ``bmc_row`` and ``host_row``. Their times satisfy
+    ``|bmc - drift - host| < tolerance`` strictly; ``tie`` orders host rows
     with equal time.
 
-    The earliest such host row is the first one after ``bmc.t - drift - tolerance``,
+    The earliest such host row is the first one after ``bmc - drift - tolerance``,
     so one ordered pass finds it and no candidate pairs are built. Time is cut into
     slices so that a busy host spreads over many tasks; host rows near the start
     of a slice are also given to the slice before.
@@ -36,11 +36,11 @@ def tolerance_join(
     tie = tie or []
     left = bmc.select(
         *keys, (F.col("t") - drift_us - tolerance_us).alias("_t"), F.lit(0).alias("_side"),
-        F.struct(*[c for c in bmc.columns if c not in keys]).alias("bmc"),
+        F.struct(*[c for c in bmc.columns if c not in keys]).alias("bmc_row"),
     ).withColumn("_slice", F.floor(F.col("_t") / slice_us))
     right = host.select(
         *keys, F.col("t").alias("_t"), F.lit(1).alias("_side"),
-        F.struct(*[c for c in host.columns if c not in keys]).alias("host"),
+        F.struct(*[c for c in host.columns if c not in keys]).alias("host_row"),
     )
     own = F.floor(F.col("_t") / slice_us)
     in_reach = F.col("_t") - own * slice_us < reach
@@ -51,14 +51,14 @@ def tolerance_join(
     # goes before host rows of its own time, which are exactly the tolerance away.
     backwards = (
         Window.partitionBy(*keys, "_slice")
-        .orderBy(F.desc("_t"), F.asc("_side"), *[F.desc(f"host.{c}") for c in tie])
+        .orderBy(F.desc("_t"), F.asc("_side"), *[F.desc(f"host_row.{c}") for c in tie])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     both = left.unionByName(right, allowMissingColumns=True)
     return (
-        both.withColumn("_next", F.last("host", ignorenulls=True).over(backwards))
+        both.withColumn("_next", F.last("host_row", ignorenulls=True).over(backwards))
         .where((F.col("_side") == 0) & (F.col("_next.t") < F.col("_t") + reach))
-        .select(*keys, "bmc", F.col("_next").alias("host"))
+        .select(*keys, "bmc_row", F.col("_next").alias("host_row"))
     )
 
 
@@ -109,8 +109,8 @@ def curate_samples(
     host = typed.where((F.col("kind") == "host") & valid_host_sample("readings")).drop("kind")
     joined = tolerance_join(bmc, host, keys, tolerance_us, drift_us)
     merged = joined.withColumn(
-        "readings", F.map_concat("bmc.readings", with_supply_power(F.col("host.readings")))
-    ).withColumn("bmc_ts", F.timestamp_micros("bmc.t")).withColumn("host_ts", F.timestamp_micros("host.t"))
+        "readings", F.map_concat("bmc_row.readings", with_supply_power(F.col("host_row.readings")))
+    ).withColumn("bmc_ts", F.timestamp_micros("bmc_row.t")).withColumn("host_ts", F.timestamp_micros("host_row.t"))
     unique = last_wins(merged, ["host", "wtype", "bmc_ts"], ["run_ts", "seq", "workload"])
     return spread_readings(unique)
 
