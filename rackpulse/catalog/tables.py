@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse import session
+from rackpulse.functions.hardware import bind
 from rackpulse.sources.dimensions import PRODUCT_TEMPERATURES
 
 PRODUCTS = [*PRODUCT_TEMPERATURES, "Unlisted product"]
@@ -235,7 +236,7 @@ def part_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("position"), F.col("p_brand").alias("system_product"),
         F.concat(F.lit("Vendor"), (size % 3).cast("string")).alias("system_vendor"),
         F.concat(F.lit("CPU "), F.col("p_type")).alias("cpu"), (1 + size % 2).alias("n_cpu"),
-        (2000000000 + 100000000 * (size % 7)).cast("bigint").alias("hertz"),
+        (F.lit(2 * 10**9).cast("bigint") + 10**8 * (size % 7)).alias("hertz"),
         (4 * (1 + size % 4)).cast("bigint").alias("cpu_cores"), (size % 5).alias("n_mem"),
         (F.lit(8589934592) * (1 + size % 2)).alias("bank"), (1 + size % 2).alias("n_psu"),
         (size % 4).alias("n_disk"), (1 + size % 2).alias("n_nic"), size.alias("size"),
@@ -279,7 +280,7 @@ hw AS (
   SELECT 'p' || p_partkey AS hostname, p_partkey AS position, p_brand AS system_product,
     'Vendor' || (p_size % 3) AS system_vendor, 'CPU ' || p_type AS cpu, 1 + p_size % 2 AS n_cpu,
     CAST((1 + p_size % 2) * 4 * (1 + p_size % 4) AS BIGINT) AS cores,
-    (2000000000 + 100000000 * (p_size % 7)) / 1000000000.0::DOUBLE AS ghz, p_size % 5 AS n_mem,
+    (2000000000::BIGINT + 100000000 * (p_size % 7)) / 1000000000.0::DOUBLE AS ghz, p_size % 5 AS n_mem,
     (p_size % 5) * 8.589934592::DOUBLE * (1 + p_size % 2) AS mem_gb, 1 + p_size % 2 AS n_psu,
     p_size % 4 AS n_disk, CAST((p_size % 4) * (p_size % 4 + 1) / 2 AS DOUBLE) AS disk_tb, 1 + p_size % 2 AS n_nic,
     p_size AS size, CASE p_size % 5 WHEN 0 THEN 'GP102 [TITAN Xp]' WHEN 1 THEN 'Unlisted GPU' END AS gpu,
@@ -340,7 +341,7 @@ def hardware_texts(spark: SparkSession, folder: str) -> DataFrame:
         '"><chassis><id type="mac">00:', s("p_partkey"), '</id></chassis><vlan vlan-id="', s("size"),
         '"/></interface></lldp>\n',
     ))
-    both = F.when(F.col("p_partkey") % 2 == 0, F.concat(lldp, hardware)).otherwise(F.concat(hardware, lldp))
+    both = bind(hardware, lambda h: F.when(F.col("p_partkey") % 2 == 0, F.concat(lldp, h)).otherwise(F.concat(h, lldp)))
     return part_facts(spark, folder).select("hostname", "position", both.alias("details"))
 
 

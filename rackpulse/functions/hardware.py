@@ -1,19 +1,22 @@
-"""Hardware-detail text to arrays: document split and node extraction."""
+"""Hardware-detail text to arrays: document split and node extraction.
+
+One Python step reads each document into a flat list of its nodes. The XPath
+functions of SQL were tried first; they build a parser per call, and the twenty
+calls a machine needs took about a millisecond each.
+"""
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from rackpulse.functions.status import as_column
 
-CPU = '//node[@class="processor"][contains(@id,"cpu:")]'
-BANK = '//node[contains(@id,"bank:")][@class="memory"]'
-PSU = '//node[@class="power"]'
-DISK = '//node[contains(@id,"disk")]'
-NIC = '//node[contains(@id,"network")]'
-DISPLAY = '//node[contains(@id,"display")]'
-
 # Vendors of on-board graphics that are no accelerators.
 NOT_ACCELERATORS = ("Matrox", "ASPEED")
 
@@ -21,6 +24,19 @@ NOT_ACCELERATORS = ("Matrox", "ASPEED")
 OPS_PER_CYCLE = 16
 HERTZ_PER_UNIT = 10**9
 
+_TEXT = T.StringType()
+_NODE_TEXTS = ("id", "class", "vendor", "product", "size", "size_units", "capacity", "capacity_units")
+NODES = T.ArrayType(T.StructType(
+    [T.StructField(name, _TEXT) for name in _NODE_TEXTS]
+    + [T.StructField(name, T.ArrayType(_TEXT)) for name in ("cores", "threads")]
+))
+NEIGHBOURS = T.ArrayType(T.StructType([T.StructField(name, _TEXT) for name in ("interface", "mac", "vlan")]))
+
+
+def bind(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once, however often the result uses it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
 
 def split_details(text: Column | str) -> Column:
     """Struct with the neighbour document and the hardware document of a details text.
@@ -28,137 +44,172 @@ def split_details(text: Column | str) -> Column:
     Two XML documents follow each other in either order. Each one ends at its
     first end tag or, where it has none, at the last self-closed tag.
     """
-    t = as_column(text)
-    first = F.regexp_extract(t, r"(?s)(<\?xml.*)<\?xml", 1)
-    second = F.regexp_extract(t, r"(?s)^.*(<\?xml.*)$", 1)
-    neighbours_first = F.locate("<lldp", t) < F.locate("<list", t)
-
     def document(segment: Column, tag: str) -> Column:
         full = F.regexp_extract(segment, rf"(?s)^(.*?</{tag}>)", 1)
         closed = F.regexp_extract(segment, r"(?s)^(.*/>)", 1)
-        return F.when(F.length(full) > 0, full).otherwise(closed)
+        return F.when(F.length(full) > 0, full).otherwise(closed).alias("hardware" if tag == "list" else tag)
 
-    return F.struct(
-        document(F.when(neighbours_first, first).otherwise(second), "lldp").alias("lldp"),
-        document(F.when(neighbours_first, second).otherwise(first), "list").alias("hardware"),
-    )
+    def segments(t: Column) -> Column:
+        first = F.regexp_extract(t, r"(?s)(<\?xml.*)<\?xml", 1)
+        second = F.regexp_extract(t, r"(?s)^.*(<\?xml.*)$", 1)
+        return F.when(
+            F.locate("<lldp", t) < F.locate("<list", t), F.struct(first.alias("lldp"), second.alias("list"))
+        ).otherwise(F.struct(second.alias("lldp"), first.alias("list")))
 
+    both = bind(as_column(text), segments)
+    return bind(both, lambda s: F.struct(document(s["lldp"], "lldp"), document(s["list"], "list")))
 
-def _texts(xml: Column, path: str) -> Column:
-    return F.xpath(xml, F.lit(path))
 
+def _root(document: str | None) -> ET.Element | None:
+    try:
+        return ET.fromstring(document) if document else None
+    except ET.ParseError:
+        return None
 
-def _longs(xml: Column, path: str) -> Column:
-    return F.transform(_texts(xml, path), lambda v: v.cast("bigint"))
+
+def _settings(node: ET.Element, prefix: str) -> list[str]:
+    return [s.get("value") for s in node.iter("setting") if s.get("id", "").startswith(prefix)]
+
+
+def _node_row(node: ET.Element) -> dict:
+    size, capacity = node.find("size"), node.find("capacity")
+    is_cpu = node.get("class") == "processor"
+    return {
+        "id": node.get("id", ""), "class": node.get("class"),
+        "vendor": node.findtext("vendor"), "product": node.findtext("product"),
+        "size": None if size is None else size.text, "size_units": None if size is None else size.get("units"),
+        "capacity": None if capacity is None else capacity.text,
+        "capacity_units": None if capacity is None else capacity.get("units"),
+        "cores": _settings(node, "cores") if is_cpu else [],
+        "threads": _settings(node, "threads") if is_cpu else [],
+    }
+
+
+@pandas_udf(NODES)
+def _read_nodes(documents: pd.Series) -> pd.Series:
+    roots = documents.map(_root)
+    return roots.map(lambda root: None if root is None else [_node_row(n) for n in root.iter("node")])
+
+
+def hardware_nodes(document: Column) -> Column:
+    """All nodes of a hardware document in document order; null when it cannot be read.
+
+    Declared nondeterministic so that a filter on the result does not make Spark
+    read the document a second time.
+    """
+    return _read_nodes.asNondeterministic()(document)
+
+
+@pandas_udf(NEIGHBOURS)
+def neighbours_of(documents: pd.Series) -> pd.Series:
+    """Interface, chassis id and vlan of each neighbour in each neighbour document."""
+    def links(root: ET.Element | None) -> list[dict]:
+        if root is None:
+            return []
+        rows = [
+            {"interface": i.get("name"), "mac": i.findtext("chassis/id"),
+             "vlan": None if i.find("vlan") is None else i.find("vlan").get("vlan-id")}
+            for i in root.iter("interface")
+        ]
+        return [r for r in rows if all(r.values())]
+
+    return documents.map(_root).map(links)
 
 
 def _last(values: Column) -> Column:
     return F.try_element_at(values, F.lit(-1))
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+def _longs(values: Column) -> Column:
+    return F.transform(values, lambda v: v.cast("bigint"))
+
+
+def _total(lists: Column) -> Column:
+    return F.aggregate(_longs(F.flatten(lists)), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+
+def _is_cpu(n: Column) -> Column:
+    return (n["class"] == "processor") & n["id"].contains("cpu:")
+
+
+def _is_bank(n: Column) -> Column:
+    return (n["class"] == "memory") & n["id"].contains("bank:")
 
 
-def system_of(xml: Column) -> Column:
+def system_of(nodes: Column) -> Column:
     """Vendor and product of the system node; the last one wins."""
-    return F.struct(
-        _last(_texts(xml, '//node[@class="system"]/vendor/text()')).alias("vendor"),
-        _last(_texts(xml, '//node[@class="system"]/product/text()')).alias("product"),
-    )
+    system = _last(F.filter(nodes, lambda n: n["class"] == "system"))
+    return F.struct(system["vendor"].alias("vendor"), system["product"].alias("product"))
 
 
-def processors_of(xml: Column) -> Column:
+def processors_of(nodes: Column) -> Column:
     """Core and thread totals, compute figure, vendor and product list."""
-    sized = CPU + "[size]"
-    cores = _longs(xml, sized + '//setting[starts-with(@id,"cores")]/@value')
-    threads = _longs(xml, sized + '//setting[starts-with(@id,"threads")]/@value')
-    hertz = _last(_texts(xml, sized + "/size/text()")).cast("double")
+    cpus = F.filter(nodes, _is_cpu)
+    sized = F.filter(cpus, lambda n: n["size"].isNotNull())
+    named = F.filter(cpus, lambda n: n["vendor"].isNotNull())
+    threads = _total(F.transform(sized, lambda n: n["threads"]))
+    hertz = _last(sized)["size"].cast("double")
     return F.struct(
-        _total(cores).alias("cores"),
-        _total(threads).alias("threads"),
-        (_total(threads) * (hertz / HERTZ_PER_UNIT) * OPS_PER_CYCLE).alias("mflops"),
-        _last(_texts(xml, CPU + "[vendor]/vendor/text()")).alias("vendor"),
-        _texts(xml, CPU + "[vendor]/product/text()").alias("products"),
+        _total(F.transform(sized, lambda n: n["cores"])).alias("cores"), threads.alias("threads"),
+        (threads * (hertz / HERTZ_PER_UNIT) * OPS_PER_CYCLE).alias("mflops"),
+        _last(named)["vendor"].alias("vendor"), F.transform(named, lambda n: n["product"]).alias("products"),
     )
 
 
-def memory_of(xml: Column) -> Column:
-    return _longs(xml, BANK + '/size[@units="bytes"]/text()')
+def memory_of(nodes: Column) -> Column:
+    banks = F.filter(nodes, lambda n: _is_bank(n) & n["size"].isNotNull())
+    return _longs(F.transform(banks, lambda n: n["size"]))
 
 
-def power_supplies_of(xml: Column) -> Column:
-    return _longs(xml, PSU + '/capacity[@units="mWh"]/text()')
+def power_supplies_of(nodes: Column) -> Column:
+    supplies = F.filter(nodes, lambda n: (n["class"] == "power") & n["capacity"].isNotNull())
+    return _longs(F.transform(supplies, lambda n: n["capacity"]))
 
 
-def disks_of(xml: Column) -> Column:
-    """Disks that name size, vendor and product; the predicates keep the lists aligned."""
-    disk = DISK + '[size[@units="bytes"]/text()][vendor/text()][product/text()]'
-    return F.transform(
-        F.arrays_zip(
-            _texts(xml, disk + "/vendor/text()").alias("vendor"),
-            _texts(xml, disk + "/product/text()").alias("product"),
-            _longs(xml, disk + "/size/text()").alias("size"),
-        ),
-        lambda d: F.struct(
-            d["vendor"].alias("vendor"), d["product"].alias("product"), d["size"].alias("size")
-        ),
+def _named(nodes: Column, part: str) -> Column:
+    return F.filter(
+        nodes, lambda n: n["id"].contains(part) & n["vendor"].isNotNull() & n["product"].isNotNull()
     )
 
 
-def _vendor_products(xml: Column, node: str) -> Column:
-    named = node + "[vendor/text()][product/text()]"
-    return F.transform(
-        F.arrays_zip(
-            _texts(xml, named + "/vendor/text()").alias("vendor"),
-            _texts(xml, named + "/product/text()").alias("product"),
-        ),
-        lambda d: F.struct(d["vendor"].alias("vendor"), d["product"].alias("product")),
-    )
+def disks_of(nodes: Column) -> Column:
+    """Disks that name size, vendor and product."""
+    disks = F.filter(_named(nodes, "disk"), lambda n: n["size"].isNotNull())
+    return F.transform(disks, lambda n: F.struct(
+        n["vendor"].alias("vendor"), n["product"].alias("product"), n["size"].cast("bigint").alias("size")
+    ))
 
 
-def nics_of(xml: Column) -> Column:
-    return _vendor_products(xml, NIC)
+def nics_of(nodes: Column) -> Column:
+    return F.transform(_named(nodes, "network"), lambda n: F.struct(
+        n["vendor"].alias("vendor"), n["product"].alias("product")
+    ))
 
 
-def accelerators_of(xml: Column, gpu_units: dict[str, int]) -> Column:
+def accelerators_of(nodes: Column, gpu_units: dict[str, int]) -> Column:
     """Display nodes that are no on-board graphics, with their compute figure (0 if unlisted)."""
     units = F.create_map(*(F.lit(x) for pair in gpu_units.items() for x in pair))
-    kept = F.filter(
-        _vendor_products(xml, DISPLAY),
-        lambda d: ~d["vendor"].rlike("|".join(NOT_ACCELERATORS)),
-    )
-    return F.transform(
-        kept,
-        lambda d: F.struct(
-            d["vendor"].alias("vendor"), d["product"].alias("product"),
-            F.coalesce(F.try_element_at(units, d["product"]), F.lit(0)).cast("bigint").alias("mflops"),
-        ),
-    )
+    kept = F.filter(_named(nodes, "display"), lambda n: ~n["vendor"].rlike("|".join(NOT_ACCELERATORS)))
+    return F.transform(kept, lambda n: F.struct(
+        n["vendor"].alias("vendor"), n["product"].alias("product"),
+        F.coalesce(F.try_element_at(units, n["product"]), F.lit(0)).cast("bigint").alias("mflops"),
+    ))
 
 
-def unit_error(xml: Column) -> Column:
-    """Why a hardware document must be rejected, or null: a size in an unexpected unit."""
-    def has(path: str) -> Column:
-        return F.xpath_boolean(xml, F.lit(path))
+def document_error(nodes: Column) -> Column:
+    """Why a hardware document must be rejected, or null."""
+    def other_unit(n: Column, field: str, unit: str) -> Column:
+        return n[field].isNotNull() & F.coalesce(n[f"{field}_units"] != unit, F.lit(True))
 
     return (
-        F.when(has(BANK + '/size[not(@units="bytes")]'), "memory size not in bytes")
-        .when(has(PSU + '/capacity[not(@units="mWh")]'), "power capacity not in mWh")
-        .when(has(DISK + '/size[not(@units="bytes")]'), "disk size not in bytes")
-    )
-
-
-def neighbours_of(lldp_xml: Column) -> Column:
-    """Interface, chassis id and vlan of each neighbour in the neighbour document."""
-    node = "//interface[@name][chassis/id/text()][vlan/@vlan-id]"
-    return F.transform(
-        F.arrays_zip(
-            _texts(lldp_xml, node + "/@name").alias("interface"),
-            _texts(lldp_xml, node + "/chassis/id[1]/text()").alias("mac"),
-            _texts(lldp_xml, node + "/vlan[1]/@vlan-id").alias("vlan"),
-        ),
-        lambda d: F.struct(
-            d["interface"].alias("interface"), d["mac"].alias("mac"), d["vlan"].alias("vlan")
-        ),
+        F.when(nodes.isNull(), "document not readable")
+        .when(F.exists(nodes, lambda n: _is_bank(n) & other_unit(n, "size", "bytes")), "memory size not in bytes")
+        .when(
+            F.exists(nodes, lambda n: (n["class"] == "power") & other_unit(n, "capacity", "mWh")),
+            "power capacity not in mWh",
+        )
+        .when(
+            F.exists(nodes, lambda n: n["id"].contains("disk") & other_unit(n, "size", "bytes")),
+            "disk size not in bytes",
+        )
     )

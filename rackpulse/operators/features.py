@@ -15,6 +15,7 @@ from rackpulse.operators.ranking import (
     hash_slice, rank_in_group, shuffled_order, slice_offsets, value_positions,
 )
 from rackpulse.operators.skew import salted_join
+from rackpulse.session import materialise
 
 # Features that stay even when their correlation is undefined.
 ALWAYS_KEPT = ("power", "cpu_power", "inlet_temp", "util", "load")
@@ -225,14 +226,16 @@ def spearman_with_label(df: DataFrame, features: list[str], label: str) -> DataF
     """Rank correlation of each feature with the label, ties at their mean rank.
 
     Works on distinct (feature, value, label) combinations with their frequency,
-    so repeated values are counted once and no column is sorted in one task.
+    so repeated values are counted once and no column is sorted in one task. They
+    are written once, since four later steps read them.
     """
     numbers = df.select(
         F.col(label).cast("double").alias("y"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]
     )
-    pairs = (
+    pairs = materialise(
         numbers.unpivot(["y"], [f"`{f}`" for f in features], "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+        .groupBy("feature", "x", "y").agg(F.count("*").alias("n")),
+        "rank-pairs",
     )
 
     def mean_ranks(value: str, out: str) -> DataFrame:
@@ -240,8 +243,8 @@ def spearman_with_label(df: DataFrame, features: list[str], label: str) -> DataF
         placed = value_positions(counts, ["feature"], value, "_n")
         return placed.select("feature", value, (F.col("before") + (F.col("_n") + 1) / 2).alias(out))
 
-    ranked = salted_join(pairs, mean_ranks("x", "rx"), ["feature", "x"], ["y"])
-    ranked = salted_join(ranked, mean_ranks("y", "ry"), ["feature", "y"], ["x"])
+    # Both sides may be large, so the split of a frequent value is left to adaptive execution.
+    ranked = pairs.join(mean_ranks("x", "rx"), ["feature", "x"]).join(mean_ranks("y", "ry"), ["feature", "y"])
     # The mean of all ranks is (N + 1) / 2 with or without ties.
     totals = pairs.groupBy("feature").agg(((F.sum("n") + 1) / 2).alias("_mid"))
     centred = salted_join(ranked, totals, ["feature"], ["x", "y"])

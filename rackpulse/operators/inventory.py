@@ -100,13 +100,12 @@ def curate_machines(
 ) -> tuple[DataFrame, DataFrame]:
     """Curated machines and rejected ones.
 
-    ``details`` holds ``hostname`` and the details text. A document with a size in
-    an unexpected unit goes to the rejects with the reason.
+    ``details`` holds ``hostname`` and the details text. A document that cannot be
+    read or has a size in an unexpected unit goes to the rejects with the reason.
     """
     joined = inventory_machines(machines, commissioning_too=True).join(details, "hostname")
-    parsed = joined.withColumn("xml", hw.split_details("details")["hardware"])
-    # Every use of the document parses it anew, so the reason is computed only for rejects.
-    checked = parsed.withColumn("reason", hw.unit_error(F.col("xml")))
+    parsed = joined.withColumn("xml", hw.hardware_nodes(hw.split_details("details")["hardware"])).drop("details")
+    checked = parsed.withColumn("reason", hw.document_error(F.col("xml")))
     rejects = checked.where("reason IS NOT NULL").select("hostname", "reason")
     xml = F.col("xml")
     nodes = checked.where("reason IS NULL").select(
@@ -244,9 +243,10 @@ def part_counts(values: DataFrame) -> DataFrame:
 
 def n_hot(values: Column, words: list[str], prefix: str) -> list[Column]:
     """One count column per vocabulary word."""
-    return [
-        F.size(F.filter(values, lambda v, w=w: v == F.lit(w))).alias(f"{prefix}{w}") for w in words
-    ]
+    def count_of(word: str) -> Column:
+        return F.size(F.filter(values, lambda v: v == F.lit(word)))
+
+    return [count_of(word).alias(f"{prefix}{word}") for word in words]
 
 
 def static_features(
@@ -268,10 +268,11 @@ def static_features(
             codes = dictionary.where(F.col("attribute") == attribute).select(
                 F.col("value").alias("_value"), F.col("code").alias(f"_{attribute}")
             )
-            df = salted_join(
-                df.withColumn("_value", F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(""))),
-                codes, ["_value"], ["hostname"], "left",
-            ).drop("_value")
+            df = df.withColumn("_value", F.coalesce(F.try_element_at(values, F.lit(1)), F.lit("")))
+            if attribute == "hostname":  # one machine per value, nothing to spread
+                df = df.join(codes, "_value", "left").drop("_value")
+            else:
+                df = salted_join(df, codes, ["_value"], ["hostname"], "left").drop("_value")
             columns.append(F.col(f"_{attribute}").alias(
                 "hostname_code" if attribute == "hostname" else attribute
             ))

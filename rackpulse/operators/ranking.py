@@ -54,9 +54,13 @@ def rank_in_group(
     )
 
 
-def _ordered_key(value: Column) -> Column:
-    """Value on a signed log scale, so outliers do not crowd the others into one slice."""
-    return F.signum(value) * F.log1p(F.abs(value))
+def value_slice(value: Column) -> Column:
+    """Slice of a number: steps of about 1/4096 of its size on a signed log scale.
+
+    A function of the value alone, so it needs no pass over the data, and outliers
+    do not crowd the other values into one slice.
+    """
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096).cast("int")
 
 
 def value_positions(
@@ -64,17 +68,13 @@ def value_positions(
 ) -> DataFrame:
     """Rows before each distinct value (``before``) and in its group (``total``).
 
-    ``counts`` holds one row per group and distinct value with its frequency.
+    ``counts`` holds one row per group and distinct value with its frequency, so a
+    slice holds each value once however often it occurs.
     """
-    keyed = counts.withColumn("_key", _ordered_key(F.col(value)))
-    bounds = keyed.groupBy(*group).agg(
-        F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.sum(weight).alias("total")
-    )
-    bucket = F.width_bucket(F.col("_key"), F.col("_low"), F.col("_high"), F.lit(SLICES))
-    sliced = keyed.join(bounds, group).withColumn(
-        "_slice", F.when(F.col("_low") == F.col("_high"), F.lit(0)).otherwise(bucket).cast("int")
-    )
-    offsets = slice_offsets(sliced, group, weight=F.col(weight)).drop("_size")
+    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
+    offsets = slice_offsets(sliced, group, weight=F.col(weight)).withColumn(
+        "total", F.sum("_size").over(Window.partitionBy(*group))
+    ).drop("_size")
     inside = (
         Window.partitionBy(*group, "_slice").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +82,7 @@ def value_positions(
     return (
         sliced.join(offsets, [*group, "_slice"])
         .withColumn("before", F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_before"))
-        .drop("_key", "_low", "_high", "_slice", "_before")
+        .drop("_slice", "_before")
     )
 
 

@@ -10,6 +10,7 @@ from rackpulse.functions.parse import double_readings, micros
 from rackpulse.functions.status import all_of, not_negative
 from rackpulse.operators.skew import last_wins
 from rackpulse.schemas import SAMPLE_COLUMNS
+from rackpulse.session import prepare
 
 SECOND = 1_000_000
 SLICE_SECONDS = 600
@@ -101,6 +102,7 @@ def curate_samples(
     readings replace BMC readings of the same name. When several runs yield the
     same host and BMC time the highest run stamp and sequence wins.
     """
+    prepare(samples.sparkSession)
     keys = ["run_ts", "seq", "host", "workload", "wtype"]
     typed = samples.select(
         *keys, "kind", micros("ts").alias("t"), double_readings("readings").alias("readings")

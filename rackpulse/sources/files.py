@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rackpulse import schemas
 from rackpulse.functions.parse import WORKLOADS, host_bucket, keyed_json, sample_file_fields
+from rackpulse.session import prepare
 
 
 def machines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +70,7 @@ def samples(
     spark: SparkSession, path: str, workloads: tuple[str, ...] = WORKLOADS
 ) -> DataFrame:
     """Raw samples: file name fields and the timestamp-keyed readings as rows."""
-    text = spark.read.option("pathGlobFilter", "*_*_*-*_data.json").text(path, wholetext=True)
+    text = prepare(spark).read.option("pathGlobFilter", "*_*_*-*_data.json").text(path, wholetext=True)
     named = text.select(
         sample_file_fields(F.col("_metadata.file_name"), workloads).alias("f"), "value"
     ).where("f IS NOT NULL")
@@ -126,7 +127,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def benchmark_result(spark: SparkSession, path: str) -> DataFrame:
     """Host samples of a benchmark run kept as one timestamp-keyed JSON text per host."""
-    text = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    text = prepare(spark).read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     rows = text.select(
         F.col("_metadata.file_name").alias("file"), F.explode(keyed_json("value")).alias("ts", "readings")
     )

@@ -9,6 +9,7 @@ from rackpulse.functions import parse
 from rackpulse.functions.status import ERROR, UNKNOWN, util_flag
 from rackpulse.operators.inventory import bmc_access, inband_access
 from rackpulse.operators.series import reading
+from rackpulse.session import prepare
 from rackpulse.sources.dimensions import bare_oid, sensor_profiles, ups_oids
 
 
@@ -44,7 +45,7 @@ def bmc_readings(dumps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Expects ``product``, ``dcmi_text`` and ``sensor_text``.
     """
-    profiles = sensor_profiles(dumps.sparkSession)
+    profiles = sensor_profiles(prepare(dumps.sparkSession))
     joined = dumps.join(profiles, "product", "left")
     rejects = joined.where("family IS NULL").select(*dumps.columns)
     known = joined.where("family IS NOT NULL")
@@ -59,6 +60,7 @@ def bmc_readings(dumps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_util_flag(samples: DataFrame) -> DataFrame:
     """Host samples with the utilisation flag derived from their CPU load."""
+    prepare(samples.sparkSession)
     load = reading("readings", "cpuload_total").try_cast("double")
     flag = F.create_map(F.lit("util"), util_flag(load).cast("string"))
     return samples.withColumn("readings", F.map_concat("readings", flag))
@@ -66,6 +68,7 @@ def with_util_flag(samples: DataFrame) -> DataFrame:
 
 def open_bmc_samples(texts: DataFrame, text: str = "text") -> DataFrame:
     """Readings of an open controller: JSON objects in a row; blank text gives no rows."""
+    prepare(texts.sparkSession)
     keys = [c for c in texts.columns if c != text]
     rows = texts.where(~F.trim(text).isin("", "\n")).select(
         *keys, F.explode(parse.keyed_json(text)).alias("key", "readings")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rackpulse import schemas
 from rackpulse.functions.parse import WORKLOADS, keyed_json, sample_file_fields
+from rackpulse.session import prepare
 from rackpulse.sources.readings import bmc_readings, with_util_flag
 
 
@@ -18,7 +19,7 @@ def sample_stream(
     spark: SparkSession, folder: str, workloads: tuple[str, ...] = WORKLOADS, files_per_batch: int = 1000
 ) -> DataFrame:
     """Host and BMC samples of timestamp-keyed JSON files as they arrive."""
-    text = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    text = prepare(spark).readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
     named = text.select(
         sample_file_fields(F.col("_metadata.file_name"), workloads).alias("f"), "value"
     ).where("f IS NOT NULL")
