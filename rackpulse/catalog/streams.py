@@ -1 +1,91 @@
-QUERIES = {}
+"""Streaming queries, run to the end over the files present."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rackpulse.catalog import tables as t
+from rackpulse.catalog.series import POLL_ROLLUP, shaped_rollup
+from rackpulse.catalog.tables import MEASURES, fixed, sql_fixed
+from rackpulse.functions.parse import micros
+from rackpulse.operators.series import SECOND
+from rackpulse.session import prepare, scratch_path
+from rackpulse.streaming.joins import tolerance_join_stream
+from rackpulse.streaming.rollups import aligned_stream, poll_status
+from rackpulse.streaming.sinks import run_available
+
+WINDOW_HOURS = 6
+
+
+def _event_stream(spark, d):
+    """Events as a file stream of their parquet table."""
+    schema = t.read(spark, d, "events").schema
+    files = prepare(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _measure_stream(spark, d):
+    """Load and power measures of the event stream, by the rules of the batch view."""
+    kind, n, v = F.col("event_type"), F.col("event_id"), F.col("value")
+    coded = F.when(n % 50 == 0, -3.0).when(n % 50 == 1, -2.0).when(n % 50 == 2, -1.0).when(n % 50 == 3, 0.0)
+    is_load = kind.isin("click", "view")
+    load = F.when(v < 25, 0.02).otherwise(v / 10)
+    return _event_stream(spark, d).where(is_load | (kind == "purchase")).select(
+        F.when(is_load, "load_avg").otherwise("pwr_consumption").alias("measurement"),
+        F.create_map(F.lit("host"), F.col("user_id").cast("string")).alias("tags"),
+        F.col("ts").alias("time"), F.coalesce(coded, F.when(is_load, load).otherwise(v)).alias("value"),
+    )
+
+
+def stream_poll_rollup(spark, d):
+    """Poll counters of the windows the watermark has closed."""
+    rolled = poll_status(_measure_stream(spark, d), f"{WINDOW_HOURS} hours")
+    return shaped_rollup(run_available(rolled, "poll-rollup", scratch_path(spark, "poll-rollup")))
+
+
+_CLOSED = """(SELECT epoch_us(max(ts)) FROM m WHERE metric IN ('load_avg', 'Pwr Consumption')) - 600000000"""
+STREAM_ROLLUP = f"{POLL_ROLLUP} HAVING epoch_us(poll) + {WINDOW_HOURS * 3600 * SECOND} <= {_CLOSED}"
+
+
+def stream_aligned(spark, d):
+    """Last value of each closed hour per measurement."""
+    rows = aligned_stream(_measure_stream(spark, d), ["measurement"], "time", "value", 3600)
+    table = run_available(rows, "aligned", scratch_path(spark, "aligned"))
+    return table.select("measurement", micros("window_start").alias("window_us"), fixed("value").alias("value"), "n")
+
+
+STREAM_ALIGNED = f"""
+WITH {MEASURES}
+SELECT CASE metric WHEN 'load_avg' THEN 'load_avg' ELSE 'pwr_consumption' END AS measurement,
+  epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, {sql_fixed('arg_max(value, ts)')} AS value, count(*) AS n
+FROM m WHERE metric IN ('load_avg', 'Pwr Consumption') GROUP BY 1, 2
+HAVING epoch_us(time_bucket(INTERVAL '1 hour', any_value(ts))) + {3600 * SECOND} <= {_CLOSED}"""
+
+
+def stream_tolerance_join(spark, d):
+    """Views paired with clicks of the same user within six hours, as the stream closes each day."""
+    side = lambda kind: _event_stream(spark, d).where(F.col("event_type") == kind).select(
+        F.col("user_id").cast("string").alias("host"), "ts", F.col("event_id").cast("string").alias("payload")
+    )
+    pairs = tolerance_join_stream(
+        side("view"), side("click"), 6 * 3600 * SECOND, 5 * SECOND, slice_seconds=86400, lateness="10 minutes"
+    )
+    table = run_available(pairs, "pairs", scratch_path(spark, "pairs"))
+    return table.select(F.col("bmc").cast("bigint").alias("bmc_id"), F.col("sample").cast("bigint").alias("host_id"))
+
+
+_TOL, _DRIFT, _DAY = 6 * 3600 * SECOND, 5 * SECOND, 86400 * SECOND
+_SLICE_END = f"(CAST(floor((epoch_us(a.ts) - {_DRIFT + _TOL}) / {_DAY}.0) AS BIGINT) + 1) * {_DAY}"
+STREAM_JOIN = f"""
+SELECT a.event_id AS bmc_id, arg_min(b.event_id, b.ts) AS host_id
+FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - {_DRIFT} - epoch_us(b.ts)) < {_TOL}
+WHERE a.event_type = 'view' AND b.event_type = 'click'
+  AND ({_SLICE_END} + {3 * _TOL + _DRIFT}) // 1000 + 1
+    <= (SELECT epoch_us(max(ts)) // 1000 FROM events WHERE event_type IN ('view', 'click')) - 600000
+GROUP BY 1"""
+
+QUERIES = {
+    "stream_poll_rollup": (stream_poll_rollup, STREAM_ROLLUP),
+    "stream_aligned_samples": (stream_aligned, STREAM_ALIGNED),
+    "stream_tolerance_join": (stream_tolerance_join, STREAM_JOIN),
+}
