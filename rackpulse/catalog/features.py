@@ -247,8 +247,8 @@ UNION ALL SELECT 'flat', CAST(NULL AS DOUBLE)"""
 def usable_features(spark, d):
     """Features left after those without a defined correlation go; some always stay."""
     rows = _lines(spark, d).withColumn("inlet_temp", F.lit(20.0))
-    names = feat.usable_features(rows, ["l_quantity", "l_tax", "flat", "inlet_temp"], "l_extendedprice")
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+    facts = feat.training_facts(rows, ["l_quantity", "l_tax", "flat", "inlet_temp"], "l_extendedprice")
+    return spark.createDataFrame([(n,) for n in facts.features], "feature string")
 
 
 USABLE = """

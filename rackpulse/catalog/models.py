@@ -186,6 +186,8 @@ def _named_vectors(spark, d):
 def _classifier(method: str):
     def run(spark, d):
         rows, names = _named_vectors(spark, d)
+        if method in ("dt", "rf"):  # the table is one file, and trees grow per partition
+            rows = rows.repartition(spark.sparkContext.defaultParallelism)
         model = estimators.fit(rows, "multi", method, names, "label")
         return evaluate.outcome_counts(model.transform(rows), "label", "prediction")
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.models.fourier import RandomFourierFeatures
 from rackpulse.operators import neighbours
+from rackpulse.operators.features import TrainingFacts, training_facts
 
 CLASSIFIERS = ("lor", "nbc", "dt", "rf", "knn")
 REGRESSORS = ("lir", "rir", "knnr", "svr_lin", "svr_poly", "svr_rbf")
@@ -58,15 +59,13 @@ def _stages(ctype: str, method: str, n_features: int, label: str, n_rows: int, l
         logistic = LogisticRegression(
             labelCol=label, regParam=1.0 / (LOGISTIC_C * max(n_rows, 1)), standardization=False
         )
-        return [logistic if ctype == "binary" else OneVsRest(classifier=logistic, labelCol=label)]
+        return [logistic if ctype == "binary" else OneVsRest(classifier=logistic, labelCol=label, parallelism=4)]
     if method == "nbc":
         return [NaiveBayes(labelCol=label, modelType="gaussian")]
     if method == "dt":
         return [DecisionTreeClassifier(labelCol=label, seed=SEED, maxDepth=MAX_TREE_DEPTH, maxBins=TREE_BINS)]
     if method == "rf":
-        return [RandomForestClassifier(
-            labelCol=label, seed=SEED, numTrees=TREES, maxDepth=MAX_TREE_DEPTH, maxBins=TREE_BINS
-        )]
+        return [RandomForestClassifier(labelCol=label, seed=SEED, numTrees=TREES, maxDepth=MAX_TREE_DEPTH)]
     if method == "lir":
         return [LinearRegression(labelCol=label, solver="normal")]
     if method == "rir":
@@ -147,14 +146,16 @@ def _with_id(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def fit(df: DataFrame, ctype: str, method: str, features: list[str], label: str):
-    """Fit one method on a training frame."""
+def fit(
+    df: DataFrame, ctype: str, method: str, features: list[str], label: str, facts: TrainingFacts | None = None
+):
+    """Fit one method on a training frame; ``facts`` saves the pass that finds them."""
     check_method(ctype, method)
     if method in ("knn", "knnr"):
         k = NEIGHBOURS_REG if method == "knnr" else NEIGHBOURS_CLASS
         return NeighbourModel(_with_id(df, features), features, label, k, method == "knnr")
-    facts = df.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("sd")).first()
-    stages = _stages(ctype, method, len(features), label, facts["n"], float(facts["sd"] or 0.0))
+    facts = facts or training_facts(df, features, label)
+    stages = _stages(ctype, method, len(features), label, facts.n_rows, facts.label_deviation)
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     return FittedModel(Pipeline(stages=[assembled, *stages]).fit(df), features, label)
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.models import estimators
 from rackpulse.operators import evaluate, features as feat
+from rackpulse.operators.skew import salted_join
+from rackpulse.session import scratch_path
 
 RESULT = (
     "part string, hwconfig string, experiment int, status string, metric string, "
@@ -79,52 +82,47 @@ def predictions(scored: DataFrame) -> DataFrame:
 
 
 def train(samples: DataFrame, task: Task, seed: int = 0):
-    """Fitted model and its training frame, or None when a class has no samples."""
+    """Fitted model and its cached training frame, or None when a class has no samples."""
     estimators.check_method(task.ctype, task.method)
     chosen = _numbers(training_set(samples, task, seed), task).cache()
-    if chosen.isEmpty():
+    facts = feat.training_facts(chosen, list(task.features), task.label)
+    if facts.n_rows == 0:
         chosen.unpersist()
         return None
-    usable = feat.usable_features(chosen, list(task.features), task.label)
-    return estimators.fit(chosen, task.ctype, task.method, usable, task.label), chosen
+    return estimators.fit(chosen, task.ctype, task.method, facts.features, task.label, facts), chosen
 
 
-def _tagged(rows: DataFrame, part: str, group: str | None, experiment: int) -> DataFrame:
-    return rows.select(
-        F.lit(part).alias("part"), F.lit(group).cast("string").alias("hwconfig"),
-        F.lit(experiment).alias("experiment"), F.lit("ok").alias("status"), "metric", "actual", "predicted", "value",
-    )
+def _skipped(part: str, group: str | None, experiment: int) -> tuple:
+    return (part, group, experiment, "skipped", "accuracy", None, None, None)
 
 
 def run_one(
-    spark: SparkSession, train_samples: DataFrame, test_samples: DataFrame | None, task: Task,
-    group: str | None, experiment: int,
-) -> tuple[list, object | None]:
+    train_samples: DataFrame, test_samples: DataFrame | None, task: Task, group: str | None, experiment: int
+) -> tuple[list[tuple], object | None]:
     """Result rows of one experiment (a bounded number) and its model.
 
-    The score of a fitted model and the run times are part of the rows. A
-    training set with an empty class gives one row marked skipped.
+    Fit and prediction times are rows too. A training set with an empty class, or
+    a test set without rows, gives one row marked skipped.
     """
     started = time.monotonic()
     fitted = train(train_samples, task, task.seed + experiment)
     if fitted is None:
-        return [("train", group, experiment, "skipped", "accuracy", None, None, None)], None
+        return [_skipped("train", group, experiment)], None
     model, chosen = fitted
     rows = [("train", group, experiment, "ok", "fit_seconds", None, None, time.monotonic() - started)]
 
     def score(part: str, df: DataFrame) -> None:
         begin = time.monotonic()
-        scored = model.transform(df)
-        rows.extend(map(tuple, _tagged(metrics(scored, task, len(model.features)), part, group, experiment).collect()))
+        found = metrics(model.transform(df), task, len(model.features)).collect()
+        if all(r["value"] is None for r in found):
+            rows.append(_skipped(part, group, experiment))
+            return
+        rows.extend((part, group, experiment, "ok", *r) for r in found)
         rows.append((part, group, experiment, "ok", "predict_seconds", None, None, time.monotonic() - begin))
 
     score("train", chosen)
     if test_samples is not None:
-        kept = _numbers(test_set(test_samples, task), task)
-        if kept.isEmpty():
-            rows.append(("test", group, experiment, "skipped", "accuracy", None, None, None))
-        else:
-            score("test", kept)
+        score("test", _numbers(test_set(test_samples, task), task))
     chosen.unpersist()
     return rows, model
 
@@ -134,7 +132,6 @@ def by_machine_lists(
     n_experiments: int = 1, test_source: DataFrame | None = None,
 ) -> DataFrame:
     """Experiments on given training and test machines (frames with a ``host`` column)."""
-    spark = samples.sparkSession
     chosen = samples.join(train_hosts.select("host"), "host", "left_semi")
     tested = None
     if test_hosts is not None:
@@ -142,32 +139,57 @@ def by_machine_lists(
         tested = source.join(test_hosts.select("host"), "host", "left_semi")
     rows: list = []
     for i in range(n_experiments):
-        rows += run_one(spark, chosen, tested, task, None, i)[0]
-    return spark.createDataFrame(rows, RESULT)
+        rows += run_one(chosen, tested, task, None, i)[0]
+    return samples.sparkSession.createDataFrame(rows, RESULT)
 
 
 def by_hardware_group(
     samples: DataFrame, members: DataFrame, task: Task, n_experiments: int = 1, selection: str = "random",
+    at_once: int = 4,
 ) -> DataFrame:
     """Experiments per hardware group, each with its own split of the group's machines.
 
-    ``members`` has hwconfig, hostname and position. The driver only walks the list
-    of groups; rows and machines stay distributed.
+    ``members`` has hwconfig, hostname and position. All groups are split and
+    written by group and part in one pass, so a group's fit reads only its own
+    files. The driver holds the list of groups; ``at_once`` of them are fitted together.
     """
     spark = samples.sparkSession
-    groups = [r["hwconfig"] for r in members.select("hwconfig").distinct().orderBy("hwconfig").collect()]
+    numbered = hardware_numbers(members)
+    groups = {r["code"]: r["hwconfig"] for r in numbered.collect()}
+    coded = members.join(numbered, "hwconfig")
+    spread = [f"`{c}`" for c in samples.columns if c != "host"]
     rows: list = []
-    for group in groups:
-        mine = members.where(F.col("hwconfig") == F.lit(group))
-        for i in range(n_experiments):
-            split = feat.machine_split(mine, "hwconfig", "hostname", "position", selection, task.seed + i)
-            parts = split.select(F.col("hostname").alias("host"), "part")
-            of = lambda p: samples.join(parts.where(F.col("part") == p), "host", "left_semi")
-            test = of("test")
-            rows += run_one(spark, of("train"), None if test.isEmpty() else test, task, group, i)[0]
+    for i in range(n_experiments):
+        split = feat.machine_split(coded, "code", "hostname", "position", selection, task.seed + i)
+        parts = split.select(F.col("hostname").alias("host"), "code", "part")
+        path = scratch_path(spark, "experiment")
+        salt = F.pmod(F.xxhash64(*spread), F.lit(8))
+        salted_join(samples, parts, ["host"], spread).repartition("code", "part", salt).write.partitionBy(
+            "code", "part"
+        ).parquet(path)
+        stored = spark.read.parquet(path)
+        tested = {r["code"] for r in parts.where("part = 'test'").select("code").distinct().collect()}
+
+        def run(code: int, stored=stored, tested=tested, i=i) -> list[tuple]:
+            of = lambda part: stored.where(
+                (F.col("code") == code) & (F.col("part") == part)
+            ).drop("code", "part")
+            return run_one(of("train"), of("test") if code in tested else None, task, groups[code], i)[0]
+
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            for found in pool.map(run, sorted(groups)):
+                rows += found
     return spark.createDataFrame(rows, RESULT)
 
 
+def hardware_numbers(members: DataFrame) -> DataFrame:
+    """A number per hardware group, by name; groups are far fewer than machines."""
+    names = members.select("hwconfig").distinct().orderBy("hwconfig").collect()
+    return members.sparkSession.createDataFrame(
+        [(r["hwconfig"], i) for i, r in enumerate(names)], "hwconfig string, code int"
+    )
+
+
 def medians(results: DataFrame) -> DataFrame:
     """Median of each figure over the experiments of a group."""
     return evaluate.experiment_medians(

@@ -254,11 +254,26 @@ def spearman_with_label(df: DataFrame, features: list[str], label: str) -> DataF
     ).orderBy(F.desc_nulls_last("corr"), "feature")
 
 
-def usable_features(df: DataFrame, features: list[str], label: str) -> list[str]:
-    """Features whose correlation with the label is defined, plus the ones always kept."""
+@dataclass(frozen=True)
+class TrainingFacts:
+    """Size of a training set, spread of its label and the features worth using."""
+
+    n_rows: int
+    label_deviation: float
+    features: list[str]
+
+
+def training_facts(df: DataFrame, features: list[str], label: str) -> TrainingFacts:
+    """One pass over a training set.
+
+    A feature is used when its correlation with the label is defined, that is when
+    neither is constant; a few are always used.
+    """
     names = [*features, label]
-    bounds = df.agg(*[
-        F.struct(F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high")).alias(c) for c in names
-    ]).first()
-    varies = {c: bounds[c]["low"] is not None and bounds[c]["low"] != bounds[c]["high"] for c in names}
-    return [f for f in features if (varies[f] and varies[label]) or f in ALWAYS_KEPT]
+    row = df.agg(
+        F.count("*").alias("_n"), F.stddev_pop(f"`{label}`").alias("_sd"),
+        *[F.struct(F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high")).alias(c) for c in names],
+    ).first()
+    varies = {c: row[c]["low"] is not None and row[c]["low"] != row[c]["high"] for c in names}
+    usable = [f for f in features if (varies[f] and varies[label]) or f in ALWAYS_KEPT]
+    return TrainingFacts(row["_n"], float(row["_sd"] or 0.0), usable)
