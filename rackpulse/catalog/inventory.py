@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rackpulse.catalog import tables as t
 from rackpulse.catalog.tables import PART_VALUES, PARTS, fixed, sql_fixed
 from rackpulse.operators import inventory as inv
+from rackpulse.session import materialise
 
 # -- hardware texts --------------------------------------------------------------
 
@@ -113,7 +114,7 @@ def part_counts(spark, d):
 
 def _features(spark, d, encodings):
     machines = t.curated_parts(spark, d)
-    dictionary = inv.label_dictionary(inv.attribute_values(machines))
+    dictionary = materialise(inv.label_dictionary(inv.attribute_values(machines)), "dictionary")
     return inv.static_features(machines, dictionary, encodings)
 
 

@@ -68,20 +68,21 @@ def stream_tolerance_join(spark, d):
         F.col("user_id").cast("string").alias("host"), "ts", F.col("event_id").cast("string").alias("payload")
     )
     pairs = tolerance_join_stream(
-        side("view"), side("click"), 6 * 3600 * SECOND, 5 * SECOND, slice_seconds=86400, lateness="10 minutes"
+        side("view"), side("click"), 6 * 3600 * SECOND, 5 * SECOND, slice_seconds=86400, lateness_seconds=600
     )
     table = run_available(pairs, "pairs", scratch_path(spark, "pairs"))
     return table.select(F.col("bmc").cast("bigint").alias("bmc_id"), F.col("sample").cast("bigint").alias("host_id"))
 
 
 _TOL, _DRIFT, _DAY = 6 * 3600 * SECOND, 5 * SECOND, 86400 * SECOND
+_DELAY = (600 + 1) * SECOND + 3 * _TOL + _DRIFT
 _SLICE_END = f"(CAST(floor((epoch_us(a.ts) - {_DRIFT + _TOL}) / {_DAY}.0) AS BIGINT) + 1) * {_DAY}"
+_NEWEST = f"""(SELECT max(epoch_us(ts) - CASE event_type WHEN 'view' THEN {_DRIFT + _TOL} ELSE 0 END)
+  FROM events WHERE event_type IN ('view', 'click'))"""
 STREAM_JOIN = f"""
 SELECT a.event_id AS bmc_id, arg_min(b.event_id, b.ts) AS host_id
 FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - {_DRIFT} - epoch_us(b.ts)) < {_TOL}
-WHERE a.event_type = 'view' AND b.event_type = 'click'
-  AND ({_SLICE_END} + {3 * _TOL + _DRIFT}) // 1000 + 1
-    <= (SELECT epoch_us(max(ts)) // 1000 FROM events WHERE event_type IN ('view', 'click')) - 600000
+WHERE a.event_type = 'view' AND b.event_type = 'click' AND {_SLICE_END} <= ({_NEWEST} // 1000 * 1000) - {_DELAY}
 GROUP BY 1"""
 
 QUERIES = {

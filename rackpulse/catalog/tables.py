@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse import session
-from rackpulse.functions.hardware import bind
+from rackpulse.functions.status import bind
 from rackpulse.sources.dimensions import PRODUCT_TEMPERATURES
 
 PRODUCTS = [*PRODUCT_TEMPERATURES, "Unlisted product"]

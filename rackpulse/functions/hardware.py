@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from rackpulse.functions.status import as_column
+from rackpulse.functions.status import as_column, bind
 
 # Vendors of on-board graphics that are no accelerators.
 NOT_ACCELERATORS = ("Matrox", "ASPEED")
@@ -33,11 +33,6 @@ NODES = T.ArrayType(T.StructType(
 NEIGHBOURS = T.ArrayType(T.StructType([T.StructField(name, _TEXT) for name in ("interface", "mac", "vlan")]))
 
 
-def bind(value: Column, build) -> Column:
-    """``build(value)`` with the value computed once, however often the result uses it."""
-    return F.get(F.transform(F.array(value), build), F.lit(0))
-
-
 def split_details(text: Column | str) -> Column:
     """Struct with the neighbour document and the hardware document of a details text.
 

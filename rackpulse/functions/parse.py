@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rackpulse.functions.status import ERROR, UNKNOWN, as_column
+from rackpulse.functions.status import ERROR, UNKNOWN, as_column, bind
 
 # Sensor names the fleet collector reads as inlet and exhaust.
 INLET_SENSORS = ("Inlet Temp", "49-Sys Exhaust 1", "01-Inlet Ambient", "Temp_Inlet_MB")
@@ -62,12 +62,12 @@ def login_count(text: Column | str) -> Column:
 def dcmi_instant_power(text: Column | str) -> Column:
     """Watts on the first line of a seven-line power dump."""
     t = as_column(text)
-    lines = text_lines(t)
-    watts = F.regexp_extract(lines[0], r":\s*(\S+)", 1).try_cast("double")
-    return (
-        F.when(is_blank(t), F.lit(float(ERROR)))
-        .when(F.size(lines) != 7, F.lit(float(UNKNOWN))).otherwise(watts)
+    watts = bind(
+        text_lines(t),
+        lambda lines: F.when(F.size(lines) == 7, F.regexp_extract(lines[0], r":\s*(\S+)", 1).try_cast("double"))
+        .otherwise(F.lit(float(UNKNOWN))),
     )
+    return F.when(is_blank(t), F.lit(float(ERROR))).otherwise(watts)
 
 
 def dcmi_average_power(text: Column | str) -> Column:
@@ -97,22 +97,21 @@ def sensor_readings(text: Column | str, roles: Column | str) -> Column:
     one reading; for any other reading the last sensor wins.
     """
     roles = as_column(roles)
-    entries = F.transform(
-        text_lines(text),
-        lambda line: F.struct(
-            F.try_element_at(roles, F.split(line, ",")[0]).alias("name"),
-            F.try_element_at(F.split(line, ","), F.lit(2)).try_cast("double").alias("value"),
-        ),
-    )
+    fields = F.transform(text_lines(text), lambda line: F.split(line, ","))
+    entries = F.transform(fields, lambda f: F.struct(
+        F.try_element_at(roles, f[0]).alias("name"), F.try_element_at(f, F.lit(2)).try_cast("double").alias("value")
+    ))
     known = F.filter(entries, lambda e: e["name"].isNotNull() & e["value"].isNotNull())
-    cpu = F.filter(known, lambda e: e["name"] == "cpu_power")
-    other = F.filter(known, lambda e: e["name"] != "cpu_power")
-    cpu_sum = F.aggregate(cpu, F.lit(0.0), lambda acc, e: acc + e["value"])
-    with_cpu = F.when(
-        F.size(cpu) > 0,
-        F.concat(other, F.array(F.struct(F.lit("cpu_power").alias("name"), cpu_sum.alias("value")))),
-    ).otherwise(other)
-    return F.map_from_entries(with_cpu)
+
+    def named(found: Column) -> Column:
+        other = F.filter(found, lambda e: e["name"] != "cpu_power")
+        cpu_sum = F.aggregate(
+            F.filter(found, lambda e: e["name"] == "cpu_power"), F.lit(0.0), lambda acc, e: acc + e["value"]
+        )
+        total = F.array(F.struct(F.lit("cpu_power").alias("name"), cpu_sum.alias("value")))
+        return F.when(F.exists(found, lambda e: e["name"] == "cpu_power"), F.concat(other, total)).otherwise(other)
+
+    return F.map_from_entries(bind(known, named))
 
 
 def keyed_json(text: Column | str) -> Column:

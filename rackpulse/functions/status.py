@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def as_column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with the value computed once, however often the result uses it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def status_of(value: Column | str) -> Column:
     """Status class of a sentinel-coded value; other negatives have none."""
     v = as_column(value)

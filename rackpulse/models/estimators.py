@@ -62,10 +62,12 @@ def _stages(ctype: str, method: str, n_features: int, label: str, n_rows: int, l
         return [logistic if ctype == "binary" else OneVsRest(classifier=logistic, labelCol=label, parallelism=4)]
     if method == "nbc":
         return [NaiveBayes(labelCol=label, modelType="gaussian")]
+    # More memory for node statistics means fewer passes per tree level.
+    tree = {"labelCol": label, "seed": SEED, "maxDepth": MAX_TREE_DEPTH, "maxMemoryInMB": 1024}
     if method == "dt":
-        return [DecisionTreeClassifier(labelCol=label, seed=SEED, maxDepth=MAX_TREE_DEPTH, maxBins=TREE_BINS)]
+        return [DecisionTreeClassifier(maxBins=TREE_BINS, **tree)]
     if method == "rf":
-        return [RandomForestClassifier(labelCol=label, seed=SEED, numTrees=TREES, maxDepth=MAX_TREE_DEPTH)]
+        return [RandomForestClassifier(numTrees=TREES, **tree)]
     if method == "lir":
         return [LinearRegression(labelCol=label, solver="normal")]
     if method == "rir":

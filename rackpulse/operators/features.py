@@ -225,31 +225,34 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_with_label(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Rank correlation of each feature with the label, ties at their mean rank.
 
-    Works on distinct (feature, value, label) combinations with their frequency,
-    so repeated values are counted once and no column is sorted in one task. They
-    are written once, since four later steps read them.
+    Rows with an empty column are left out. Works on distinct (feature, value,
+    label) combinations with their frequency, so repeated values are counted once
+    and no column is sorted in one task. They are written once, since several
+    later steps read them.
     """
     numbers = df.select(
         F.col(label).cast("double").alias("y"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]
-    )
+    ).dropna()
     pairs = materialise(
-        numbers.unpivot(["y"], [f"`{f}`" for f in features], "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
+        numbers.unpivot(["y"], [f"`{f}`" for f in features], "feature", "x")
         .groupBy("feature", "x", "y").agg(F.count("*").alias("n")),
         "rank-pairs",
     )
 
-    def mean_ranks(value: str, out: str) -> DataFrame:
-        counts = pairs.groupBy("feature", value).agg(F.sum("n").alias("_n"))
-        placed = value_positions(counts, ["feature"], value, "_n")
-        return placed.select("feature", value, (F.col("before") + (F.col("_n") + 1) / 2).alias(out))
+    def mean_ranks(counts: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+        rank = F.col("before") + (F.col("n") + 1) / 2
+        return value_positions(counts, keys, value).select(*keys, value, rank.alias(out), "total")
 
+    x_counts = pairs.groupBy("feature", "x").agg(F.sum("n").alias("n"))
+    # Every row is present under each feature, so one feature's pairs give the label's ranks.
+    y_counts = pairs.where(F.col("feature") == features[0]).groupBy("y").agg(F.sum("n").alias("n"))
+    y_ranks = mean_ranks(y_counts.withColumn("_all", F.lit(0)), ["_all"], "y", "ry").select("y", "ry")
     # Both sides may be large, so the split of a frequent value is left to adaptive execution.
-    ranked = pairs.join(mean_ranks("x", "rx"), ["feature", "x"]).join(mean_ranks("y", "ry"), ["feature", "y"])
+    ranked = pairs.join(mean_ranks(x_counts, ["feature"], "x", "rx"), ["feature", "x"]).join(y_ranks, "y")
     # The mean of all ranks is (N + 1) / 2 with or without ties.
-    totals = pairs.groupBy("feature").agg(((F.sum("n") + 1) / 2).alias("_mid"))
-    centred = salted_join(ranked, totals, ["feature"], ["x", "y"])
-    dx, dy, n = F.col("rx") - F.col("_mid"), F.col("ry") - F.col("_mid"), F.col("n")
-    return centred.groupBy("feature").agg(
+    middle = (F.col("total") + 1) / 2
+    dx, dy, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
+    return ranked.groupBy("feature").agg(
         F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("corr")
     ).orderBy(F.desc_nulls_last("corr"), "feature")
 

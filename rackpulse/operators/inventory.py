@@ -225,15 +225,19 @@ def dictionary_members(values: DataFrame) -> DataFrame:
     return values.select("attribute", "value", "hostname").distinct()
 
 
-def vocabulary(dictionary: DataFrame, attribute: str, limit: int = WIDE_LIMIT) -> list[str]:
-    """Sorted values of an attribute, for use as column names; too many is an error."""
-    values = (
-        dictionary.where(F.col("attribute") == attribute).select("value").orderBy("value")
-        .limit(limit + 1).collect()
-    )
-    if len(values) > limit:
-        raise ValueError(f"{attribute} has more than {limit} values; use part_counts instead")
-    return [row["value"] for row in values]
+def vocabularies(
+    dictionary: DataFrame, attributes: list[str], limit: int = WIDE_LIMIT
+) -> dict[str, list[str]]:
+    """Sorted values of each attribute, for use as column names; too many is an error."""
+    chosen = dictionary.where(F.col("attribute").isin(attributes))
+    sizes = {r["attribute"]: r["count"] for r in chosen.groupBy("attribute").count().collect()}
+    large = [a for a, n in sizes.items() if n > limit]
+    if large:
+        raise ValueError(f"{large} have more than {limit} values; use part_counts instead")
+    words: dict[str, list[str]] = {a: [] for a in attributes}
+    for row in chosen.select("attribute", "value").collect():
+        words[row["attribute"]].append(row["value"])
+    return {a: sorted(w) for a, w in words.items()}
 
 
 def part_counts(values: DataFrame) -> DataFrame:
@@ -259,11 +263,13 @@ def static_features(
     """
     df = machines
     columns: list[Column] = []
+    hot = [a for a, e in encodings.items() if e == "1-hot"]
+    words = vocabularies(dictionary, [*hot, "accelerators", "disks", "nics"])
     singles = (("hostname", "hn_", F.array("hostname")), ("system_product", "sp_", F.array("system_product")),
                ("processor_product", "pp_", F.col("processor_product")))
     for attribute, prefix, values in singles:
         if encodings.get(attribute) == "1-hot":
-            columns += n_hot(values, vocabulary(dictionary, attribute), prefix)
+            columns += n_hot(values, words[attribute], prefix)
         elif encodings.get(attribute) == "label":
             codes = dictionary.where(F.col("attribute") == attribute).select(
                 F.col("value").alias("_value"), F.col("code").alias(f"_{attribute}")
@@ -277,7 +283,7 @@ def static_features(
                 "hostname_code" if attribute == "hostname" else attribute
             ))
     for attribute, prefix in (("accelerators", "accel_"), ("disks", "disk_"), ("nics", "nic_")):
-        columns += n_hot(_products(attribute), vocabulary(dictionary, attribute), prefix)
+        columns += n_hot(_products(attribute), words[attribute], prefix)
     totals = [
         F.size("processor_product").alias("processor_count"),
         F.col("cores").alias("processor_cores"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.status import not_negative
 from rackpulse.operators.ranking import exact_medians
+from rackpulse.session import materialise
 
 # Upper ends of the five load bins, in percent.
 BIN_ENDS = (20, 40, 60, 80, 100)
@@ -35,7 +36,10 @@ def load_bin_profile(df: DataFrame, load: str, metrics: list[str]) -> DataFrame:
     spark = df.sparkSession
     binned = df.select(load_bin(load).alias("bin"), *[F.col(m).cast("double").alias(m) for m in metrics])
     values = binned.where("bin IS NOT NULL").unpivot(["bin"], metrics, "metric", "value")
-    counts = values.where("value IS NOT NULL").groupBy("metric", "bin", "value").agg(F.count("*").alias("n"))
+    # Written once: the three figures below all start from the distinct values.
+    counts = materialise(
+        values.where("value IS NOT NULL").groupBy("metric", "bin", "value").agg(F.count("*").alias("n")), "bin-counts"
+    )
     key = ["metric", "bin"]
     basic = counts.groupBy(*key).agg(
         F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),

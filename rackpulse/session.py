@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Readings merge with the right-hand map winning.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Larger generated methods are never compiled by the JVM; split code is faster
+    # for the wide expressions of encoding and parsing.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

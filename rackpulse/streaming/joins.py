@@ -1,7 +1,8 @@
 """The tolerance join on live series.
 
-Rows of one host and time slice wait in state until the watermark passes the
-slice. Then one ordered pass pairs them by the same rule as the batch join.
+Rows of one host and time slice are gathered by a windowed aggregation, which
+Spark emits once the watermark has passed the slice. Then one ordered pass over
+many slices at a time pairs them by the same rule as the batch join.
 """
 
 from __future__ import annotations
@@ -9,71 +10,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rackpulse.functions.parse import micros
 from rackpulse.operators.series import SECOND
 
 OUTPUT = "host string, bmc_t bigint, bmc string, host_t bigint, sample string"
-STATE = "t array<bigint>, side array<int>, payload array<string>"
 
 
 def _pair(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """First host row strictly after each BMC row's time, within the reach."""
-    bmc = rows[rows["side"] == 0].sort_values("t", kind="stable")
-    host = rows[rows["side"] == 1].drop_duplicates("t").sort_values("t")
-    host = host.assign(host_t=host["t"])
+    """First host row strictly after each BMC row's time, within the reach, in its slice."""
+    ordered = rows.sort_values(["t", "payload"], kind="stable")
+    bmc = ordered[ordered["side"] == 0]
+    host = ordered[ordered["side"] == 1].drop_duplicates(["slice", "t"])
     paired = pd.merge_asof(
-        bmc, host[["t", "host_t", "payload"]], on="t", direction="forward", allow_exact_matches=False,
-        tolerance=reach - 1, suffixes=("", "_host"),
+        bmc, host[["slice", "t", "payload"]].assign(host_t=host["t"]), on="t", by="slice", direction="forward",
+        allow_exact_matches=False, tolerance=reach - 1, suffixes=("", "_host"),
     )
     return paired.dropna(subset=["host_t"])
 
 
+def _pair_slices(reach: int, shift: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # A batch holds whole slices; its row number tells them apart.
+            rows = pd.DataFrame([
+                (i, host, r["t"], r["side"], r["payload"])
+                for i, (host, held) in enumerate(zip(batch["host"], batch["held"])) for r in held
+            ], columns=["slice", "host", "t", "side", "payload"])
+            found = _pair(rows, reach)
+            yield pd.DataFrame({
+                "host": found["host"], "bmc_t": found["t"].astype("int64") + shift, "bmc": found["payload"],
+                "host_t": found["host_t"].astype("int64"), "sample": found["payload_host"],
+            })
+
+    return run
+
+
 def tolerance_join_stream(
     bmc: DataFrame, host: DataFrame, tolerance_us: int = SECOND, drift_us: int = 0,
-    slice_seconds: int = 60, lateness: str = "10 seconds",
+    slice_seconds: int = 60, lateness_seconds: int = 10,
 ) -> DataFrame:
     """Pairs of two streams with columns ``host``, ``ts`` and ``payload`` (text).
 
-    Emits a slice once no more of its rows can come in under the watermark.
+    A slice is emitted once the watermark has passed it; rows later than the
+    lateness are dropped. A slice of one host has to fit in a state row, so it
+    should span seconds or minutes.
     """
-    reach = 2 * tolerance_us
+    reach, shift = 2 * tolerance_us, drift_us + tolerance_us
     slice_us = max(slice_seconds * SECOND, reach)
-    left = bmc.select(
-        "host", "ts", (micros("ts") - drift_us - tolerance_us).alias("t"), F.lit(0).alias("side"), "payload"
-    ).withColumn("slice", F.floor(F.col("t") / slice_us))
-    right = host.select("host", "ts", micros("ts").alias("t"), F.lit(1).alias("side"), "payload")
-    own = F.floor(F.col("t") / slice_us)
-    right = right.withColumn(
-        "slice", F.explode(F.when(F.col("t") - own * slice_us < reach, F.array(own - 1, own)).otherwise(F.array(own)))
-    )
 
-    def pair_slice(
-        key: tuple[str, int], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [])
-        rows = pd.DataFrame({"t": list(held[0]), "side": list(held[1]), "payload": list(held[2])})
-        if state.hasTimedOut:
-            state.remove()
-            found = _pair(rows, reach)
-            if len(found):
-                yield pd.DataFrame({
-                    "host": key[0], "bmc_t": found["t"].astype("int64") + drift_us + tolerance_us,
-                    "bmc": found["payload"], "host_t": found["host_t"].astype("int64"),
-                    "sample": found["payload_host"],
-                })
-            return
-        parts = [rows, *[b[["t", "side", "payload"]] for b in batches]]
-        rows = pd.concat([p for p in parts if len(p)])
-        state.update((rows["t"].tolist(), rows["side"].tolist(), rows["payload"].tolist()))
-        # The last row that can match this slice lies one reach past its end, on either clock.
-        due_us = (int(key[1]) + 1) * slice_us + reach + abs(drift_us) + tolerance_us
-        state.setTimeoutTimestamp(max(due_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    both = left.unionByName(right).withWatermark("ts", lateness)
-    return both.groupBy("host", "slice").applyInPandasWithState(
-        pair_slice, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    def side(df: DataFrame, number: int, t: Column) -> DataFrame:
+        return df.select("host", t.alias("t"), F.lit(number).alias("side"), "payload")
+
+    left = side(bmc, 0, micros("ts") - shift).withColumn("slot", F.col("t"))
+    start = F.col("t") - F.pmod(F.col("t"), F.lit(slice_us))
+    # A host row near the start of its slice is also the last instant of the slice before.
+    slots = F.when(F.col("t") - start < reach, F.array("t", start - 1)).otherwise(F.array("t"))
+    right = side(host, 1, micros("ts")).withColumn("slot", F.explode(slots))
+    # Slots lag the clock by the shift of a BMC row or the reach of a host row.
+    delay_us = lateness_seconds * SECOND + reach + abs(shift)
+    held = (
+        left.unionByName(right).withColumn("slot", F.timestamp_micros("slot"))
+        .withWatermark("slot", f"{delay_us // SECOND + 1} seconds")
+        .groupBy("host", F.window("slot", f"{slice_us // 1000} milliseconds"))
+        .agg(F.collect_list(F.struct("t", "side", "payload")).alias("held"))
     )
+    return held.select("host", "held").mapInPandas(_pair_slices(reach, shift), OUTPUT)
