@@ -171,9 +171,7 @@ grp AS (
 
 
 def hwconfig_members(spark, d):
-    machines = t.curated_parts(spark, d)
-    groups = inv.hardware_groups(machines).select("hwconfig", "code")
-    return inv.hardware_members(machines).join(groups, "hwconfig").select("hostname", "code")
+    return inv.coded_members(t.curated_parts(spark, d))
 
 
 HWCONFIG_MEMBERS = f"""

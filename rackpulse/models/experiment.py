@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rackpulse.models import estimators
 from rackpulse.operators import evaluate, features as feat
 from rackpulse.operators.skew import salted_join
-from rackpulse.session import scratch_path
+from rackpulse.session import rebalanced, scratch_path
 
 RESULT = (
     "part string, hwconfig string, experiment int, status string, metric string, "
@@ -156,17 +156,15 @@ def by_hardware_group(
     spark = samples.sparkSession
     numbered = hardware_numbers(members)
     groups = {r["code"]: r["hwconfig"] for r in numbered.collect()}
-    coded = members.join(numbered, "hwconfig")
+    coded = salted_join(members, numbered, ["hwconfig"], ["hostname"])
     spread = [f"`{c}`" for c in samples.columns if c != "host"]
     rows: list = []
     for i in range(n_experiments):
         split = feat.machine_split(coded, "code", "hostname", "position", selection, task.seed + i)
         parts = split.select(F.col("hostname").alias("host"), "code", "part")
         path = scratch_path(spark, "experiment")
-        salt = F.pmod(F.xxhash64(*spread), F.lit(8))
-        salted_join(samples, parts, ["host"], spread).repartition("code", "part", salt).write.partitionBy(
-            "code", "part"
-        ).parquet(path)
+        joined = salted_join(samples, parts, ["host"], spread)
+        rebalanced(joined, "code", "part").write.partitionBy("code", "part").parquet(path)
         stored = spark.read.parquet(path)
         tested = {r["code"] for r in parts.where("part = 'test'").select("code").distinct().collect()}
 

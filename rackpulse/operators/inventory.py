@@ -332,6 +332,12 @@ def hardware_members(machines: DataFrame, processor_label: bool = False) -> Data
     return machines.select(hardware_key(processor_label).alias("hwconfig"), "hostname")
 
 
+def coded_members(machines: DataFrame, position: str = "position") -> DataFrame:
+    """Code of each machine's hardware configuration; a common configuration is spread over tasks."""
+    groups = hardware_groups(machines, position).select("hwconfig", "code")
+    return salted_join(hardware_members(machines), groups, ["hwconfig"], ["hostname"]).select("hostname", "code")
+
+
 def members_with_samples(members: DataFrame, samples: DataFrame, host: str = "host") -> DataFrame:
     """Members that have at least one sample."""
     return members.join(

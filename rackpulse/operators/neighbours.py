@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from rackpulse.operators.skew import last_wins, top_k
+from rackpulse.session import materialise
 
 BLOCK_ROWS = 8192
 MAX_CENTRES = 256
@@ -132,7 +133,10 @@ def nearest_neighbours(
     if n_points == 0:
         raise ValueError("no training rows")
     centres = _centres(points, min(MAX_CENTRES, max(1, ceil(n_points / block_rows))))
-    placed = points.withColumn("_a", _nearest_centre(centres)("_x")).select("_tid", "_label", "_x", "_a.*")
+    # Both assignments are read several times below, so each is computed and written once.
+    placed = materialise(
+        points.withColumn("_a", _nearest_centre(centres)("_x")).select("_tid", "_label", "_x", "_a.*"), "cells"
+    )
     radius, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
     for row in placed.groupBy("cell").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect():
         radius[row["cell"]], sizes[row["cell"]] = row["r"], row["n"]
@@ -142,7 +146,9 @@ def nearest_neighbours(
     for row in near.collect():
         closest[row["cell"], filled[row["cell"]]] = row["gap"]
         filled[row["cell"]] += 1
-    routed = asked.withColumn("cell", F.explode(_reachable_cells(centres, radius, closest, k)("_x")))
+    routed = materialise(
+        asked.withColumn("cell", F.explode(_reachable_cells(centres, radius, closest, k)("_x"))), "routes"
+    )
     loads = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
     def blocks(counts) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.functions.parse import machine_links
-from rackpulse.operators.lookback import EXHAUST, INLET, latest_measures
+from rackpulse.operators.lookback import EXHAUST, INLET
+from rackpulse.operators.skew import salted_join
 
 SUBJECT = "Unsafe operating temperature alert"
 
@@ -26,7 +27,7 @@ def unsafe_machines(machines: DataFrame, measures: DataFrame, limits: DataFrame)
     running = machines.where((F.col("power_state") == "on") & F.col("owner").isNotNull()).select(
         F.col("hostname").alias("host"), "owner", "system_id", F.col("hardware_info.system_product").alias("product")
     )
-    checked = running.join(latest_temperatures(measures), "host").join(F.broadcast(limits), "product", "left")
+    checked = running.join(latest_temperatures(measures), "host").join(limits, "product", "left")
     hot_inlet = F.coalesce(F.col("inlet_temp") > MAX_INLET, F.lit(False))
     hot_exhaust = F.coalesce(F.col("exhaust_temp") > F.col("max"), F.lit(False))
     return checked.withColumns({"inlet_flag": hot_inlet, "exhaust_flag": hot_exhaust}).where(
@@ -35,7 +36,8 @@ def unsafe_machines(machines: DataFrame, measures: DataFrame, limits: DataFrame)
 
 
 def alerts(unsafe: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
-    return unsafe.join(users, F.col("owner") == F.col("username")).select(
+    owners = users.select(F.col("username").alias("owner"), "email")
+    return salted_join(unsafe, owners, ["owner"], ["host"]).select(
         "owner", "email", F.lit(SUBJECT).alias("subject"), "host", F.lit("unsafe temperature").alias("reason"),
         machine_links(base_url, "system_id").alias("links"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rackpulse.functions.parse import machine_links
 from rackpulse.functions.status import verdict_of
 from rackpulse.operators.lookback import lookbacks
+from rackpulse.operators.skew import salted_join
 from rackpulse.operators.rollup import counter_points, verdict_counts, verdict_power
 
 SUBJECT = "Under utilization alert"
@@ -26,7 +27,8 @@ def alerts(verdicts: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
 
     Long form on purpose: the machines of one owner are never gathered in one row.
     """
-    return verdicts.where("verdict = 'zero'").join(users, F.col("owner") == F.col("username")).select(
+    owners = users.select(F.col("username").alias("owner"), "email")
+    return salted_join(verdicts.where("verdict = 'zero'"), owners, ["owner"], ["host"]).select(
         "owner", "email", F.lit(SUBJECT).alias("subject"), "host", F.lit("under-utilised").alias("reason"),
         machine_links(base_url, "system_id").alias("links"),
     )

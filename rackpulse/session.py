@@ -54,6 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows gathered by the columns for a partitioned write.
+
+    Adaptive execution splits a value with much data over several tasks and joins
+    small ones, so files keep a sensible size whatever the spread.
+    """
+    return df.hint("rebalance", *columns)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder once and read it back.
 

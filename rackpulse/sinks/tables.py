@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.functions.parse import host_bucket
+from rackpulse.session import rebalanced
 
 log = logging.getLogger(__name__)
 
@@ -32,16 +33,11 @@ def static_features(df: DataFrame, path: str) -> None:
     shaped.write.mode("overwrite").option("header", True).csv(path)
 
 
-def _spread_by_host(df: DataFrame, host: str, ts: str) -> DataFrame:
-    """Rows of a host and day go to a few tasks each, so no host is written by one task."""
-    part = F.pmod(F.xxhash64(ts), F.lit(8))
-    return df.repartition(F.col(host), F.col("date"), part).sortWithinPartitions(host, "date", ts)
-
-
 def curated_samples(df: DataFrame, path: str) -> None:
     """Curated samples by day, ordered by host and time for pruning by row group."""
     dated = df.withColumn("date", F.to_date("bmc_ts"))
-    _spread_by_host(dated, "host", "bmc_ts").write.mode("overwrite").partitionBy("date").parquet(path)
+    ordered = rebalanced(dated, "date").sortWithinPartitions("date", "host", "bmc_ts")
+    ordered.write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 def encoded(df: DataFrame, path: str) -> None:
@@ -51,10 +47,8 @@ def encoded(df: DataFrame, path: str) -> None:
     grow with the fleet.
     """
     bucketed = df.withColumn("host_bucket", host_bucket("host"))
-    spread = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns if c != "host"]), F.lit(8))
-    bucketed.repartition(F.col("host_bucket"), spread).sortWithinPartitions("host_bucket", "host").write.mode(
-        "overwrite"
-    ).partitionBy("host_bucket").parquet(path)
+    ordered = rebalanced(bucketed, "host_bucket").sortWithinPartitions("host_bucket", "host")
+    ordered.write.mode("overwrite").partitionBy("host_bucket").parquet(path)
 
 
 def encoded_parts(df: DataFrame, path: str) -> None:
@@ -68,7 +62,8 @@ def encoded_parts(df: DataFrame, path: str) -> None:
 def points(df: DataFrame, path: str) -> bool:
     """Appends points by measurement and day. A failed write is logged and the run goes on."""
     try:
-        df.withColumn("date", F.to_date("time")).write.mode("append").partitionBy("measurement", "date").parquet(path)
+        dated = rebalanced(df.withColumn("date", F.to_date("time")), "measurement", "date")
+        dated.write.mode("append").partitionBy("measurement", "date").parquet(path)
         return True
     except Exception:  # noqa: BLE001 - losing one poll must not stop the collector
         log.exception("writing points to %s failed", path)
@@ -77,7 +72,7 @@ def points(df: DataFrame, path: str) -> bool:
 
 def measures(df: DataFrame, path: str) -> None:
     """Appends measures of resources; a new resource or type needs no preparation."""
-    df.write.mode("append").partitionBy("metric").parquet(path)
+    rebalanced(df, "metric").write.mode("append").partitionBy("metric").parquet(path)
 
 
 def measures_from_points(points_df: DataFrame, resource: Column, granularity: float) -> DataFrame:
@@ -90,15 +85,21 @@ def measures_from_points(points_df: DataFrame, resource: Column, granularity: fl
 
 def raw_segments(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Raw samples by day and hour, the segment length of production runs."""
-    df.withColumn("date", F.to_date(ts)).withColumn("hour", F.hour(ts)).write.mode("append").partitionBy(
-        "date", "hour"
-    ).parquet(path)
+    cut = df.withColumn("date", F.to_date(ts)).withColumn("hour", F.hour(ts))
+    rebalanced(cut, "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
 
 
 def alerts(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("reason").parquet(path)
 
 
+def model(fitted, path: str, method: str) -> None:
+    """A fitted model; a logistic one also leaves its coefficients as CSV, a row per class."""
+    fitted.save(f"{path}/model")
+    if method == "lor":
+        csv_export(fitted.coefficients(SparkSession.active()), f"{path}/coefficients")
+
+
 def csv_export(df: DataFrame, path: str) -> None:
     """Training, test or prediction rows as CSV with header."""
     df.write.mode("overwrite").option("header", True).csv(path)

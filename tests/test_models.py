@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rackpulse.models import estimators, experiment
 from rackpulse.operators import evaluate, neighbours
 from rackpulse.operators.profile import outcome_buckets
+from rackpulse.sinks import tables
 
 
 def outcomes(spark, pairs):
@@ -117,7 +118,7 @@ def classes(spark):
 
 
 @pytest.mark.parametrize("method", estimators.CLASSIFIERS)
-def test_classifiers(spark, method):
+def test_classifiers(spark, method, tmp_path):
     df = classes(spark).withColumn("load", F.col("load").cast("double")).cache()
     if method == "rf":
         estimators.TREES, kept = 5, estimators.TREES
@@ -128,6 +129,10 @@ def test_classifiers(spark, method):
     found = evaluate.outcome_counts(model.transform(df), "load", "prediction")
     assert evaluate.accuracy(found).first()["accuracy"] > 0.95
     if method == "lor":
+        tables.model(model, str(tmp_path), method)
+        assert spark.read.csv(str(tmp_path / "coefficients"), header=True).columns == FEATURES
+        again = estimators.load(str(tmp_path / "model"), FEATURES, "load").transform(df)
+        assert again.where("prediction = load").count() > 150
         frame = model.coefficients(spark)
         assert frame.columns == FEATURES and frame.count() == 4
 
