@@ -9,6 +9,7 @@ from rackpulse.catalog.tables import SAMPLES, fixed, sql_cpu_class, sql_fixed
 from rackpulse.functions.status import cpu_load_class
 from rackpulse.models import estimators, experiment
 from rackpulse.operators import evaluate, neighbours, profile
+from rackpulse.session import use_all_cores
 
 CLASSES = (0, 1)
 EMBEDDING_SIZE = 64
@@ -187,7 +188,7 @@ def _classifier(method: str):
     def run(spark, d):
         rows, names = _named_vectors(spark, d)
         if method in ("dt", "rf"):  # the table is one file, and trees grow per partition
-            rows = rows.repartition(spark.sparkContext.defaultParallelism)
+            rows = use_all_cores(rows)
         model = estimators.fit(rows, "multi", method, names, "label")
         return evaluate.outcome_counts(model.transform(rows), "label", "prediction")
 

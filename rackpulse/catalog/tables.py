@@ -342,7 +342,8 @@ def hardware_texts(spark: SparkSession, folder: str) -> DataFrame:
         '"/></interface></lldp>\n',
     ))
     both = bind(hardware, lambda h: F.when(F.col("p_partkey") % 2 == 0, F.concat(lldp, h)).otherwise(F.concat(h, lldp)))
-    return part_facts(spark, folder).select("hostname", "position", both.alias("details"))
+    facts = session.use_all_cores(part_facts(spark, folder))
+    return facts.select("hostname", "position", both.alias("details"))
 
 
 def part_machines(spark: SparkSession, folder: str) -> DataFrame:

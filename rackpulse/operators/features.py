@@ -157,13 +157,13 @@ def balanced_sample(
 
     Nothing is returned when a class is empty. Slices of the order that fit a
     class's share whole are kept as they are; only the slice the share ends in is sorted.
-    The slice table has at most slices times classes rows, so it is broadcast.
+    The slice table has at most slices times classes rows, so it is written once and broadcast.
     """
     order = shuffled_order(key, seed)
     sliced = df.where(F.col(label).isin(*classes)).withColumn("_order", order).withColumn(
         "_slice", hash_slice(F.col("_order"))
     )
-    offsets = slice_offsets(sliced, [label])
+    offsets = materialise(slice_offsets(sliced, [label]), "slices")
     sizes = offsets.groupBy(label).agg(F.sum("_size").alias("_class_size"))
     share = sizes.agg(
         F.when(F.count("*") == len(classes), F.min("_class_size")).otherwise(F.lit(0))

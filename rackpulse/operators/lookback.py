@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.operators.skew import salted_join
+from rackpulse.session import materialise
 
 # Metric names of the measure table.
 LOGIN, LOAD, POWER, UP = "login_count", "load_avg", "Pwr Consumption", "up"
@@ -50,8 +51,13 @@ def lookbacks(measures: DataFrame) -> DataFrame:
     Load: the most recent positive value, else 0 if one is zero, else unknown.
     Power: the mean of the positive readings.
     """
-    starts = anchors(measures)
-    day = measures.where(F.col("metric").isin(LOAD, POWER)).select("host", "metric", "ts", "value")
+    # One row per host, written once: the joins below then know its true size.
+    starts = materialise(anchors(measures), "anchors")
+    # No host looks back further than a day before the first anchor; older files are not read.
+    oldest, newest = starts.agg(F.min("anchor")).scalar(), starts.agg(F.max("anchor")).scalar()
+    day = measures.where(
+        F.col("metric").isin(LOAD, POWER) & (F.col("ts") > oldest - F.expr(DAY)) & (F.col("ts") < newest)
+    ).select("host", "metric", "ts", "value")
     # An anchored host has few rows; spreading it keeps one chatty host off one task.
     joined = salted_join(day, starts, ["host"], ["ts", "metric"]).where(
         (F.col("ts") < F.col("anchor")) & (F.col("ts") > F.col("anchor") - F.expr(DAY))

@@ -38,15 +38,16 @@ def tolerance_join(
     left = bmc.select(
         *keys, (F.col("t") - drift_us - tolerance_us).alias("_t"), F.lit(0).alias("_side"),
         F.struct(*[c for c in bmc.columns if c not in keys]).alias("bmc_row"),
-    ).withColumn("_slice", F.floor(F.col("_t") / slice_us))
+    )
     right = host.select(
         *keys, F.col("t").alias("_t"), F.lit(1).alias("_side"),
         F.struct(*[c for c in host.columns if c not in keys]).alias("host_row"),
     )
-    own = F.floor(F.col("_t") / slice_us)
-    in_reach = F.col("_t") - own * slice_us < reach
+    into = F.pmod(F.col("_t"), F.lit(slice_us))
+    start = F.col("_t") - into
+    left = left.withColumn("_slice", start)
     right = right.withColumn(
-        "_slice", F.explode(F.when(in_reach, F.array(own - 1, own)).otherwise(F.array(own)))
+        "_slice", F.explode(F.when(into < reach, F.array(start - slice_us, start)).otherwise(F.array(start)))
     )
     # Newest first: the last host row seen is the earliest one still ahead. A BMC row
     # goes before host rows of its own time, which are exactly the tolerance away.
