@@ -185,11 +185,16 @@ def _named_vectors(spark, d):
 
 
 def _classifier(method: str):
+    """Binary task for the trees, four classes for the logistic fits, the two class tasks there are."""
+    ctype = "multi" if method == "lor" else "binary"
+
     def run(spark, d):
         rows, names = _named_vectors(spark, d)
+        classes = F.least("label", F.lit(3.0)) if ctype == "multi" else (F.col("label") > 4).cast("double")
+        rows = rows.withColumn("label", classes)
         if method in ("dt", "rf"):  # the table is one file, and trees grow per partition
             rows = use_all_cores(rows)
-        model = estimators.fit(rows, "multi", method, names, "label")
+        model = estimators.fit(rows, ctype, method, names, "label")
         return evaluate.outcome_counts(model.transform(rows), "label", "prediction")
 
     return run

@@ -269,14 +269,18 @@ class TrainingFacts:
 def training_facts(df: DataFrame, features: list[str], label: str) -> TrainingFacts:
     """One pass over a training set.
 
-    A feature is used when its correlation with the label is defined, that is when
-    neither is constant; a few are always used.
+    A feature is used when every row has it and its correlation with the label is
+    defined, that is when neither is constant; a few are used even if constant.
     """
     names = [*features, label]
     row = df.agg(
         F.count("*").alias("_n"), F.stddev_pop(f"`{label}`").alias("_sd"),
-        *[F.struct(F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high")).alias(c) for c in names],
+        *[
+            F.struct(F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high"), F.count(f"`{c}`").alias("n")).alias(c)
+            for c in names
+        ],
     ).first()
-    varies = {c: row[c]["low"] is not None and row[c]["low"] != row[c]["high"] for c in names}
-    usable = [f for f in features if (varies[f] and varies[label]) or f in ALWAYS_KEPT]
+    varies = {c: row[c]["low"] != row[c]["high"] for c in names}
+    full = {c: row[c]["n"] == row["_n"] for c in names}
+    usable = [f for f in features if full[f] and ((varies[f] and varies[label]) or f in ALWAYS_KEPT)]
     return TrainingFacts(row["_n"], float(row["_sd"] or 0.0), usable)

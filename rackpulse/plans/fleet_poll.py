@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.status import up_code
 from rackpulse.operators import rollup
+from rackpulse.session import materialise
+from rackpulse.sinks import tables
 from rackpulse.sources.readings import collector_readings
 
+# The metric of the measure table each measurement is stored under.
+METRIC_NAMES = {
+    "login_count": "login_count", "load_avg": "load_avg", "pwr_consumption": "Pwr Consumption",
+    "up_status": "up", "inlet_temp": "Inlet Temp", "exhaust_temp": "Exhaust Temp",
+}
 HOST_MEASUREMENTS = ["login_count", "load_avg", "pwr_consumption", "up_status", "inlet_temp", "exhaust_temp"]
 
 
@@ -28,6 +35,26 @@ def host_points(polled: DataFrame) -> DataFrame:
     return rollup.host_points(polled, "hostname", "time", HOST_MEASUREMENTS)
 
 
+def store_poll(
+    polled: DataFrame, point_path: str | None = None, measure_path: str | None = None, dump_path: str | None = None
+) -> DataFrame:
+    """Stores one poll where a path is given: points, measures of each machine, redacted host dump.
+
+    The poll is written once and returned, since every store starts from it.
+    """
+    kept = materialise(polled, "poll")
+    points = host_points(kept)
+    if point_path:
+        tables.points(points.unionByName(fleet_points(kept)), point_path)
+    if measure_path:
+        metric = F.create_map(*[F.lit(x) for pair in METRIC_NAMES.items() for x in pair])
+        named = points.withColumn("measurement", metric[F.col("measurement")])
+        tables.measures(tables.measures_from_points(named, F.col("tags")["host"], 300.0), measure_path)
+    if dump_path:
+        tables.curated_machines(tables.redacted(kept), dump_path, as_json=True)
+    return kept
+
+
 def fleet_points(polled: DataFrame) -> DataFrame:
     """Counters of a poll: utilisation status, power state, and power per utilisation status."""
     by = ["time"]

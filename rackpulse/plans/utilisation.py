@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from rackpulse.functions.parse import machine_links
 from rackpulse.functions.status import verdict_of
 from rackpulse.operators.lookback import lookbacks
-from rackpulse.operators.skew import salted_join
 from rackpulse.operators.rollup import counter_points, verdict_counts, verdict_power
+from rackpulse.operators.skew import salted_join
+from rackpulse.session import materialise
+from rackpulse.sinks import tables
 
 SUBJECT = "Under utilization alert"
 
@@ -49,6 +51,22 @@ def counters(verdicts: DataFrame) -> DataFrame:
     return counts.unionByName(power).withColumn("time", newest)
 
 
+def nightly_run(
+    machines: DataFrame, measures: DataFrame, users: DataFrame, base_url: str,
+    alert_path: str | None = None, point_path: str | None = None,
+) -> DataFrame:
+    """The daily job: verdicts, and where a path is given alert rows and fleet counters.
+
+    The verdicts are written once, since alerts and counters both start from them.
+    """
+    verdicts = materialise(machine_verdicts(machines, measures), "verdicts")
+    if alert_path:
+        tables.alerts(alerts(verdicts, users, base_url), alert_path)
+    if point_path:
+        tables.points(counter_measures(verdicts), point_path)
+    return verdicts
+
+
 def counter_measures(verdicts: DataFrame) -> DataFrame:
     """The counters as points of the fleet resource."""
     return counter_points(counters(verdicts), "total_machines", "time", "metric", "value")

@@ -141,3 +141,8 @@ def test_class_counts_of_raw_loads(spark):
     df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 5.0), ("a", 1, 50.0)], "host string, util int, load double")
     got = feat.class_counts(df, ["host"], as_classes=False).first()
     assert [got[c] for c in ("n", "u0", "u1", "l0", "l1", "l2", "l3", "nonzero")] == [3, 1, 2, 1, 1, 0, 1, 2]
+
+
+def test_features_with_gaps_are_not_used(spark):
+    df = spark.createDataFrame([(1.0, None, None, 1.0), (2.0, 3.0, None, 2.0)], "a double, b double, cpu_power double, load double")
+    assert feat.training_facts(df, ["a", "b", "cpu_power"], "load").features == ["a"]

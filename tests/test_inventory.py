@@ -11,6 +11,7 @@ from rackpulse.plans import fleet_poll, temperature, utilisation
 from rackpulse.sources.dimensions import (
     PRODUCT_FAMILIES, product_temperatures, sensor_profiles, skip_list, ups_oids,
 )
+from rackpulse.sources import files
 from rackpulse.sources.readings import collector_readings, ups_points
 
 DGX = "DGX-1 (Default string)"
@@ -154,7 +155,7 @@ def _measures(spark, rows):
     return spark.createDataFrame([(h, m, start + timedelta(hours=t), 300.0, float(v)) for h, m, t, v in rows], schemas.MEASURE)
 
 
-def test_utilisation_counters_and_alerts(spark):
+def test_utilisation_counters_and_alerts(spark, tmp_path):
     machines = raw(spark, {"hostname": "idle"}, {"hostname": "used"}, {"hostname": "dark"}, {"hostname": "free", "owner": None})
     rows = []
     for host, login, load in (("idle", 0, 0.01), ("used", 2, 0.0), ("dark", -3, 1.0), ("free", 0, 0.0)):
@@ -169,6 +170,11 @@ def test_utilisation_counters_and_alerts(spark):
     assert (counts["util_off_count"], counts["util_zero_count"], counts["util_error_count"]) == (1.0, 1.0, 0.0)
     assert (counts["pwr_off_avg"], counts["pwr_unknown_avg"], counts["pwr_unutil_avg"]) == (0.0, 100.0, 100.0)
     assert {r["time"] for r in utilisation.counters(verdicts).collect()} == {datetime(2024, 1, 3)}
+    stored = utilisation.nightly_run(
+        machines, _measures(spark, rows), users, "http://x", str(tmp_path / "alerts"), str(tmp_path / "points"))
+    assert stored.count() == 3
+    assert [r["host"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == ["idle"]
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 9
 
 
 def test_unsafe_temperatures(spark):
@@ -181,3 +187,19 @@ def test_unsafe_temperatures(spark):
         rows += [(host, lookback.INLET, 1, 99), (host, lookback.INLET, 2, inlet), (host, lookback.EXHAUST, 2, exhaust)]
     unsafe = temperature.unsafe_machines(machines, _measures(spark, rows), product_temperatures(spark))
     assert names(unsafe, "host") == ["exhaust", "inlet"]
+
+
+def test_stored_poll_feeds_the_verdict(spark, tmp_path):
+    texts = {"last_text": "bob pts/0 x\n", "uptime_text": "load average: 1, 0.5, 0", "dcmi_text": "", "sdr_text": ""}
+    machine = spark.createDataFrame([("a", "on", "bot", "admin", "secret")],
+                                    "hostname string, power_state string, user string, power_user string, power_pass string")
+    machine = machine.withColumns({k: F.lit(v) for k, v in texts.items()})
+    for hour in (1, 2, 3):
+        stamp = fleet_poll.poll_stamp(F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp"))
+        polled = fleet_poll.poll(machine, stamp, ["power_user"])
+        fleet_poll.store_poll(polled, str(tmp_path / "points"), str(tmp_path / "measures"), str(tmp_path / "dump"))
+    assert spark.read.parquet(str(tmp_path / "points")).where("measurement = 'up_status'").count() == 3
+    assert spark.read.json(str(tmp_path / "dump")).first()["power_pass"] == "xxxx"
+    measures = files.measures(spark, str(tmp_path / "measures"))
+    row = lookback.lookbacks(measures).first()
+    assert (row["login_count"], row["load_avg"], row["mean_power"]) == (1.0, 0.5, None)
