@@ -114,7 +114,7 @@ def part_counts(spark, d):
 
 def _features(spark, d, encodings):
     machines = t.curated_parts(spark, d)
-    dictionary = materialise(inv.label_dictionary(inv.attribute_values(machines)), "dictionary")
+    dictionary = materialise(inv.label_dictionary(inv.attribute_values(machines)), "codes")
     return inv.static_features(machines, dictionary, encodings)
 
 

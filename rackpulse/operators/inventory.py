@@ -10,6 +10,7 @@ from rackpulse.functions.parse import description_field
 from rackpulse.functions.status import OFF, UNKNOWN
 from rackpulse.operators.ranking import rank_in_group
 from rackpulse.operators.skew import last_wins, salted_join
+from rackpulse.session import materialise
 from rackpulse.sources.dimensions import GPU_UNITS
 
 # States and tags that keep a machine out, and the marker of the service account.
@@ -201,8 +202,10 @@ def label_dictionary(values: DataFrame, encodings: dict[str, str] | None = None)
     seen = values.groupBy("attribute", "value", "hostname").agg(
         F.min(F.struct("machine_pos", "list_pos")).alias("first")
     )
-    distinct = seen.groupBy("attribute", "value").agg(
-        F.min("first").alias("first"), F.count("*").alias("n_machines")
+    # Written once: ranking reads it twice, and it is far smaller than the machine documents.
+    distinct = materialise(
+        seen.groupBy("attribute", "value").agg(F.min("first").alias("first"), F.count("*").alias("n_machines")),
+        "dictionary",
     )
     chosen = encodings or {}
     encoding = F.coalesce(
@@ -318,11 +321,10 @@ def hardware_groups(
     machines: DataFrame, position: str = "position", processor_label: bool = False
 ) -> DataFrame:
     """Distinct hardware configurations, coded in order of first appearance."""
-    groups = (
-        machines.withColumn("hwconfig", hardware_key(processor_label)).groupBy("hwconfig")
-        .agg(F.min(position).alias("first"), F.count("*").alias("n_machines"))
-        .withColumn("_all", F.lit(0))
+    found = machines.withColumn("hwconfig", hardware_key(processor_label)).groupBy("hwconfig").agg(
+        F.min(position).alias("first"), F.count("*").alias("n_machines")
     )
+    groups = materialise(found, "hwconfigs").withColumn("_all", F.lit(0))
     ranked = rank_in_group(groups, ["_all"], F.floor(F.col("first") / 4096), ["first"], "_rank")
     return ranked.select("hwconfig", (F.col("_rank") - 1).cast("bigint").alias("code"), "first", "n_machines")
 

@@ -21,7 +21,7 @@ from rackpulse.operators.skew import last_wins, top_k
 from rackpulse.session import materialise
 
 BLOCK_ROWS = 8192
-MAX_CENTRES = 256
+MAX_CENTRES = 1024
 CHUNK_CELLS = 4_000_000
 
 
@@ -63,9 +63,8 @@ def _reachable_cells(centres: np.ndarray, radius: np.ndarray, closest: np.ndarra
     between = _distances(centres, centres)
     inner = closest.ravel()
 
-    @pandas_udf("array<int>")
-    def reachable(x: pd.Series) -> pd.Series:
-        gaps = _distances(_matrix(x), centres)
+    def cells_of(points: np.ndarray) -> list[np.ndarray]:
+        gaps = _distances(points, centres)
         upper = np.repeat(gaps, closest.shape[1], axis=1) + inner
         nth = min(k, upper.shape[1]) - 1
         bound = np.partition(upper, nth, axis=1)[:, nth][:, None]
@@ -76,7 +75,13 @@ def _reachable_cells(centres: np.ndarray, radius: np.ndarray, closest: np.ndarra
         plane = np.divide(gaps**2 - own**2, 2 * apart, out=np.zeros_like(gaps), where=apart > 0)
         lower = np.maximum(gaps - radius, plane)
         keep = (lower <= bound * (1 + 1e-9) + 1e-12) & (radius >= 0)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in keep])
+        return [np.flatnonzero(row).astype("int32") for row in keep]
+
+    @pandas_udf("array<int>")
+    def reachable(x: pd.Series) -> pd.Series:
+        points = _matrix(x)
+        step = max(1, CHUNK_CELLS // inner.size)
+        return pd.Series([c for i in range(0, len(points), step) for c in cells_of(points[i:i + step])])
 
     return reachable
 
