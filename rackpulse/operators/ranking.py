@@ -63,36 +63,51 @@ def value_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096).cast("int")
 
 
-def value_positions(
-    counts: DataFrame, group: list[str], value: str = "value", weight: str = "n"
-) -> DataFrame:
-    """Rows before each distinct value (``before``) and in its group (``total``).
-
-    ``counts`` holds one row per group and distinct value with its frequency, so a
-    slice holds each value once however often it occurs.
-    """
-    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
-    offsets = slice_offsets(sliced, group, weight=F.col(weight)).withColumn(
+def _value_offsets(sliced: DataFrame, group: list[str], weight: str) -> DataFrame:
+    return slice_offsets(sliced, group, weight=F.col(weight)).withColumn(
         "total", F.sum("_size").over(Window.partitionBy(*group))
-    ).drop("_size")
+    )
+
+
+def _place(sliced: DataFrame, offsets: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
+    """Adds ``before`` to the rows of the slices in ``offsets``."""
     inside = (
         Window.partitionBy(*group, "_slice").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        sliced.join(offsets, [*group, "_slice"])
+        sliced.join(offsets.drop("_size"), [*group, "_slice"])
         .withColumn("before", F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_before"))
         .drop("_slice", "_before")
     )
 
 
+def value_positions(
+    counts: DataFrame, group: list[str], value: str = "value", weight: str = "n"
+) -> DataFrame:
+    """Rows before each distinct value (``before``) and in its group (``total``).
+
+    ``counts`` holds one row per group and distinct value with its frequency, so a
+    slice holds each value once however often it occurs.
+    """
+    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
+    return _place(sliced, _value_offsets(sliced, group, weight), group, value, weight)
+
+
 def exact_medians(
     counts: DataFrame, group: list[str], value: str = "value", weight: str = "n"
 ) -> DataFrame:
-    """Interpolated median per group from distinct values and their frequencies."""
-    placed = value_positions(counts, group, value, weight)
-    lower = F.floor((F.col("total") - 1) / 2)
-    upper = F.floor(F.col("total") / 2)
+    """Interpolated median per group from distinct values and their frequencies.
+
+    The slice sizes tell which one or two slices hold the middle; only their values
+    are sorted.
+    """
+    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
+    middle = _value_offsets(sliced, group, weight).where(
+        (F.col("_before") <= upper) & (lower < F.col("_before") + F.col("_size"))
+    )
+    placed = _place(sliced, middle, group, value, weight)
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col(weight))
     return placed.groupBy(*group).agg(
         ((F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2)
