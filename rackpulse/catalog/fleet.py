@@ -260,7 +260,7 @@ def eligible_inventory(spark, d):
 
 
 def _skipped(spark, d):
-    """Skip list: hosts named like a supplier of the first region's nations."""
+    """Skip list: hosts named like a supplier with a low balance."""
     return t.read(spark, d, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").cast("string").alias("hostname"))
 
 
