@@ -71,8 +71,11 @@ def worded_lines(text: Column) -> Column:
 
 
 def n_duplicate_lines(text: Column) -> Column:
-    lines = worded_lines(text)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return _bound(worded_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+
+
+def n_capitals(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long")
 
 
 def _bound(value: Column, body) -> Column:
@@ -83,20 +86,12 @@ def _bound(value: Column, body) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words inside a three-word window that occurs at least twice in the text, the first occurrence included.
 
-    Windows are compared by a 64-bit hash. Most texts repeat none, which one sort of the hashes shows; only the
-    others pay for locating the repeated windows.
+    Windows are compared by a 64-bit hash. Most texts repeat none, which one set of the hashes shows; only the
+    others pay for the sort that locates the repeated windows.
     """
     def windows(w: Column) -> Column:
-        size = F.size(w)
-        return F.when(
-            size >= 3, F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        ).otherwise(F.array().cast("array<bigint>"))
-
-    def equal_neighbours(hashes: Column) -> Column:
-        return _bound(
-            F.sort_array(hashes),
-            lambda s: F.exists(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))),
-        )
+        size = F.greatest(F.size(w) - 2, F.lit(0))
+        return F.transform(F.arrays_zip(F.slice(w, 1, size), F.slice(w, 2, size), F.slice(w, 3, size)), lambda x: F.xxhash64(x))
 
     def located(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -110,7 +105,7 @@ def n_repeat_words(words: Column) -> Column:
         return F.size(F.array_distinct(covered))
 
     return _bound(
-        words, lambda w: _bound(windows(w), lambda h: F.when(equal_neighbours(h), located(h)).otherwise(F.lit(0)))
+        words, lambda w: _bound(windows(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), located(h)).otherwise(F.lit(0)))
     ).cast("long")
 
 
@@ -121,13 +116,12 @@ def base_failed(words: Column, repeated: Column, limits: Thresholds = Thresholds
 def rules(text: Column, limits: Thresholds = Thresholds()) -> list[Rule]:
     """The standard rules over a text column that is never null."""
     words = n_words(text)
-    letters, capitals = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Lu}"))
     lines = F.size(worded_lines(text))
     return [
         Rule("few_words", words < limits.min_words),
         Rule("repeated_windows", n_repeat_words(words_of(text)) * 100 > words * limits.max_repeat_percent),
         Rule("symbols", n_symbols(text) * 100 > words * limits.max_symbols_percent),
-        Rule("capitals", capitals * 100 > letters * limits.max_capitals_percent),
+        Rule("capitals", n_capitals(text) * 100 > word_chars(text) * limits.max_capitals_percent),
         Rule("duplicate_lines", n_duplicate_lines(text) * 100 > lines * limits.max_duplicate_lines_percent),
         Rule("word_length", ~word_chars(text).between(words * limits.min_mean_word, words * limits.max_mean_word)),
     ]
@@ -189,7 +183,7 @@ def judged(df: DataFrame, limits: Thresholds = Thresholds(), sample_rows: int =
     plan = ordered(checks, measure(docs, "text", checks, sample_rows))
     counted = docs.withColumn("words", words_of(F.col("text"))).select(
         "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        n_symbols(F.col("text")).alias("n_symbols"), n_duplicate_lines(F.col("text")).alias("n_dup_lines"),
+        n_symbols(F.col("text")).alias("n_symbols"), F.size(worded_lines(F.col("text"))).alias("n_lines"), n_duplicate_lines(F.col("text")).alias("n_dup_lines"),
         n_repeat_words(F.col("words")).alias("n_repeat_words"),
     )
     words = F.col("n_words")
@@ -197,6 +191,8 @@ def judged(df: DataFrame, limits: Thresholds = Thresholds(), sample_rows: int =
         "few_words": words < limits.min_words,
         "repeated_windows": F.col("n_repeat_words") * 100 > words * limits.max_repeat_percent,
         "symbols": F.col("n_symbols") * 100 > words * limits.max_symbols_percent,
+        "capitals": n_capitals(F.col("text")) * 100 > F.col("word_chars") * limits.max_capitals_percent,
+        "duplicate_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * limits.max_duplicate_lines_percent,
         "word_length": ~F.col("word_chars").between(words * limits.min_mean_word, words * limits.max_mean_word),
     }
     plan = [Rule(r.name, known.get(r.name, r.rejects)) for r in plan]
@@ -222,12 +218,12 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS te
        SELECT d.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
               length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
               len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-              length(regexp_replace(text, '\P{L}', '', 'g')) AS letters, length(regexp_replace(text, '\P{Lu}', '', 'g')) AS capitals
+              length(regexp_replace(text, '\P{Lu}', '', 'g')) AS capitals
        FROM docs d JOIN split USING (r) LEFT JOIN covered USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * capitals > 30 * letters
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * capitals > 30 * word_chars
             OR 100 * n_dup_lines > 40 * n_lines OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words) AS kept
 FROM counts
 """

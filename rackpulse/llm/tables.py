@@ -22,7 +22,7 @@ def text_of(column: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space, in order."""
-    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+    return F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"))
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
