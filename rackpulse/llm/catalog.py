@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import quality
+from rackpulse.llm import chat, classifier, fingerprint, jaccard, line_dedup, mixing, packing, quality, secret_scan, slack
 
-MODULES = (quality,)
+MODULES = (chat, line_dedup, secret_scan, quality, mixing, packing, fingerprint, jaccard, slack, classifier)
 
 
 def queries() -> dict:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +40,29 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Where a session in one process keeps its files if it names no folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as named in ``spark.checkpoint.dir``; there is no other choice on a cluster."""
+    """The folder all executors share, as named in ``spark.checkpoint.dir``.
+
+    A session whose executors are threads of the driver may name none; its own files then go when it ends.
+    A cluster session must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
+    own = f"{LOCAL_FOLDER}/llm-{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return LOCAL_FOLDER
+
+
+_own_folders: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
