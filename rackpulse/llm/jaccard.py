@@ -4,9 +4,10 @@ A document is the set of its distinct word shingles. Two documents link when the
 the threshold; the result is every document's connected component. No step compares all documents of a group:
 
 1. Documents with equal sets collapse to one representative.
-2. A link needs a shared shingle among the first few of both sets in one global order, so representatives are joined
-   only inside buckets of such shingles. The order puts shingles that many documents have last; a bucket of one
-   representative ends here. Most of a corpus does.
+2. In one global order of shingles, the first fifth of a set and c more must hold c shingles of every set it links
+   with (c: a twentieth of the set), so representatives meet only inside buckets of such shingles, and one with
+   fewer than c of its leading shingles in shared buckets ends here. Most of a corpus does. The order puts
+   shingles that many documents have last.
 3. Inside a bucket, shingles are hashed to ``GROUPS`` groups and the counts of the groups are a document's point. An
    R-tree over the points bounds the overlap of a document with a whole subtree by the summed minima of coordinates
    and prunes it; leaves give the pairs that may link.
@@ -43,9 +44,14 @@ GROUPS = 256
 #: A shingle in this share of all documents, and in this many at least, comes last in the order. The list of them is
 #: no longer than the mean set divided by the share.
 COMMON_SHARE, COMMON_LEAST = 0.002, 50
+#: A set's leading shingles are one in this many more than a single shared shingle would need.
+SHARED_PART = 20
 BLOCK = 2000
 LEAF = 32
 SATURATED = 255
+#: Bits of the filter for the ids whose sets are wanted; set hashes a task remembers to tell copies.
+FILTER_BITS = 1 << 23
+REMEMBERED = 1 << 20
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -53,6 +59,11 @@ def needed(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_least(size):
+    """Leading shingles that a set of this size shares at least with a set it links with that is no smaller."""
+    return 1 + size // SHARED_PART
+
+
 def group_counts(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Point of each set: how many shingles fall into each group (``SATURATED`` stands for that many or more)."""
     rows = len(at) - 1
@@ -193,11 +204,14 @@ def common_shingles(docs: DataFrame, words: int = WORDS, share: float = COMMON_S
 
 
 def signatures(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Size, set hash and leading shingles of every document (``doc_id``, ``n``, ``k1``, ``k2``, ``lead``)."""
+    """Size, set hash and leading shingles of every document (``doc_id``, ``n``, ``k1``, ``k2``, ``lead``).
+
+    Of equal sets that a task has seen before, ``lead`` is empty: another row of the same set has it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)  # bounded, see COMMON_SHARE
 
     def run(batches):
-        known = sent.value
+        known, seen = sent.value, set()
         for batch in batches:
             for begin, end, data, at in textbytes.chunks(batch.column(1)):
                 values, place = textbytes.shingle_sets(data, at, words)
@@ -207,12 +221,19 @@ def signatures(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent:
                 if len(known):
                     late = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
                 order = np.lexsort((values, late, row))
-                lead_size = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (textbytes.mixed(values), textbytes.mixed(~values))]
+                k1, k2 = (s[place[1:]] - s[place[:-1]] for s in sums)
+                new = np.zeros(len(size), bool)
+                for r, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                    if key not in seen:
+                        new[r] = True
+                        seen.add(key)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                lead_size = np.where(new & (size > 0), size - -(-percent * size // 100) + shared_least(size), 0)
                 take = np.arange(len(values)) - np.repeat(place[:-1], size) < np.repeat(lead_size, size)
                 lead = values[order][take].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(lead_size)])
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (textbytes.mixed(values), textbytes.mixed(~values))]
-                k1, k2 = (s[place[1:]] - s[place[:-1]] for s in sums)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lead))],
@@ -222,10 +243,35 @@ def signatures(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, lead array<long>")
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Sets of documents as ascending hashes (``rep``, ``items``)."""
+def _filter_bit(ids: np.ndarray) -> np.ndarray:
+    return (textbytes.mixed(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for every hash of an id: fixed in size, so it says "perhaps" more often when there are more ids."""
+    def run(batches):
+        for batch in batches:
+            yield {"bit": np.unique(_filter_bit(batch.column(0).to_numpy()))}
+
+    batches, schema = _arrow(run, "bit long")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.array([r["bit"] for r in ids.mapInArrow(batches, schema).distinct().toLocalIterator()], np.int64)
+    np.bitwise_or.at(out, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
+    return out
+
+
+def sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """Sets of the wanted documents, and perhaps of a few others, as ascending hashes (``rep``, ``items``).
+
+    The texts are read again where they lie; only sets travel.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER_BITS bits
+
     def run(batches):
+        bits = sent.value
         for batch in batches:
+            bit = _filter_bit(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array(bits[bit >> 3] >> (bit & 7) & 1 == 1))
             for begin, end, data, at in textbytes.chunks(batch.column(1)):
                 values, place = textbytes.shingle_sets(data, at, words)
                 yield pa.RecordBatch.from_arrays(
@@ -322,17 +368,22 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     some = made.filter(F.col("n") > 0)
     copies = written(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "copies")
 
-    # Buckets of more than one representative.
-    lead = some.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
-    entries = lead.select(F.explode("lead").alias("h"), F.col("doc_id").alias("rep"))
+    # Buckets of more than one representative, of those that share enough.
+    names = some.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"]).select("doc_id", "rep", "n")
+    enough = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_PART)
     bucket = Window.partitionBy("h")
-    entries = written(entries.withColumn("members", F.count("*").over(bucket)).filter(F.col("members") > 1), "buckets")
+    entries = some.select(F.explode("lead").alias("h"), "doc_id").withColumn("members", F.count("*").over(bucket)).filter(F.col("members") > 1)
+    entries = entries.select("h", "doc_id").join(names, "doc_id").withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
+    entries = entries.filter(F.col("shared") >= enough).select("h", "rep", "n").repartition("h").dropDuplicates(["h", "rep"])
+    entries = entries.withColumn("members", F.count("*").over(bucket)).filter(F.col("members") > 1)
+    entries = entries.withColumn("shared", F.count("*").over(Window.partitionBy("rep"))).filter(F.col("shared") >= enough)
+    entries = written(entries.select("h", "rep", "members"), "buckets")
 
     # Home buckets, with the sets.
     home = entries.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("home")).select("rep", F.col("home")["h"].alias("h"))
     home = home.withColumn("at_home", F.count("*").over(Window.partitionBy("h")))
     home = written(home, "homes")
-    items = written(sets(docs.join(home.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words), "sets")
+    items = written(sets(docs, home.select("rep"), words), "sets")
     dealt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("at_home") / BLOCK))
     members = home.filter(F.col("at_home") > 1).withColumn("block", dealt).join(items, "rep")
     links = written(home_links(members, percent), "home-links")

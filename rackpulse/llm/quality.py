@@ -127,14 +127,15 @@ def rules(text: Column, limits: Thresholds = Thresholds()) -> list[Rule]:
     ]
 
 
-def measure(df: DataFrame, text: str, checks: list[Rule], sample_rows: int = 400, repeats: int = 4) -> list[Measured]:
+def measure(df: DataFrame, text: str, checks: list[Rule], sample_rows: int = 400, repeats: int = 4, judged: str = "text") -> list[Measured]:
     """Seconds and rejected share of every rule on the first rows of the table, each in a job of its own.
 
     The sample (``sample_rows``) only steers the order of the rules. Each job judges every sampled row
-    ``repeats`` times, so that the rule outweighs the job around it, whose time alone is taken off.
+    ``repeats`` times, so that the rule outweighs the job around it, whose time alone is taken off. ``judged`` is the
+    name of the text in the rules.
     """
-    sample = df.select(text_of(text).alias("text")).limit(sample_rows)
-    rows = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("pass"))
+    sample = df.select(text_of(text).alias(judged)).limit(sample_rows)
+    rows = sample.select(judged, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("judged_again"))
 
     def run(condition: Column) -> tuple[float, int, int]:
         began = time.monotonic()
@@ -168,7 +169,7 @@ def kept(df: DataFrame, text: str = "text", limits: Thresholds = Thresholds(), s
     """The documents that no rule rejects, with all their columns."""
     (name,) = free(df, "judged_text")
     checks = rules(F.col(name), limits)
-    plan = ordered(checks, measure(df, text, checks, sample_rows))
+    plan = ordered(checks, measure(df, text, checks, sample_rows, judged=name))
     return df.withColumn(name, text_of(text)).filter(verdict(plan).isNull()).drop(name)
 
 

