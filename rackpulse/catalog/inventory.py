@@ -155,6 +155,23 @@ WITH {PARTS}, sp AS (SELECT DISTINCT system_product AS v FROM hw), pp AS (SELECT
 SELECT hostname, 'sp_' || v AS feature, CAST(system_product = v AS INT) AS n FROM hw CROSS JOIN sp
 UNION ALL SELECT hostname, 'pp_' || v, CASE WHEN cpu = v THEN n_cpu ELSE 0 END FROM hw CROSS JOIN pp"""
 
+def one_hot_hostname(spark, d):
+    """Host names and parts of all machines as sparse vectors, one row per index."""
+    values = inv.attribute_values(t.curated_parts(spark, d)).where(F.col("attribute").isin("hostname", "disks", "nics"))
+    vectors = inv.sparse_features(values, inv.label_dictionary(values))
+    return vectors.select("hostname", "attribute", "size", F.inline(F.arrays_zip("indices", "counts"))).withColumnsRenamed(
+        {"indices": "code", "counts": "n"}
+    )
+
+
+ONE_HOT_HOSTNAME = f"""
+WITH {PART_VALUES}, codes AS (
+  SELECT attribute, value, row_number() OVER (PARTITION BY attribute ORDER BY min(position * 10 + list_pos), value) - 1 AS code,
+    count(*) OVER (PARTITION BY attribute) AS size
+  FROM vals WHERE attribute IN ('hostname', 'disks', 'nics') GROUP BY 1, 2)
+SELECT hostname, attribute, any_value(size) AS size, code, count(*) AS n FROM vals JOIN codes USING (attribute, value)
+GROUP BY hostname, attribute, code"""
+
 # -- hardware groups -------------------------------------------------------------------
 
 
@@ -217,6 +234,7 @@ QUERIES = {
     ),
     "static_features": (static_features, STATIC_FEATURES),
     "one_hot_features": (one_hot_features, ONE_HOT),
+    "one_hot_hostname": (one_hot_hostname, ONE_HOT_HOSTNAME),
     "hwconfig_groups": (
         hwconfig_groups,
         f"WITH {GROUPS} SELECT row_number() OVER (ORDER BY first) - 1 AS code, first, n_machines FROM grp",

@@ -9,7 +9,6 @@ from rackpulse.catalog.tables import SAMPLES, fixed, sql_cpu_class, sql_fixed
 from rackpulse.functions.status import cpu_load_class
 from rackpulse.models import estimators, experiment
 from rackpulse.operators import evaluate, neighbours, profile
-from rackpulse.session import use_all_cores
 
 CLASSES = (0, 1)
 EMBEDDING_SIZE = 64
@@ -192,8 +191,6 @@ def _classifier(method: str):
         rows, names = _named_vectors(spark, d)
         classes = F.least("label", F.lit(3.0)) if ctype == "multi" else (F.col("label") > 4).cast("double")
         rows = rows.withColumn("label", classes)
-        if method in ("dt", "rf"):  # the table is one file, and trees grow per partition
-            rows = use_all_cores(rows)
         model = estimators.fit(rows, ctype, method, names, "label")
         return evaluate.outcome_counts(model.transform(rows), "label", "prediction")
 

@@ -138,7 +138,7 @@ usr AS (SELECT 'user' || n_nationkey AS username, lower(n_name) || '@example.org
 def polled(spark: SparkSession, folder: str) -> DataFrame:
     """Machines with their last load average and power; unknown where never read."""
     newest = lambda metric: F.coalesce(
-        F.max_by("value", F.when(F.col("metric") == metric, F.col("ts"))), F.lit(-1.0)
+        F.max_by("value", F.when(F.col("metric") == metric, F.struct("ts", "value"))), F.lit(-1.0)
     )
     last = measures(spark, folder).where(F.col("metric").isin("load_avg", "Pwr Consumption")).groupBy("host").agg(
         newest("load_avg").alias("load_avg"), newest("Pwr Consumption").alias("power")
@@ -225,7 +225,7 @@ def sql_loadavg_class(load: str) -> str:
 
 def _times(n: Column, build) -> Column:
     """Array of ``build(i)`` for i below n; empty when n is 0."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i < n), build)
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(0))), lambda i: i < n), build)
 
 
 def part_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,7 +342,7 @@ def hardware_texts(spark: SparkSession, folder: str) -> DataFrame:
         '"/></interface></lldp>\n',
     ))
     both = bind(hardware, lambda h: F.when(F.col("p_partkey") % 2 == 0, F.concat(lldp, h)).otherwise(F.concat(h, lldp)))
-    facts = session.use_all_cores(part_facts(spark, folder))
+    facts = part_facts(spark, folder)
     return facts.select("hostname", "position", both.alias("details"))
 
 

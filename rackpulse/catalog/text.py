@@ -9,7 +9,6 @@ from rackpulse.catalog import tables as t
 from rackpulse.catalog.tables import fixed, sql_fixed
 from rackpulse.functions import parse
 from rackpulse.operators.series import reading
-from rackpulse.session import use_all_cores
 from rackpulse.sources.dimensions import PRODUCT_FAMILIES
 from rackpulse.sources.readings import (
     bmc_readings, collector_readings, dump_summary, open_bmc_samples, with_util_flag,
@@ -22,7 +21,7 @@ def _s(col) -> Column:
 
 def _events(spark, d):
     """Events with their numeric property."""
-    events = use_all_cores(t.read(spark, d, "events"))
+    events = t.read(spark, d, "events")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 

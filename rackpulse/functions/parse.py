@@ -43,10 +43,12 @@ def description_field(description: Column | str, key: str) -> Column:
 
 
 def load_average(text: Column | str) -> Column:
-    """Five-minute figure behind ``load average:``; empty output is an error code."""
+    """Five-minute figure behind ``load average:``; empty output and output without a figure are the error code."""
     t = as_column(text)
     field = F.regexp_extract(t, r"load average:[^,]*,([^,]*)", 1)
-    return F.when(is_blank(t), F.lit(float(ERROR))).otherwise(F.trim(field).try_cast("double"))
+    return F.when(is_blank(t), F.lit(float(ERROR))).otherwise(
+        F.coalesce(F.trim(field).try_cast("double"), F.lit(float(ERROR)))
+    )
 
 
 def login_count(text: Column | str) -> Column:

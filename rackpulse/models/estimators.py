@@ -30,8 +30,9 @@ REGRESSORS = ("lir", "rir", "knnr", "svr_lin", "svr_poly", "svr_rbf")
 
 # Parameters of the methods.
 SEED, TREES, NEIGHBOURS_CLASS, NEIGHBOURS_REG, RIDGE_ALPHA, LOGISTIC_C = 30, 100, 5, 11, 0.1, 1.0
-MAX_TREE_DEPTH = 30  # MLlib's limit
-TREE_BINS = 256
+# Limits of MLlib's trees, the same for one tree and for a forest: deepest node (MLlib allows no more), split points
+# of a numeric feature, and memory for node statistics of one pass.
+MAX_TREE_DEPTH, TREE_BINS, TREE_MEMORY_MB = 30, 256, 1024
 
 
 def check_method(ctype: str, method: str) -> None:
@@ -63,9 +64,9 @@ def _stages(ctype: str, method: str, n_features: int, label: str, n_rows: int, l
     if method == "nbc":
         return [NaiveBayes(labelCol=label, modelType="gaussian")]
     # More memory for node statistics means fewer passes per tree level.
-    tree = {"labelCol": label, "seed": SEED, "maxDepth": MAX_TREE_DEPTH, "maxMemoryInMB": 1024}
+    tree = {"labelCol": label, "seed": SEED, "maxDepth": MAX_TREE_DEPTH, "maxBins": TREE_BINS, "maxMemoryInMB": TREE_MEMORY_MB}
     if method == "dt":
-        return [DecisionTreeClassifier(maxBins=TREE_BINS, **tree)]
+        return [DecisionTreeClassifier(**tree)]
     if method == "rf":
         return [RandomForestClassifier(numTrees=TREES, **tree)]
     if method == "lir":

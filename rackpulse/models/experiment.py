@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.models import estimators
 from rackpulse.operators import evaluate, features as feat
-from rackpulse.operators.skew import salted_join
+from rackpulse.operators.skew import keyed_join
 from rackpulse.session import rebalanced, scratch_path
 
 RESULT = (
@@ -151,19 +152,19 @@ def by_hardware_group(
 
     ``members`` has hwconfig, hostname and position. All groups are split and
     written by group and part in one pass, so a group's fit reads only its own
-    files. The driver holds the list of groups; ``at_once`` of them are fitted together.
+    files. The driver holds the list of groups; ``at_once`` of them are fitted together, in the
+    order of their codes or, with a random selection, in a random order of the seed.
     """
     spark = samples.sparkSession
     numbered = hardware_numbers(members)
     groups = {r["code"]: r["hwconfig"] for r in numbered.collect()}
-    coded = salted_join(members, numbered, ["hwconfig"], ["hostname"])
-    spread = [f"`{c}`" for c in samples.columns if c != "host"]
+    coded = keyed_join(members, numbered, ["hwconfig"])
     rows: list = []
     for i in range(n_experiments):
         split = feat.machine_split(coded, "code", "hostname", "position", selection, task.seed + i)
         parts = split.select(F.col("hostname").alias("host"), "code", "part")
         path = scratch_path(spark, "experiment")
-        joined = salted_join(samples, parts, ["host"], spread)
+        joined = keyed_join(samples, parts, ["host"])
         rebalanced(joined, "code", "part").write.partitionBy("code", "part").parquet(path)
         stored = spark.read.parquet(path)
         tested = {r["code"] for r in parts.where("part = 'test'").select("code").distinct().collect()}
@@ -175,7 +176,10 @@ def by_hardware_group(
             return run_one(of("train"), of("test") if code in tested else None, task, groups[code], i)[0]
 
         with ThreadPoolExecutor(max_workers=at_once) as pool:
-            for found in pool.map(run, sorted(groups)):
+            order = sorted(groups)
+            if selection == "random":
+                random.Random(task.seed + i).shuffle(order)
+            for found in pool.map(run, order):
                 rows += found
     return spark.createDataFrame(rows, RESULT)
 

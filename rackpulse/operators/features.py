@@ -14,7 +14,7 @@ from rackpulse.functions.status import (
 from rackpulse.operators.ranking import (
     hash_slice, rank_in_group, shuffled_order, slice_offsets, value_positions,
 )
-from rackpulse.operators.skew import salted_join
+from rackpulse.operators.skew import keyed_join
 from rackpulse.session import materialise
 
 # Features that stay even when their correlation is undefined.
@@ -105,8 +105,7 @@ def complete_rows(df: DataFrame, columns: list[str], optional: list[str], host:
     reported = df.groupBy(host).agg(
         *[F.max(F.col(f"`{c}`").isNotNull()).alias(flag) for c, flag in zip(optional, flags)]
     )
-    spread = [c for c in df.columns if c != host]
-    joined = salted_join(full, reported, [host], [f"`{c}`" for c in spread])
+    joined = keyed_join(full, reported, [host])
     return joined.where(
         all_of([F.col(f"`{c}`").isNotNull() | ~F.col(flag) for c, flag in zip(optional, flags)])
     ).drop(*flags)
@@ -189,7 +188,7 @@ def machine_split(
     slice_of = hash_slice(F.col("_order")) if selection == "random" else F.floor(F.col("_order") / 4096)
     ranked = rank_in_group(ordered, [group], slice_of, ["_order", position], "_rank")
     sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
-    joined = salted_join(ranked, sizes, [group], [position])
+    joined = keyed_join(ranked, sizes, [group])
     train = F.greatest(F.floor(F.col("_n") * 0.5), F.lit(1))
     return joined.withColumn(
         "part", F.when(F.col("_rank") <= train, "train").otherwise("test")

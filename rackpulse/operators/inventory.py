@@ -9,7 +9,7 @@ from rackpulse.functions import hardware as hw
 from rackpulse.functions.parse import description_field
 from rackpulse.functions.status import OFF, UNKNOWN
 from rackpulse.operators.ranking import rank_in_group
-from rackpulse.operators.skew import last_wins, salted_join
+from rackpulse.operators.skew import last_wins, keyed_join
 from rackpulse.session import materialise
 from rackpulse.sources.dimensions import GPU_UNITS
 
@@ -24,8 +24,6 @@ DICTIONARY_ATTRIBUTES = (
     "hostname", "system_vendor", "system_product", "processor_vendor", "processor_product",
     "accelerators", "disks", "nics",
 )
-# Wide features need their column names up front; past this many, use the long form.
-WIDE_LIMIT = 5000
 
 
 # -- selection ---------------------------------------------------------------
@@ -228,15 +226,13 @@ def dictionary_members(values: DataFrame) -> DataFrame:
     return values.select("attribute", "value", "hostname").distinct()
 
 
-def vocabularies(
-    dictionary: DataFrame, attributes: list[str], limit: int = WIDE_LIMIT
-) -> dict[str, list[str]]:
-    """Sorted values of each attribute, for use as column names; too many is an error."""
+def vocabularies(dictionary: DataFrame, attributes: list[str]) -> dict[str, list[str]]:
+    """Sorted values of each attribute, for use as column names.
+
+    A plan has its column names on the driver; for a vocabulary that grows with the fleet use
+    ``sparse_features``, which keeps it in the cluster.
+    """
     chosen = dictionary.where(F.col("attribute").isin(attributes))
-    sizes = {r["attribute"]: r["count"] for r in chosen.groupBy("attribute").count().collect()}
-    large = [a for a, n in sizes.items() if n > limit]
-    if large:
-        raise ValueError(f"{large} have more than {limit} values; use part_counts instead")
     words: dict[str, list[str]] = {a: [] for a in attributes}
     for row in chosen.select("attribute", "value").collect():
         words[row["attribute"]].append(row["value"])
@@ -248,6 +244,21 @@ def part_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("hostname", "attribute", "value").agg(F.count("*").alias("n"))
 
 
+def sparse_features(values: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """1-hot and n-hot encoding of any vocabulary: a sparse vector per machine and attribute.
+
+    ``indices`` are the dictionary's codes, ascending, ``counts`` how often the machine has the value, ``size`` the
+    number of codes. Neither the vocabulary nor a machine's row grows with the fleet, only the number of rows.
+    """
+    codes = dictionary.select("attribute", "value", "code")
+    sizes = dictionary.groupBy("attribute").agg(F.count("*").alias("size"))
+    held = keyed_join(part_counts(values), codes, ["attribute", "value"])
+    pairs = held.groupBy("hostname", "attribute").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("p"))
+    return keyed_join(pairs, sizes, ["attribute"]).select(
+        "hostname", "attribute", "size", F.col("p.code").alias("indices"), F.col("p.n").alias("counts")
+    )
+
+
 def n_hot(values: Column, words: list[str], prefix: str) -> list[Column]:
     """One count column per vocabulary word."""
     def count_of(word: str) -> Column:
@@ -257,9 +268,9 @@ def n_hot(values: Column, words: list[str], prefix: str) -> list[Column]:
 
 
 def static_features(
-    machines: DataFrame, dictionary: DataFrame, encodings: dict[str, str]
+    machines: DataFrame, dictionary: DataFrame, encodings: dict[str, str], sparse: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Wide hardware features per machine.
+    """Wide hardware features per machine; the attributes in ``sparse`` are left to ``sparse_features``.
 
     ``encodings`` gives ``1-hot`` or ``label`` for hostname, system_product and
     processor_product; accelerators, disks and nics are n-hot.
@@ -267,7 +278,7 @@ def static_features(
     df = machines
     columns: list[Column] = []
     hot = [a for a, e in encodings.items() if e == "1-hot"]
-    words = vocabularies(dictionary, [*hot, "accelerators", "disks", "nics"])
+    words = vocabularies(dictionary, [*hot, *(a for a in ("accelerators", "disks", "nics") if a not in sparse)])
     singles = (("hostname", "hn_", F.array("hostname")), ("system_product", "sp_", F.array("system_product")),
                ("processor_product", "pp_", F.col("processor_product")))
     for attribute, prefix, values in singles:
@@ -281,11 +292,13 @@ def static_features(
             if attribute == "hostname":  # one machine per value, nothing to spread
                 df = df.join(codes, "_value", "left").drop("_value")
             else:
-                df = salted_join(df, codes, ["_value"], ["hostname"], "left").drop("_value")
+                df = keyed_join(df, codes, ["_value"], "left").drop("_value")
             columns.append(F.col(f"_{attribute}").alias(
                 "hostname_code" if attribute == "hostname" else attribute
             ))
     for attribute, prefix in (("accelerators", "accel_"), ("disks", "disk_"), ("nics", "nic_")):
+        if attribute in sparse:
+            continue
         columns += n_hot(_products(attribute), words[attribute], prefix)
     totals = [
         F.size("processor_product").alias("processor_count"),
@@ -337,7 +350,7 @@ def hardware_members(machines: DataFrame, processor_label: bool = False) -> Data
 def coded_members(machines: DataFrame, position: str = "position") -> DataFrame:
     """Code of each machine's hardware configuration; a common configuration is spread over tasks."""
     groups = hardware_groups(machines, position).select("hwconfig", "code")
-    return salted_join(hardware_members(machines), groups, ["hwconfig"], ["hostname"]).select("hostname", "code")
+    return keyed_join(hardware_members(machines), groups, ["hwconfig"]).select("hostname", "code")
 
 
 def members_with_samples(members: DataFrame, samples: DataFrame, host: str = "host") -> DataFrame:

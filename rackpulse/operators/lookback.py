@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.operators.skew import salted_join
+from rackpulse.operators.skew import keyed_join
 from rackpulse.session import materialise
 
 # Metric names of the measure table.
@@ -16,11 +16,11 @@ DAY = "INTERVAL 1 DAY"
 
 
 def latest_measures(measures: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    """Newest value of each metric per host; a login count needs two measures."""
+    """Newest value of each metric per host, of equal times the larger; a login count needs two measures."""
     chosen = measures if metrics is None else measures.where(F.col("metric").isin(*metrics))
     return (
         chosen.groupBy("host", "metric")
-        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"), F.count("*").alias("n"))
+        .agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("ts"), F.count("*").alias("n"))
         .where((F.col("metric") != LOGIN) | (F.col("n") >= 2))
     )
 
@@ -34,7 +34,7 @@ def anchors(measures: DataFrame) -> DataFrame:
         .groupBy("host")
         .agg(
             F.count_if(login).alias("n_login"),
-            F.max_by("value", F.when(login, F.col("ts"))).alias("login_count"),
+            F.max_by("value", F.when(login, F.struct("ts", "value"))).alias("login_count"),
             F.max(F.when(login, F.col("ts"))).alias("anchor"),
             F.max(F.when(load, F.col("ts"))).alias("newest_load"),
             F.max(F.when(power, F.col("ts"))).alias("newest_power"),
@@ -59,13 +59,13 @@ def lookbacks(measures: DataFrame) -> DataFrame:
         F.col("metric").isin(LOAD, POWER) & (F.col("ts") > oldest - F.expr(DAY)) & (F.col("ts") < newest)
     ).select("host", "metric", "ts", "value")
     # An anchored host has few rows; spreading it keeps one chatty host off one task.
-    joined = salted_join(day, starts, ["host"], ["ts", "metric"]).where(
+    joined = keyed_join(day, starts, ["host"]).where(
         (F.col("ts") < F.col("anchor")) & (F.col("ts") > F.col("anchor") - F.expr(DAY))
     )
     load = (F.col("metric") == LOAD) & (F.col("ts") < F.col("newest_load"))
     power = (F.col("metric") == POWER) & (F.col("ts") < F.col("newest_power"))
     found = joined.groupBy("host").agg(
-        F.max_by("value", F.when(load & (F.col("value") > 0), F.col("ts"))).alias("last_load"),
+        F.max_by("value", F.when(load & (F.col("value") > 0), F.struct("ts", "value"))).alias("last_load"),
         F.max(F.when(load & (F.col("value") == 0), 0.0)).alias("zero_load"),
         F.avg(F.when(power & (F.col("value") > 0), F.col("value"))).alias("mean_power"),
     )

@@ -129,10 +129,10 @@ def spread_readings(df: DataFrame) -> DataFrame:
 
 
 def aligned_samples(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int) -> DataFrame:
-    """Last value of each window boundary a sampler aligns to."""
+    """Last value of each window boundary a sampler aligns to; of equal times the larger value."""
     start = F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds")["start"]
     return df.groupBy(*keys, start.alias("window_start")).agg(
-        F.max_by(value, ts).alias(value), F.count("*").alias("n")
+        F.max_by(value, F.struct(ts, value)).alias(value), F.count("*").alias("n")
     )
 
 

@@ -6,21 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 32
+def keyed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a large frame to one with few rows per key.
 
-
-def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a large frame to one with few rows per key, spreading each key over ``salts`` groups.
-
-    The small side is repeated per salt; the large side picks its salt from the
-    ``spread`` columns, so the choice is the same when a task runs again.
+    The plan is left to adaptive execution: a small side is broadcast by its measured size, and where it is not, a
+    partition that one key fills is split over as many tasks as its size asks for.
     """
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.parse import machine_links
 from rackpulse.operators.lookback import EXHAUST, INLET
-from rackpulse.operators.skew import salted_join
+from rackpulse.operators.skew import keyed_join
 
 SUBJECT = "Unsafe operating temperature alert"
 
@@ -16,9 +16,9 @@ MAX_INLET = 21
 
 
 def latest_temperatures(measures: DataFrame) -> DataFrame:
-    """Last inlet and exhaust temperature per host, as two columns."""
+    """Last inlet and exhaust temperature per host, as two columns; of equal times the larger value."""
     wanted = measures.where(F.col("metric").isin(INLET, EXHAUST))
-    newest = lambda m: F.max_by("value", F.when(F.col("metric") == m, F.col("ts")))
+    newest = lambda m: F.max_by("value", F.when(F.col("metric") == m, F.struct("ts", "value")))
     return wanted.groupBy("host").agg(newest(INLET).alias("inlet_temp"), newest(EXHAUST).alias("exhaust_temp"))
 
 
@@ -37,7 +37,7 @@ def unsafe_machines(machines: DataFrame, measures: DataFrame, limits: DataFrame)
 
 def alerts(unsafe: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
     owners = users.select(F.col("username").alias("owner"), "email")
-    return salted_join(unsafe, owners, ["owner"], ["host"]).select(
+    return keyed_join(unsafe, owners, ["owner"]).select(
         "owner", "email", F.lit(SUBJECT).alias("subject"), "host", F.lit("unsafe temperature").alias("reason"),
         machine_links(base_url, "system_id").alias("links"),
     )

@@ -9,7 +9,7 @@ from rackpulse.functions.parse import machine_links
 from rackpulse.functions.status import verdict_of
 from rackpulse.operators.lookback import lookbacks
 from rackpulse.operators.rollup import counter_points, verdict_counts, verdict_power
-from rackpulse.operators.skew import salted_join
+from rackpulse.operators.skew import keyed_join
 from rackpulse.session import materialise
 from rackpulse.sinks import tables
 
@@ -30,7 +30,7 @@ def alerts(verdicts: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
     Long form on purpose: the machines of one owner are never gathered in one row.
     """
     owners = users.select(F.col("username").alias("owner"), "email")
-    return salted_join(verdicts.where("verdict = 'zero'"), owners, ["owner"], ["host"]).select(
+    return keyed_join(verdicts.where("verdict = 'zero'"), owners, ["owner"]).select(
         "owner", "email", F.lit(SUBJECT).alias("subject"), "host", F.lit("under-utilised").alias("reason"),
         machine_links(base_url, "system_id").alias("links"),
     )
@@ -62,8 +62,8 @@ def nightly_run(
     verdicts = materialise(machine_verdicts(machines, measures), "verdicts")
     if alert_path:
         tables.alerts(alerts(verdicts, users, base_url), alert_path)
-    if point_path:
-        tables.points(counter_measures(verdicts), point_path)
+    if point_path and not tables.points(counter_measures(verdicts), point_path):
+        raise OSError(f"the counters of this run are not in {point_path}; run it again")
     return verdicts
 
 

@@ -55,15 +55,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rackpulse-{application}/{name}-{uuid.uuid4().hex}"
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spreads an input of fewer splits than cores before costly per-row work.
-
-    An input large enough to fill the cores is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
     """Rows gathered by the columns for a partitioned write.
 

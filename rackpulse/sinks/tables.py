@@ -19,7 +19,10 @@ def curated_machines(df: DataFrame, path: str, as_json: bool = False) -> None:
 
 
 def host_list(df: DataFrame, path: str, host: str = "hostname") -> None:
-    df.select(host).distinct().write.mode("overwrite").text(path)
+    """Distinct hosts, a JSON row each; ``sources.files.host_list`` reads them back, with the place where there is one."""
+    place = F.min("position") if "position" in df.columns else F.lit(None)
+    hosts = df.groupBy(F.col(host).alias("hostname")).agg(place.cast("int").alias("position"))
+    hosts.write.mode("overwrite").json(path)
 
 
 def dictionary(df: DataFrame, path: str) -> None:
@@ -60,12 +63,12 @@ def encoded_parts(df: DataFrame, path: str) -> None:
 
 
 def points(df: DataFrame, path: str) -> bool:
-    """Appends points by measurement and day. A failed write is logged and the run goes on."""
+    """Appends points by measurement and day. A failed write is logged and told; the caller keeps the points."""
     try:
         dated = rebalanced(df.withColumn("date", F.to_date("time")), "measurement", "date")
         dated.write.mode("append").partitionBy("measurement", "date").parquet(path)
         return True
-    except Exception:  # noqa: BLE001 - losing one poll must not stop the collector
+    except Exception:  # noqa: BLE001 - the other stores of a poll still run; the caller raises afterwards
         log.exception("writing points to %s failed", path)
         return False
 

@@ -103,9 +103,6 @@ PRODUCT_FAMILIES = {
     "SYS-7048GR-TR (Default string)": "Default",
 }
 
-# Machines the fleet collectors leave out by default.
-SKIPPED_MACHINES = ("sindhu",)
-
 
 def product_temperatures(spark: SparkSession) -> DataFrame:
     rows = [(p, low, high) for p, (low, high) in PRODUCT_TEMPERATURES.items()]
@@ -153,5 +150,6 @@ def sensor_profiles(
     return F.broadcast(spark.createDataFrame(rows, schemas.SENSOR_PROFILE))
 
 
-def skip_list(spark: SparkSession, hostnames: tuple[str, ...] = SKIPPED_MACHINES) -> DataFrame:
+def skip_list(spark: SparkSession, hostnames: tuple[str, ...] = ()) -> DataFrame:
+    """Machines the fleet collectors leave out; ``sources.files.host_list`` reads them from a file."""
     return spark.createDataFrame([(h,) for h in hostnames], "hostname string")

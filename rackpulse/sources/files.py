@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse import schemas
 from rackpulse.functions.parse import WORKLOADS, host_bucket, keyed_json, sample_file_fields
+from rackpulse.operators.skew import last_wins
 from rackpulse.session import prepare
 
+# The fields of a roster entry that are taken over.
+ROSTER_FIELDS = ("hostname", "ip_address", "user", "power_state", "power_user", "power_driver", "power_address")
+
 
 def machines(spark: SparkSession, path: str) -> DataFrame:
     """Machine documents, one JSON object or list per file."""
@@ -20,11 +25,20 @@ def curated_machines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def host_list(spark: SparkSession, path: str) -> DataFrame:
-    """Hosts of a JSON list with their place in it; also used for chosen subsets."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(
-        F.posexplode(F.from_json("value", "array<string>")).alias("position", "hostname")
+    """Hosts with their place in the list; also used for chosen subsets and skip lists.
+
+    A file holds one JSON list of names, or a row per host as ``sinks.tables.host_list`` writes it. Anything else
+    is an error.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value")).where("value != ''")
+    strict = {"mode": "FAILFAST"}
+    is_list = F.startswith("value", F.lit("["))
+    lists = text.where(is_list).select(
+        F.posexplode(F.from_json("value", "array<string>", strict)).alias("position", "hostname")
     )
+    lines = text.where(~is_list).select(F.explode(F.split("value", "\n")).alias("line")).where("trim(line) != ''")
+    rows = lines.select(F.from_json("line", "position int, hostname string", strict).alias("r")).select("r.*")
+    return lists.unionByName(rows)
 
 
 def _host_of_file(suffix: str):
@@ -42,22 +56,36 @@ def power_parameters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def roster(spark: SparkSession, path: str) -> DataFrame:
-    """Unmanaged machines from a small YAML list; an empty list gives no rows."""
+    """Unmanaged machines from YAML lists; an empty list gives no rows.
+
+    Every file is read; of several entries of a host the last by file name and place wins.
+    """
     try:
         import yaml
     except ImportError as error:  # pragma: no cover - depends on the installation
         raise RuntimeError("reading a YAML roster needs PyYAML") from error
-    text = spark.read.text(path, wholetext=True).first()
-    entries = (yaml.safe_load(text["value"]) or {}).get("machines") if text else None
-    return roster_rows(spark, [e for e in entries or [] if e])
+
+    def parsed(batches):
+        for files in batches:
+            rows = [
+                (name, place, *(None if e.get(n) is None else str(e[n]) for n in ROSTER_FIELDS))
+                for name, text in zip(files["file"], files["value"])
+                for place, e in enumerate((yaml.safe_load(text) or {}).get("machines") or []) if e
+            ]
+            yield pd.DataFrame(rows, columns=["file", "place", *ROSTER_FIELDS])
+
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = text.mapInPandas(parsed, "file string, place int, " + ", ".join(f"{n} string" for n in ROSTER_FIELDS))
+    return last_wins(rows, ["hostname"], ["file", "place"]).drop("file", "place")
 
 
 def roster_rows(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """Roster entries as rows; the password is not taken over."""
-    names = ("hostname", "ip_address", "user", "power_state", "power_user", "power_driver", "power_address")
-    return spark.createDataFrame(
-        [tuple(e.get(n) for n in names) for e in entries], ", ".join(f"{n} string" for n in names)
-    ).dropDuplicates(["hostname"])
+    """Roster entries as rows, the last of each host; the password is not taken over."""
+    rows = spark.createDataFrame(
+        [(i, *(e.get(n) for n in ROSTER_FIELDS)) for i, e in enumerate(entries)],
+        "place int, " + ", ".join(f"{n} string" for n in ROSTER_FIELDS),
+    )
+    return last_wins(rows, ["hostname"], ["place"]).drop("place")
 
 
 def hardware_details(spark: SparkSession, path: str) -> DataFrame:
@@ -126,9 +154,16 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def benchmark_result(spark: SparkSession, path: str) -> DataFrame:
-    """Host samples of a benchmark run kept as one timestamp-keyed JSON text per host."""
+    """Host samples of a benchmark run kept as one timestamp-keyed JSON text per host.
+
+    Host, run and workload come from the file name (``<run>_<sequence>-<host>-<workload>-<type>-<host>_data.json``); they are
+    null for a file named otherwise.
+    """
     text = prepare(spark).read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    rows = text.select(
-        F.col("_metadata.file_name").alias("file"), F.explode(keyed_json("value")).alias("ts", "readings")
+    named = text.select(
+        F.col("_metadata.file_name").alias("file"), sample_file_fields(F.col("_metadata.file_name")).alias("f"), "value"
+    )
+    rows = named.select(
+        "file", "f.run_ts", "f.host", "f.workload", F.explode(keyed_json("value")).alias("ts", "readings")
     )
     return rows.withColumn("ts", F.try_to_timestamp("ts"))

@@ -22,7 +22,7 @@ def poll_status(points: DataFrame, poll: str = POLL, lateness: str = LATENESS) -
     both steps are aggregations in append mode. Works on batch frames as well.
     """
     host = F.col("tags")["host"]
-    newest = lambda m: F.max_by("value", F.when(F.col("measurement") == m, F.col("time")))
+    newest = lambda m: F.max_by("value", F.when(F.col("measurement") == m, F.struct("time", "value")))
     per_host = (
         points.where(F.col("measurement").isin("load_avg", "pwr_consumption"))
         .withWatermark("time", lateness)
@@ -46,6 +46,6 @@ def aligned_stream(
     return (
         samples.withWatermark(ts, lateness)
         .groupBy(F.window(ts, f"{seconds} seconds").alias("w"), *keys)
-        .agg(F.max_by(value, ts).alias(value), F.count("*").alias("n"))
+        .agg(F.max_by(value, F.struct(ts, value)).alias(value), F.count("*").alias("n"))
         .select(*keys, F.col("w.start").alias("window_start"), value, "n")
     )

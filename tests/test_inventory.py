@@ -32,12 +32,12 @@ def test_eligibility(spark):
     machines = raw(
         spark, {"hostname": "ok"}, {"hostname": "vm", "tag_names": ["virtual"]}, {"hostname": "new", "status_name": "New"},
         {"hostname": "failed", "status_name": "Failed commissioning"}, {"hostname": "busy", "status_name": "Commissioning"},
-        {"hostname": "no-ip", "ip_addresses": []}, {"hostname": "sindhu"},
+        {"hostname": "no-ip", "ip_addresses": []}, {"hostname": "skipped"},
     )
-    assert names(inv.inventory_machines(machines)) == ["no-ip", "ok", "sindhu"]
-    assert names(inv.inventory_machines(machines, commissioning_too=True)) == ["busy", "no-ip", "ok", "sindhu"]
-    assert names(inv.telemetry_machines(machines, skip_list(spark))) == ["busy", "failed", "ok"]
-    assert names(inv.telemetry_machines(machines, skip_list(spark), ["Deployed"])) == ["ok"]
+    assert names(inv.inventory_machines(machines)) == ["no-ip", "ok", "skipped"]
+    assert names(inv.inventory_machines(machines, commissioning_too=True)) == ["busy", "no-ip", "ok", "skipped"]
+    assert names(inv.telemetry_machines(machines, skip_list(spark, ("skipped",)))) == ["busy", "failed", "ok"]
+    assert names(inv.telemetry_machines(machines, skip_list(spark, ("skipped",)), ["Deployed"])) == ["ok"]
 
 
 def test_override_and_power_parameters(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rackpulse import schemas
 from rackpulse.operators import lookback, series
 from rackpulse.operators.series import SECOND, curate_samples, tolerance_join
-from rackpulse.operators.skew import last_wins, salted_join
+from rackpulse.operators.skew import last_wins, keyed_join
 
 START = datetime(2024, 1, 1)
 
@@ -96,11 +96,11 @@ def test_last_wins_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
 
 
-def test_salted_join_keeps_rows(spark):
+def test_keyed_join_keeps_rows(spark):
     big = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
-    assert salted_join(big, small, ["k"], ["id"]).count() == 667
-    assert salted_join(big, small, ["k"], ["id"], "left").count() == 1000
+    assert keyed_join(big, small, ["k"]).count() == 667
+    assert keyed_join(big, small, ["k"], "left").count() == 1000
 
 
 def measures(spark, rows):

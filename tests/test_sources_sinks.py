@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rackpulse.functions.parse import WORKLOADS
 from rackpulse import schemas
 from rackpulse.operators.features import EncodeOptions
 from rackpulse.plans.load_inference import encoded_from_raw
@@ -78,6 +79,9 @@ def test_inventory_files(spark, tmp_path):
     assert files.text_dumps(spark, str(tmp_path / "dump"), "sdr").first()["host"] == "h1"
     put(tmp_path / "bench", "h1.json", {START + "01.0": {"cpuload_total": 1}})
     assert files.benchmark_result(spark, str(tmp_path / "bench")).first()["readings"] == {"cpuload_total": "1"}
+    put(tmp_path / "bench2", f"20240101_120000_1-h-1-{WORKLOADS[0]}-x-host_data.json", {START + "01.0": {"cpuload_total": 1}})
+    row = files.benchmark_result(spark, str(tmp_path / "bench2")).first()
+    assert (row["run_ts"], row["host"], row["workload"]) == ("20240101_120000", "h-1", WORKLOADS[0])
     put(tmp_path / "limits", "limits.json", {"P": {"min": 5, "max": 40}})
     limits = dimensions.read_product_temperatures(spark, str(tmp_path / "limits"))
     assert tuple(limits.first()) == ("P", 5, 40)
@@ -92,6 +96,10 @@ def test_roster(spark, tmp_path):
     assert files.roster(spark, str(tmp_path / "none.yml")).count() == 0
     rows = files.roster(spark, str(tmp_path / "two.yml"))
     assert rows.count() == 1 and "power_pass" not in rows.columns
+    put(tmp_path / "folder", "a.yml", "machines:\n  - hostname: a\n    user: first\n  - hostname: b\n")
+    put(tmp_path / "folder", "b.yml", "machines:\n  - hostname: a\n    user: last\n")
+    rows = files.roster(spark, str(tmp_path / "folder")).collect()
+    assert sorted((r["hostname"], r["user"]) for r in rows) == [("a", "last"), ("b", None)]
 
 
 def test_encoded_csv_joins_by_key(spark, tmp_path):
@@ -123,7 +131,10 @@ def test_other_sinks(spark, tmp_path):
     got = spark.read.csv(str(tmp_path / "static"), header=True).first()
     assert (got["memory_capacity"], got["disk_capacity"]) == ("1.23", "2.00")
     tables.host_list(rows, str(tmp_path / "hosts"))
-    assert spark.read.text(str(tmp_path / "hosts")).first()[0] == "h"
+    assert [tuple(r) for r in files.host_list(spark, str(tmp_path / "hosts")).collect()] == [(None, "h")]
+    put(tmp_path / "bad", "machines.json", "h1\nh2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.host_list(spark, str(tmp_path / "bad")).collect()
     alerts = spark.createDataFrame([("u", "e", "s", "h", "r", ["l"])], "owner string, email string, subject string, host string, reason string, links array<string>")
     tables.alerts(alerts, str(tmp_path / "alerts"))
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 1
