@@ -110,21 +110,23 @@ def dataset_shape(spark, d):
 
 
 def sensor_truth_join(spark, d):
-    """Sensor rows joined to their labels on host and time, where both arrive apart."""
-    orders = t.read(spark, d, "orders").select(
-        F.col("o_custkey").alias("host"), F.col("o_orderkey").alias("time"), "o_totalprice",
+    """Sensor rows joined to their labels on host and time, from two tables that share part of their keys."""
+    sensors = t.read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("host"), F.col("l_linenumber").cast("bigint").alias("time"),
+        (F.col("l_extendedprice") / 1000).alias("overall_power"),
     )
-    sensors = orders.select("host", "time", (F.col("o_totalprice") / 1000).alias("overall_power"))
-    truth = orders.where("o_totalprice > 50000").select(
-        "host", "time", cpu_load_class(F.col("o_totalprice") / 5000, 12.0).alias("load")
+    truth = t.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("host"), (F.col("o_custkey") % 7 + 1).alias("time"),
+        cpu_load_class(F.col("o_totalprice") / 5000, 12.0).alias("load"),
     )
     joined = sensors_with_truth(sensors, truth)
     return joined.select("host", "time", fixed("overall_power").alias("overall_power"), "load")
 
 
 SENSOR_TRUTH = f"""
-SELECT o_custkey AS host, o_orderkey AS time, {sql_fixed('o_totalprice / 1000')} AS overall_power,
-  {sql_cpu_class('o_totalprice / 5000', 12.0)} AS load FROM orders WHERE o_totalprice > 50000"""
+SELECT o_orderkey AS host, l_linenumber::BIGINT AS time, {sql_fixed('l_extendedprice / 1000')} AS overall_power,
+  {sql_cpu_class('o_totalprice / 5000', 12.0)} AS load
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 7 + 1"""
 
 
 def load_range(spark, d):

@@ -199,9 +199,9 @@ SELECT k.hostname, c.code FROM keyed k JOIN coded c ON k.system_product = c.syst
 
 
 def groups_with_data(spark, d):
-    """Machines of a hardware group that have samples: parts sold at least once in a large lot."""
+    """Machines of a hardware group that have samples: parts sold at least once."""
     members = inv.hardware_members(t.curated_parts(spark, d))
-    sold = t.read(spark, d, "lineitem").where("l_quantity >= 45").select(
+    sold = t.read(spark, d, "lineitem").select(
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("host")
     )
     return inv.members_with_samples(members, sold).select("hostname")
@@ -241,8 +241,8 @@ QUERIES = {
     ),
     "hwconfig_members": (hwconfig_members, HWCONFIG_MEMBERS),
     "groups_with_data": (
-        groups_with_data, "SELECT DISTINCT 'p' || l_partkey AS hostname FROM lineitem WHERE l_quantity >= 45 "
-        "AND l_partkey IN (SELECT p_partkey FROM part)",
+        groups_with_data, "SELECT DISTINCT 'p' || l_partkey AS hostname FROM lineitem "
+        "WHERE l_partkey IN (SELECT p_partkey FROM part)",
     ),
     "default_subset": (default_subset, DEFAULT_SUBSET),
 }

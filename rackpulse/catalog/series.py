@@ -16,10 +16,10 @@ HOUR = 3600 * SECOND
 
 
 def _sides(spark, d, *columns):
-    """Views as BMC rows and clicks as host rows."""
-    events = t.read(spark, d, "events").withColumn("t", micros("ts"))
-    side = lambda kind: events.where(F.col("event_type") == kind).select(*columns, "event_id", "t")
-    return side("view"), side("click")
+    """Views and purchases as BMC rows, all other events as host rows."""
+    events = t.read(spark, d, "events").withColumn("t", micros("ts")).withColumn("bmc", F.col("event_type").isin("view", "purchase"))
+    side = lambda bmc: events.where(F.col("bmc") == bmc).select(*columns, "event_id", "t")
+    return side(True), side(False)
 
 
 def _pairs(spark, d, keys, tolerance, drift):
@@ -30,9 +30,9 @@ def _pairs(spark, d, keys, tolerance, drift):
 
 def _sql_pairs(match: str, tolerance: int, drift: int) -> str:
     return f"""
-SELECT a.event_id AS bmc_id, arg_min(b.event_id, b.ts) AS host_id
+SELECT a.event_id AS bmc_id, arg_min(b.event_id, row(b.ts, b.event_id)) AS host_id
 FROM events a JOIN events b ON {match} abs(epoch_us(a.ts) - {drift} - epoch_us(b.ts)) < {tolerance}
-WHERE a.event_type = 'view' AND b.event_type = 'click' GROUP BY 1"""
+WHERE a.event_type IN ('view', 'purchase') AND b.event_type NOT IN ('view', 'purchase') GROUP BY 1"""
 
 
 def tolerance_join_fleet(spark, d):

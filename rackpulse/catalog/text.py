@@ -137,7 +137,7 @@ WITH {EVENTS}, r AS (
 SELECT event_id, result, CAST(CASE WHEN result = 0 THEN k % 5 + 4 ELSE 0 END AS INT) AS n_lines FROM r"""
 
 
-def sensor_profiles(spark, d):
+def _profiled(spark, d):
     """Sensor dumps read by the profile of four products; an unknown product is rejected."""
     by_family = {family: product for product, family in PRODUCT_FAMILIES.items()}
     kind = F.col("event_type")
@@ -151,7 +151,11 @@ def sensor_profiles(spark, d):
         F.lit("\nCPU2 Power,12.5\nFAN1 SYS,4000\nFan1,3000\nSystemboard Pwr,25\nPower_GPGPU0,7\nFan_SYS0_1,bad\n"),
     )
     dumps = _events(spark, d).select("event_id", product.alias("product"), _dcmi().alias("dcmi_text"), text.alias("sensor_text"))
-    known, _ = bmc_readings(dumps)
+    return bmc_readings(dumps)
+
+
+def sensor_profiles(spark, d):
+    known, _ = _profiled(spark, d)
     names = ("power", "inlet_temp", "exhaust_temp", "cpu_power", "systemboard_power")
     return known.select(
         "event_id", "family", *[fixed(reading("readings", c)).alias(c) for c in names],
@@ -160,6 +164,20 @@ def sensor_profiles(spark, d):
     )
 
 
+def sensor_profile_rejects(spark, d):
+    """Dumps of products without a profile, as they came."""
+    _, rejects = _profiled(spark, d)
+    return rejects.select("event_id", "product", F.length("sensor_text").alias("n_chars"))
+
+
+SENSOR_PROFILE_REJECTS = f"""
+WITH {EVENTS}
+SELECT event_id, 'unheard of' AS product, CAST(length(concat('Systemboard 1,', k, chr(10), 'Systemboard 2,40', chr(10), 'Inlet Temp,', k + 1, chr(10),
+  'Exhaust Temp,41', chr(10), 'Temp_Inlet_MB,', k + 2, chr(10), 'CPU1 Power,', value, chr(10), 'CPU2 Power,12.5', chr(10), 'FAN1 SYS,4000', chr(10),
+  'Fan1,3000', chr(10), 'Systemboard Pwr,25', chr(10), 'Power_GPGPU0,7', chr(10), 'Fan_SYS0_1,bad', chr(10))) AS INT) AS n_chars
+FROM ev WHERE event_type = 'error'"""
+
+
 SENSOR_PROFILES = f"""
 WITH {EVENTS}
 SELECT event_id,
@@ -259,6 +277,7 @@ QUERIES = {
     "poll_readings": (poll_readings, POLL_READINGS),
     "dump_summary": (dump_lines, DUMP_LINES),
     "sensor_profile_readings": (sensor_profiles, SENSOR_PROFILES),
+    "sensor_profile_rejects": (sensor_profile_rejects, SENSOR_PROFILE_REJECTS),
     "series_json_explode": (series_json, SERIES_JSON),
     "concat_json": (concat_json, CONCAT_JSON),
     "sample_file_names": (file_names, FILE_NAMES),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +31,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where a session in one process keeps its tables if it names no folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    Only a single-process session that names none gets a temporary folder; on a
-    cluster a missing setting is an error, since executors could not see it.
+    Only a session whose executors are threads of the driver may name none; its own tables then go when it
+    ends. On a cluster a missing setting is an error, since executors could not see each other's files.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="rackpulse-")
-    context.setCheckpointDir(folder)
-    return folder
+    own = f"{LOCAL_FOLDER}/rackpulse-{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return LOCAL_FOLDER
+
+
+_own_folders: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -32,11 +32,16 @@ def host_sample_stream(spark: SparkSession, folder: str) -> DataFrame:
     return with_util_flag(sample_stream(spark, folder).where("kind = 'host'"))
 
 
-def bmc_dump_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampler readings of JSON lines with host, product, ts, dcmi_text and sensor_text."""
+def bmc_dump_streams(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Sampler readings of JSON lines with host, product, ts, dcmi_text and sensor_text, and the rows of unknown products."""
     schema = "host string, product string, ts timestamp, dcmi_text string, sensor_text string"
-    known, _ = bmc_readings(spark.readStream.schema(schema).json(folder))
-    return known.select("host", "ts", "window_secs", "readings")
+    known, rejects = bmc_readings(spark.readStream.schema(schema).json(folder))
+    return known.select("host", "ts", "window_secs", "readings"), rejects
+
+
+def bmc_dump_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The readings alone; ``bmc_dump_streams`` gives the rejects beside them."""
+    return bmc_dump_streams(spark, folder)[0]
 
 
 def point_stream(spark: SparkSession, folder: str) -> DataFrame:
