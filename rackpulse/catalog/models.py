@@ -251,6 +251,56 @@ w AS (SELECT part, g, 'rmse' AS metric, sqrt(sse / n) AS v FROM z UNION ALL SELE
   UNION ALL SELECT part, g, 'adjr2', 1 - (sse / sst) * (n - 1) / (n - 2) FROM z)
 SELECT part, g AS hwconfig, metric, {sql_fixed('v', 5)} AS value FROM w"""
 
+# -- fits on one half of the events, predictions of the other half, held against the rule the target follows --------
+
+
+def _halves(spark, d, target):
+    """Events with features and a target by a known rule; even ids train, odd ids are predicted."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    group = F.floor(k / 25)
+    rows = t.read(spark, d, "events").select(
+        "event_id", F.floor(k / 10).cast("double").alias("tens"), F.hour("ts").cast("double").alias("hour"),
+        *[(F.when(group == i, 10.0).otherwise(0.0) + k / 100.0).alias(f"g{i}") for i in range(4)], F.col("value").alias("x"),
+    ).withColumn("label", target)
+    return rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
+
+
+def _axis_rule():
+    return ((F.col("tens") >= 4) & (F.col("hour") < 12)) | (F.col("tens") == 9)
+
+
+def _ruled(method: str, ctype: str, names: tuple[str, ...], target):
+    def run(spark, d):
+        train, test = _halves(spark, d, target())
+        model = estimators.fit(train, ctype, method, list(names), "label")
+        return model.transform(test).select("event_id", F.col("prediction").cast("int").alias("predicted"))
+
+    return run
+
+
+def _sql_ruled(rule: str) -> str:
+    return f"""
+WITH e AS (SELECT event_id, hour(ts) AS h, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id % 2 = 1)
+SELECT event_id, CAST({rule} AS INT) AS predicted FROM e"""
+
+
+SQL_AXIS_RULE = "CASE WHEN (k >= 40 AND h < 12) OR k >= 90 THEN 1 ELSE 0 END"
+
+
+def _line_fit(method: str, target):
+    """Robust fit of an exact relation: every prediction must lie within a hundredth of the target's range."""
+    def run(spark, d):
+        train, test = _halves(spark, d, target())
+        model = estimators.fit(train, "reg", method, ["tens"], "label")
+        scored = model.transform(test)
+        width = train.agg(F.max("label") - F.min("label")).scalar()
+        return scored.select("event_id", (F.abs(F.col("prediction") - F.col("label")) <= width / 100).alias("near"))
+
+    return run
+
+
+NEAR = "SELECT event_id, true AS near FROM events WHERE event_id % 2 = 1"
+
 QUERIES = {
     "confusion_percent": (confusion_percent, CONFUSION),
     "accuracy": (
@@ -273,4 +323,12 @@ QUERIES = {
     "svr_linear": (_regressor("svr_lin"), None),
     "svr_poly": (svr_poly, None),
     "svr_rbf": (_regressor("svr_rbf"), None),
+    "decision_tree_rule": (_ruled("dt", "binary", ("tens", "hour"), lambda: _axis_rule().cast("double")), _sql_ruled(SQL_AXIS_RULE)),
+    "random_forest_rule": (_ruled("rf", "binary", ("tens", "hour"), lambda: _axis_rule().cast("double")), _sql_ruled(SQL_AXIS_RULE)),
+    "logistic_rule": (
+        _ruled("lor", "multi", ("g0", "g1", "g2", "g3"), lambda: sum((F.when(F.col(f"g{i}") >= 10, i).otherwise(0) for i in range(4)), F.lit(0)).cast("double")),
+        _sql_ruled("k // 25"),
+    ),
+    "svr_linear_line": (_line_fit("svr_lin", lambda: F.col("tens") * 3 + 7), NEAR),
+    "svr_poly_cubic": (_line_fit("svr_poly", lambda: F.col("tens") * F.col("tens") * F.col("tens") / 10 - F.col("tens")), NEAR),
 }
