@@ -12,13 +12,13 @@ the threshold; the result is every document's connected component. No step compa
    R-tree over the points bounds the overlap of a document with a whole subtree by the summed minima of coordinates
    and prunes it; leaves give the pairs that may link.
 4. Each representative first meets its home bucket (the largest it is in) together with its set. Survivors are
-   verified there, one link for each component met, so thousands of near copies shrink to a tree of links.
+   verified there, one link for each component met, so thousands of near copies shrink to a tree of links. In the
+   buckets that still hold several components, the first document of each is then verified against the first of all.
 5. Buckets that still hold more than one component are searched by the R-tree for pairs across components; these
    survivors are verified against the sets.
 
-Buckets larger than ``BLOCK`` are dealt to blocks: home blocks of a second round hold one document for each component
-of the first, and the search across components runs over all pairs of blocks, so no pair is lost and no task holds
-more than two blocks.
+Buckets larger than ``BLOCK`` are dealt to blocks, and the search across components runs over all pairs of blocks, so
+no pair is lost and no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, has no shingle and is a component of itself; fewer words
 than a shingle has are one shingle; repeated rows and equal texts are copies; rows that give one id several texts
@@ -43,7 +43,8 @@ WORDS, PERCENT = 5, 80
 GROUPS = 256
 #: A shingle in this share of all documents, and in this many at least, comes last in the order. The list of them is
 #: no longer than the mean set divided by the share.
-COMMON_SHARE, COMMON_LEAST = 0.002, 50
+COMMON_SHARE, COMMON_LEAST = 0.0005, 50
+HEAD_ROUNDS = 2
 #: A set's leading shingles are one in this many more than a single shared shingle would need.
 SHARED_PART = 20
 BLOCK = 2000
@@ -190,11 +191,10 @@ def common_shingles(docs: DataFrame, words: int = WORDS, share: float = COMMON_S
     """
     def run(batches):
         for batch in batches:
-            for begin, end, data, at in textbytes.chunks(batch.column(1)):
-                values, _ = textbytes.shingle_sets(data, at, words)
-                values, count = np.unique(values, return_counts=True)
-                often = count >= max(2, share * (end - begin))
-                yield {"h": values[often].view(np.int64), "n": count[often]}
+            values = [textbytes.shingle_sets(data, at, words)[0] for _, _, data, at in textbytes.chunks(batch.column(1))]
+            values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *values]), return_counts=True)
+            often = count >= max(2, share * batch.num_rows)
+            yield {"h": values[often].view(np.int64), "n": count[often]}
 
     batches, schema = _arrow(run, "h long, n long")
     total = docs.count()
@@ -361,6 +361,24 @@ def home_links(members: DataFrame, percent: int) -> DataFrame:
     return members.select("h", "block", "rep", "items").repartition("h", "block").sortWithinPartitions("h", "block", "rep").mapInArrow(batches, schema)
 
 
+def _checked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets link."""
+    left = items.select(F.col("rep").alias("a"), F.col("items").alias("left_items"))
+    right = items.select(F.col("rep").alias("b"), F.col("items").alias("right_items"))
+    batches, schema = _arrow(lambda source: _verify(source, percent), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(batches, schema)
+
+
+def _mixed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Entries of the buckets that hold several components, with the component (``h``, ``rep``, ``members``, ``comp``)."""
+    if roots is None:
+        return entries.withColumn("comp", F.col("rep"))
+    placed = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "members", F.coalesce("root", "rep").alias("comp"))
+    bucket = Window.partitionBy("h")
+    several = placed.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
+    return several.filter(F.col("low") != F.col("high")).drop("low", "high")
+
+
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Every document's set size and component (``doc_id``, ``n_shingles``, ``component_id``)."""
     docs = _keyed(docs)
@@ -380,38 +398,29 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     entries = written(entries.select("h", "rep", "members"), "buckets")
 
     # Home buckets, with the sets.
+    items = written(sets(docs, entries.select("rep").distinct(), words), "sets")
     home = entries.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("home")).select("rep", F.col("home")["h"].alias("h"))
-    home = home.withColumn("at_home", F.count("*").over(Window.partitionBy("h")))
-    home = written(home, "homes")
-    items = written(sets(docs, home.select("rep"), words), "sets")
-    dealt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("at_home") / BLOCK))
-    members = home.filter(F.col("at_home") > 1).withColumn("block", dealt).join(items, "rep")
-    links = written(home_links(members, percent), "home-links")
-    roots = components(links)
-    # Where a home has several blocks, one document of each component and block meets the others.
-    wide = home.filter(F.col("at_home") > BLOCK).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    heads = wide.groupBy("h", "root").agg(F.min("rep").alias("rep"))
-    heads = heads.withColumn("heads", F.count("*").over(Window.partitionBy("h"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("heads") / BLOCK)))
-    links = links.unionByName(home_links(heads.join(items, "rep"), percent))
+    home = home.withColumn("at_home", F.count("*").over(bucket)).filter(F.col("at_home") > 1)
+    home = home.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("at_home") / BLOCK)))
+    links = written(home_links(home.join(items, "rep"), percent), "home-links")
     roots = components(links)
+    for _ in range(HEAD_ROUNDS):
+        heads = _mixed(entries, roots).groupBy("h", "comp").agg(F.min("rep").alias("a")).withColumn("b", F.min("a").over(bucket))
+        found = written(_checked(heads.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), items, percent), "head-links")
+        links = links.unionByName(found)
+        roots = components(links)
 
     # Buckets that still hold several components.
-    placed = entries.select("h", "rep", "members").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "members", F.coalesce("root", "rep").alias("comp"))
-    placed = written(placed, "placed")
-    split = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("h")
     batches, schema = _arrow(_points, "rep long, n long, point binary")
     points = items.mapInArrow(batches, schema)
-    rest = placed.join(split, "h", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rest = _mixed(entries, roots).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("h", "rep", "comp", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper")).join(points, "rep")
     batches, schema = _arrow(lambda source: _across(source, percent), "a long, b long")
     keys = ["h", "lower", "upper"]
     pairs = rest.select(*keys, "rep", "comp", "block", "n", "point").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(batches, schema).distinct()
-    left = items.select(F.col("rep").alias("a"), F.col("items").alias("left_items"))
-    right = items.select(F.col("rep").alias("b"), F.col("items").alias("right_items"))
-    batches, schema = _arrow(lambda source: _verify(source, percent), "a long, b long")
-    late = pairs.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(batches, schema)
+    late = _checked(pairs, items, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
 
     reps = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
