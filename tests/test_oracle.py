@@ -6,12 +6,13 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from rackpulse import catalog
 
 FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
 SQL = entry.oracle_sql()
-ROWS_ONLY = sorted(set(entry.queries()) - set(SQL))
+ROWS_ONLY = sorted(set(catalog.queries()) - set(catalog.oracle_sql()))
 
 
 @pytest.fixture(scope="module")
