@@ -13,6 +13,7 @@ from rackpulse.functions.status import cpu_load_class, load_average_class, util_
 from rackpulse.operators import features as feat
 from rackpulse.operators import profile
 from rackpulse.operators.features import EncodeOptions
+from rackpulse.operators.ranking import exact_medians
 from rackpulse.operators.series import sensors_with_truth
 
 THRESHOLD = 4.0
@@ -280,7 +281,20 @@ SELECT g.metric, g.bin, count(x) AS n, {sql_fixed('min(x)')} AS min, {sql_fixed(
 FROM g LEFT JOIN l ON l.metric = g.metric AND l.bin = g.bin GROUP BY 1, 2"""
 
 
+def narrow_medians(spark, d):
+    """Exact medians of a column whose values lie within a thousandth of each other."""
+    near = F.round(F.lit(200.0) + F.col("l_extendedprice") / 1_000_000, 8)
+    rows = t.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), near.alias("value"))
+    counts = rows.groupBy("flag", "value").agg(F.count("*").alias("n"))
+    return exact_medians(counts, ["flag"]).select("flag", fixed("median", 8).alias("median"))
+
+
+NARROW_MEDIANS = f"""
+SELECT l_returnflag AS flag, {sql_fixed('median(round(200.0::DOUBLE + l_extendedprice / 1000000, 8))', 8)} AS median
+FROM lineitem GROUP BY 1"""
+
 QUERIES = {
+    "narrow_medians": (narrow_medians, NARROW_MEDIANS),
     "encoded_samples": (encoded_samples, ENCODED_SAMPLES),
     "host_power_samples": (host_power_samples, HOST_POWER),
     "load_classes": (load_classes, LOAD_CLASSES),

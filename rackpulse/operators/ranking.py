@@ -63,6 +63,27 @@ def value_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096).cast("int")
 
 
+#: Distinct values that one slice holds, about.
+SLICE_VALUES = 4096
+
+
+def sliced_values(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Adds ``_slice``, rising with the value: steps of ``value_slice``, each cut by how many values it has.
+
+    A narrow column fills few steps of the log scale, so a step with many values is cut into parts of equal width
+    between its least and greatest one. The table of the steps has a row for each step of a group only.
+    """
+    stepped = counts.withColumn("_step", value_slice(F.col(value)))
+    steps = stepped.groupBy(*group, "_step").agg(
+        F.min(value).alias("_low"), F.max(value).alias("_high"), F.ceil(F.count("*") / SLICE_VALUES).alias("_parts")
+    )
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.floor((F.col(value) - F.col("_low")) / width * F.col("_parts"))).otherwise(F.lit(0))
+    inside = F.least(part, F.col("_parts") - 1)
+    joined = stepped.join(steps, [*group, "_step"])
+    return joined.withColumn("_slice", F.col("_step").cast("bigint") * F.lit(1 << 32) + inside).drop("_step", "_low", "_high", "_parts")
+
+
 def _value_offsets(sliced: DataFrame, group: list[str], weight: str) -> DataFrame:
     return slice_offsets(sliced, group, weight=F.col(weight)).withColumn(
         "total", F.sum("_size").over(Window.partitionBy(*group))
@@ -90,7 +111,7 @@ def value_positions(
     ``counts`` holds one row per group and distinct value with its frequency, so a
     slice holds each value once however often it occurs.
     """
-    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
+    sliced = sliced_values(counts, group, value)
     return _place(sliced, _value_offsets(sliced, group, weight), group, value, weight)
 
 
@@ -103,7 +124,7 @@ def exact_medians(
     are sorted.
     """
     lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
+    sliced = sliced_values(counts, group, value)
     middle = _value_offsets(sliced, group, weight).where(
         (F.col("_before") <= upper) & (lower < F.col("_before") + F.col("_size"))
     )
