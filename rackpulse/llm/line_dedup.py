@@ -29,42 +29,35 @@ from rackpulse.llm.components import components
 from rackpulse.llm.tables import SPACE, free, table, text_of, written
 
 EDITS, MIN_CHARS = 2, 32
+ID_BUCKETS = 1 << 20
 LETTER_GROUPS = ("aqAQ0", "eihEIH1", "tnTN2", "osOS34", "rdlRDL5", "ucmUCM67", "wfgypWFGYP8", "bvkBVK9")
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Begin (from 0) and size of the even segments of a line; the later ones take the remainder."""
+def windows(edits: int) -> list[tuple[int, int, int, bool]]:
+    """What a line looks at: how much shorter the indexed line is, segment, shift of its place, whether it is the index itself.
+
+    Edits left of segment i shift it by at most i, edits right of it by at most ``edits`` - i.
+    """
+    index = [(0, i, 0, True) for i in range(edits + 1)]
+    probes = [
+        (shorter, i, shift, False) for shorter in range(edits + 1) for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1) if shorter or shift
+    ]
+    return index + probes
+
+
+def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Index and probe keys of lines (``id``, ``key``, ``indexed``), from ``id`` and ``line``.
+
+    A line of n characters has ``edits`` + 1 segments of n div (``edits`` + 1), the last ones with one more for the remainder.
+    A row for each window keeps the expression small enough for the JVM to compile.
+    """
     count = edits + 1
-    small, more = F.floor(length / count), F.pmod(length, F.lit(count))
-    out, begin = [], F.lit(0)
-    for i in range(count):
-        size = small + F.when(F.lit(count - i) <= more, 1).otherwise(0)
-        out.append((begin, size))
-        begin = begin + size
-    return out
-
-
-def _key(length: Column, segment: int, part: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(segment), part)
-
-
-def keys(line: Column, edits: int = EDITS) -> Column:
-    """Index and probe keys of a line, as an array of (key, indexed)."""
-    length, out = F.length(line), []
-    for i, (begin, size) in enumerate(segments(length, edits)):
-        out.append(F.struct(_key(length, i, F.substr(line, (begin + 1).cast("int"), size.cast("int"))).alias("key"), F.lit(True).alias("indexed")))
-    for shorter in range(edits + 1):  # the indexed line is shorter by so many
-        other = length - shorter
-        for i, (begin, size) in enumerate(segments(other, edits)):
-            # Edits left of the segment shift it by at most i, edits right of it by at most edits - i.
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                if shorter == 0 and shift == 0:
-                    continue  # the index key itself
-                at = begin + shift
-                part = F.substr(line, (at + 1).cast("int"), size.cast("int"))
-                inside = (at >= 0) & (at + size <= length)
-                out.append(F.when(inside, F.struct(_key(other, i, part).alias("key"), F.lit(False).alias("indexed"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    spec = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("shift"), F.lit(d).alias("indexed")) for a, b, c, d in windows(edits)])
+    rows = lines.select("id", "line", F.length("line").alias("n"), F.inline(spec)).withColumn("other", F.col("n") - F.col("shorter"))
+    rows = rows.withColumn("small", F.expr(f"cast(other div {count} as int)")).withColumn("plain", F.expr(f"{count} - other % {count}"))
+    rows = rows.withColumn("at", F.expr("i * small + greatest(0, i - plain) + shift")).withColumn("size", F.expr("small + if(i >= plain, 1, 0)"))
+    return rows.filter("at >= 0 and at + size <= n").select("id", F.expr("xxhash64(other, i, substr(line, at + 1, size))").alias("key"), "indexed")
 
 
 def _common_ends(a: Column, b: Column, edits: int) -> tuple[Column, Column]:
@@ -161,11 +154,18 @@ def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines of some ids. Most others go where they are read, by a table of at most ``ID_BUCKETS`` hashes of ids."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
+    near = lines.withColumn("id_bucket", bucket).join(F.broadcast(ids.select(bucket.alias("id_bucket")).distinct()), "id_bucket", "left_semi")
+    return near.join(ids, "id", "left_semi").drop("id_bucket")
+
+
 def _checked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs of line numbers within reach."""
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("left_line"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("right_line"))
-    both = pairs.join(left, "a").join(right, "b")
+    left = lines.select(F.col("id").alias("a"), F.col("line").alias("left_line"), F.col("letters").alias("left_letters"))
+    right = lines.select(F.col("id").alias("b"), F.col("line").alias("right_line"), F.col("letters").alias("right_letters"))
+    both = pairs.join(left, "a").join(right, "b").filter(_apart(F.col("left_letters"), F.col("right_letters")) <= 2 * edits)
     return both.filter(within(F.col("left_line"), F.col("right_line"), edits)).select("a", "b")
 
 
@@ -173,14 +173,13 @@ def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars:
     """Every distinct line's class (``k1``, ``k2``, ``first``, ``class_first``): the first place of its first line."""
     lines = written(distinct_lines(docs, text).withColumn("id", F.monotonically_increasing_id()), "lines")
     long_lines = lines.filter(F.length("line") >= min_chars)
-    entries = long_lines.select("id", F.inline(keys(F.col("line"), edits)))
+    entries = keys(long_lines, edits)
     bucket = Window.partitionBy("key")
     entries = entries.withColumn("members", F.count("*").over(bucket)).withColumn("head", F.min(F.when(F.col("indexed"), F.col("id"))).over(bucket))
     # Keys without an indexed line, and keys of one line, join nothing.
     entries = entries.filter((F.col("members") > 1) & F.col("head").isNotNull())
     met = written(entries.select("key", "id", "indexed", "head"), "line-keys")
-    wanted = met.select("id").distinct()
-    known = written(lines.join(wanted, "id", "left_semi").select("id", "line", letters(F.col("line")).alias("letters")), "met-lines")
+    known = written(_wanted(lines, met.select("id").distinct()).select("id", "line", letters(F.col("line")).alias("letters")), "met-lines")
     pairs = met.filter(F.col("id") != F.col("head")).select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
     links = _checked(pairs, known, edits)
     roots = components(links)
