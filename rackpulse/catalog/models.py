@@ -12,6 +12,8 @@ from rackpulse.operators import evaluate, neighbours, profile
 
 CLASSES = (0, 1)
 EMBEDDING_SIZE = 64
+# Small enough that the given tables fill several blocks, so routing and merging run too.
+KNN_BLOCK_ROWS = 128
 
 # -- evaluation --------------------------------------------------------------------
 
@@ -156,13 +158,13 @@ def _vectors(spark, d):
 def knn_classify(spark, d):
     """Every vector classified by its five nearest, itself included as in a training score."""
     v = _vectors(spark, d)
-    found = neighbours.nearest_neighbours(v, v, "vec_id", "vec_id", "embedding", "label", estimators.NEIGHBOURS_CLASS)
+    found = neighbours.nearest_neighbours(v, v, "vec_id", "vec_id", "embedding", "label", estimators.NEIGHBOURS_CLASS, KNN_BLOCK_ROWS)
     return neighbours.vote(found).select(F.col("query_id").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"))
 
 
 def knn_regress(spark, d):
     v = _vectors(spark, d)
-    found = neighbours.nearest_neighbours(v, v, "vec_id", "vec_id", "embedding", "label", estimators.NEIGHBOURS_REG)
+    found = neighbours.nearest_neighbours(v, v, "vec_id", "vec_id", "embedding", "label", estimators.NEIGHBOURS_REG, KNN_BLOCK_ROWS)
     return neighbours.mean_label(found).select(F.col("query_id").alias("vec_id"), fixed("prediction", 6).alias("prediction"))
 
 
