@@ -361,6 +361,10 @@ def home_links(members: DataFrame, percent: int) -> DataFrame:
     return members.select("h", "block", "rep", "items").repartition("h", "block").sortWithinPartitions("h", "block", "rep").mapInArrow(batches, schema)
 
 
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _checked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets link."""
     left = items.select(F.col("rep").alias("a"), F.col("items").alias("left_items"))
@@ -407,8 +411,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     for _ in range(HEAD_ROUNDS):
         heads = _mixed(entries, roots).groupBy("h", "comp").agg(F.min("rep").alias("a")).withColumn("b", F.min("a").over(bucket))
         found = written(_checked(heads.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), items, percent), "head-links")
-        links = links.unionByName(found)
-        roots = components(links)
+        if found.isEmpty():
+            break
+        roots = components(_as_links(roots).unionByName(found))
 
     # Buckets that still hold several components.
     batches, schema = _arrow(_points, "rep long, n long, point binary")
@@ -420,8 +425,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     batches, schema = _arrow(lambda source: _across(source, percent), "a long, b long")
     keys = ["h", "lower", "upper"]
     pairs = rest.select(*keys, "rep", "comp", "block", "n", "point").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(batches, schema).distinct()
-    late = _checked(pairs, items, percent)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+    late = written(_checked(pairs, items, percent), "late-links")
+    if not late.isEmpty():
+        roots = components(_as_links(roots).unionByName(late))
 
     reps = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
     with_words = some.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"])
