@@ -15,9 +15,10 @@ families of variants to few classes; then only pairs across classes are formed,
 be within reach (counts of eight letter groups). Both joins are plain equi-joins that Spark splits where skewed.
 
 Defined results: a null or empty text has one empty line; lines without a word never count as repeated and stay;
-lines shorter than ``min_chars`` link only where they are equal; repeated rows (equal ids) are parts of one document,
-told apart by text; rows without an id are judged like others, with the null id last; an empty table gives no rows;
-further columns pass through untouched.
+lines shorter than ``min_chars`` link only where they are equal; rows of one id are parts of one document, told apart
+by two hashes of their text, and of their lines with one number the one of the lesser hash is first; rows equal in id
+and text are one row; rows without an id are told apart and judged like others, with the null id last; an empty table
+gives no rows; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from rackpulse.llm.tables import SPACE, free, table, text_of, written
 
 EDITS, MIN_CHARS = 2, 32
 ID_BUCKETS = 1 << 20
+NULL_ID = (1 << 63) - 1
 LETTER_GROUPS = ("aqAQ0", "eihEIH1", "tnTN2", "osOS34", "rdlRDL5", "ucmUCM67", "wfgypWFGYP8", "bvkBVK9")
 
 
@@ -135,9 +137,18 @@ def _apart(a: Column, b: Column) -> Column:
     return sum((F.abs(a[i] - b[i]) for i in range(len(LETTER_GROUPS))), F.lit(0))
 
 
+def row_key(text: str = "text") -> list[Column]:
+    """What tells the rows of one id, or of none, apart (``r1``, ``r2``)."""
+    return [F.xxhash64(F.lit(i), F.col("doc_id").isNull(), text_of(text)).alias(f"r{i}") for i in (1, 2)]
+
+
+def _place() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "line_no", "r1", "r2")
+
+
 def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Lines that hold a word (``doc_id``, ``line_no``, ``line``)."""
-    rows = docs.select("doc_id", F.posexplode(F.split(text_of(text), "\n", -1)).alias("line_no", "line"))
+    """Lines that hold a word (``doc_id``, ``r1``, ``r2``, ``line_no``, ``line``)."""
+    rows = docs.select("doc_id", *row_key(text), F.posexplode(F.split(text_of(text), "\n", -1)).alias("line_no", "line"))
     return rows.filter(F.col("line").rlike(f"[^{SPACE}]"))
 
 
@@ -148,8 +159,7 @@ def _names(line: Column) -> list[Column]:
 def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every distinct line with its first place (``k1``, ``k2``, ``line``, ``first``)."""
     rows = exploded(docs, text)
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("line_no"))
-    return rows.select(*_names(F.col("line")), "line", place.alias("place")).groupBy("k1", "k2").agg(
+    return rows.select(*_names(F.col("line")), "line", _place().alias("place")).groupBy("k1", "k2").agg(
         F.min("place").alias("first"), F.first("line").alias("line")
     )
 
@@ -206,24 +216,24 @@ def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars:
 
 
 def repeated(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines to drop (``doc_id``, ``line_no``, ``class_first``): every line that is not the first of its class."""
-    rows = exploded(docs, text).select("doc_id", "line_no", *_names(F.col("line")))
+    """Lines to drop (``doc_id``, ``r1``, ``r2``, ``line_no``, ``class_first``): every line that is not the first of its class."""
+    rows = exploded(docs, text).select("doc_id", "r1", "r2", "line_no", *_names(F.col("line")))
     judged = rows.join(classes(docs, text, edits, min_chars), ["k1", "k2"])
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("line_no"))
-    return judged.filter(place != F.col("class_first")).select("doc_id", "line_no", "class_first")
+    return judged.filter(_place() != F.col("class_first")).select("doc_id", "r1", "r2", "line_no", "class_first")
 
 
 def _per_document(docs: DataFrame, text: str, edits: int, min_chars: int) -> DataFrame:
     drop = F.struct("line_no", F.col("class_first")["doc_id"].alias("first_doc"), F.col("class_first")["line_no"].alias("first_line"))
-    return repeated(docs, text, edits, min_chars).groupBy("doc_id").agg(F.sort_array(F.collect_set(drop)).alias("dropped"))
+    return repeated(docs, text, edits, min_chars).groupBy("doc_id", "r1", "r2").agg(F.sort_array(F.collect_set(drop)).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without repeated lines; a document that loses every line with a word goes."""
-    name, lost = free(docs, "line_doc", "lost_lines")
+    name, r1, r2, s1, s2, lost = free(docs, "line_doc", "line_r1", "line_r2", "row_r1", "row_r2", "lost_lines")
     gone = _per_document(docs.select("doc_id", F.col(text).alias("text")), "text", edits, min_chars)
-    gone = gone.select(F.col("doc_id").alias(name), F.transform("dropped", lambda d: d["line_no"]).alias(lost))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left")
+    gone = gone.select(F.col("doc_id").alias(name), F.col("r1").alias(r1), F.col("r2").alias(r2), F.transform("dropped", lambda d: d["line_no"]).alias(lost))
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(text), (s1, s2))])
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(s1) == F.col(r1)) & (F.col(s2) == F.col(r2)), "left")
     kept = F.array_join(F.filter(F.split(text_of(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
     left = both.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept))
     return left.filter(F.col(lost).isNull() | F.col(text).rlike(f"[^{SPACE}]")).select(*docs.columns)
@@ -233,8 +243,9 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's lines, and those dropped with the first place of their class."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     gone = _per_document(docs, "text", EDITS, MIN_CHARS).withColumnRenamed("doc_id", "line_doc")
-    counted = docs.select("doc_id", F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
-    both = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")), "left")
+    counted = docs.select("doc_id", *row_key(), F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.line_doc")) & (F.col("x.r1") == F.col("y.r1")) & (F.col("x.r2") == F.col("y.r2"))
+    both = counted.alias("x").join(gone.alias("y"), same, "left")
     told = F.transform("dropped", lambda d: F.concat_ws(":", d["line_no"].cast("string"), d["first_doc"].cast("string"), d["first_line"].cast("string")))
     return both.select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),

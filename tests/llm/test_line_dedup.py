@@ -85,5 +85,33 @@ def test_deduplicated_documents(spark, folder):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, f"{line}\nshort"), (2, other), (4, None)]
 
 
+def plain_rows(spark, rows):
+    """Kept lines of each row and the number dropped, for rows that are not told apart by their id."""
+    key = {(r["doc_id"], r["text"]): (r["r1"], r["r2"]) for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *line_dedup.row_key()).collect()}
+    lines = {
+        ((1 << 63) - 1 if i is None else i, n, key[i, t]): (line, i, t)
+        for i, t in rows for n, line in enumerate(t.split("\n")) if plain.WORD.search(line)
+    }
+    links = [
+        (a, b) for a, (x, *_) in lines.items() for b, (y, *_) in lines.items()
+        if a < b and (x == y or min(len(x), len(y)) >= line_dedup.MIN_CHARS and plain.edit_distance(x, y) <= line_dedup.EDITS)
+    ]
+    root = plain.roots(list(lines), links)
+    gone = {(i, t): sorted(a[1] for a in lines if root[a] != a and lines[a][1:] == (i, t)) for i, t in rows}
+    return [(i, t, gone[i, t], "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows]
+
+
+def test_rows_of_one_id_or_none(spark, folder):
+    line = "this line is long enough to be compared"
+    rows = [(7, "A\nB"), (7, "C\nA"), (3, "one\ntwo"), (3, "two\none"), (None, f"A\nD\n{line}"), (None, f"E\nD\n{line}."), (None, "F\nG\nH"), (None, "F\nI\nB"), (7, "J\nK"), ((1 << 63) - 1, "F\nG\nH")]
+    want = plain_rows(spark, rows)
+    assert [x[3] for x in want[:2]] == ["A\nB", "C"]
+    path = folder(rows)
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], [int(x.split(":")[0]) for x in r["dropped"].split(",") if x]) for r in line_dedup.query(spark, path).collect())
+    assert got == sorted((str(i), t.count("\n") + 1, len(gone), gone) for i, t, gone, _ in want)
+    left = line_dedup.deduplicated(spark.read.parquet(path + "/documents.parquet")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted((str(i), kept) for i, _, _, kept in want if plain.WORD.search(kept))
+
+
 def test_empty_table(spark, folder):
     assert line_dedup.query(spark, folder([])).collect() == []
