@@ -22,8 +22,8 @@ no pair is lost and no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, has no shingle and is a component of itself; fewer words
 than a shingle has are one shingle; repeated rows and equal texts are copies; rows that give one id several texts
-are one node with the links of all of them; rows without an id are left out; an empty table gives no rows; further columns are not
-read. Sets are compared by 64-bit hashes of their shingles.
+are one node with the links of all of them; rows without an id are left out of the components, but are documents like
+others in ``unique``; an empty table gives no rows; further columns are not read. Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from rackpulse.llm import textbytes
 from rackpulse.llm.components import components
-from rackpulse.llm.tables import table, text_of, written
+from rackpulse.llm.line_dedup import row_key
+from rackpulse.llm.tables import free, table, text_of, written
 
 WORDS, PERCENT = 5, 80
 GROUPS = 256
@@ -432,7 +433,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     reps = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
     with_words = some.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"])
     without = made.filter(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return with_words.select("doc_id", "n", "component_id").unionByName(without).withColumnRenamed("n", "n_shingles")
+    found = written(with_words.select("doc_id", "n", "component_id").unionByName(without), "classes")
+
+    # The texts of one id are one node, so what they belong to is one component.
+    least = found.groupBy("doc_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("high")).filter(F.col("b") != F.col("high"))
+    shared = written(found.join(least, "doc_id").select(F.col("component_id").alias("a"), "b").distinct(), "id-links")
+    if not shared.isEmpty():
+        moved = components(shared).withColumnRenamed("node", "component_id")
+        found = found.join(moved, "component_id", "left").select("doc_id", "n", F.coalesce("root", "component_id").alias("component_id"))
+    return found.withColumnRenamed("n", "n_shingles")
 
 
 def _points(batches):
@@ -446,10 +455,19 @@ def _points(batches):
 
 
 def unique(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least id, with all columns of ``docs``."""
-    classes = joined(docs, words, percent)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one with the least id, with all columns of ``docs``.
+
+    Every row is a document, whether its id is missing, its own or that of others; rows without an id come last and
+    equal ids are ordered by their text. Texts without words are copies only where the rows have one id and one text.
+    """
+    number, = free(docs, "document_number")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = joined(numbered.select(F.col(number).alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", "row")
+    rows = classes.join(numbered.select(F.col(number).alias("row"), "doc_id", F.col("doc_id").isNull().alias("no_id"), *row_key()), "row")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("g0")]
+    group += [F.when(F.col("n_shingles") == 0, F.col(c)).alias(f"g{i}") for i, c in enumerate(("doc_id", "r1", "r2"), 1)]
+    kept = rows.groupBy(*group).agg(F.min(F.struct("no_id", "doc_id", "r1", "r2", "row")).alias("first"))
+    return numbered.join(kept.select(F.col("first")["row"].alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,6 +59,21 @@ def test_unique_keeps_columns(spark, folder):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 6]
 
 
+def test_texts_of_one_id_are_one_node(spark, folder):
+    a, b = " ".join(plain.prose(1, 40)), " ".join(plain.prose(2, 40))
+    rows = jaccard.query(spark, folder([(1, a), (2, b), (5, a), (5, b), (6, None), (6, b), (7, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (2, 1), (5, 1), (5, 1), (6, 1), (6, 1), (7, 7)]
+
+
+def test_unique_works_on_rows(spark, folder):
+    a, b, c, d, e = (" ".join(plain.prose(k, 40)) for k in range(1, 6))
+    near = b + " end"
+    rows = [(7, a), (7, a), (3, c), (3, d), (9, d), (None, b), (None, near), (None, b), (None, e), (8, e), (4, None), (4, None), (5, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.unique(spark.read.parquet(folder(rows) + "/documents.parquet")).collect()]
+    assert sorted((i, t or "") for i, t in kept if i is not None) == sorted([(3, c), (3, d), (4, ""), (5, ""), (7, a), (8, e)])
+    assert [i in ((None, b), (None, near)) for i in kept if i[0] is None] == [True]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_equals_scan(seed):
     rng = np.random.default_rng(seed)
