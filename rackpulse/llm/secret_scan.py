@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in every text by pattern. Each candidate's value is hashed, and its hash is counted over the
-corpus by distinct repositories and distinct owners. A value that several owners carry is a copied example (a
-tutorial key, a licence hash); a value of one owner only looks live. Base kinds are always reported, with that
+corpus by distinct repositories and distinct owners. A value that several owners carry, or one owner in
+``COPIED_REPOSITORIES`` repositories or more, is a copied example (a tutorial key, a licence hash); a value of one
+owner in fewer repositories looks live. Base kinds are always reported, with that
 verdict beside them; the wider kinds, which alone would be mostly noise, are reported only where they look live.
 
 Positions are code points, end exclusive. A kind's spans are leftmost and do not overlap each other. Spark's
@@ -56,6 +57,8 @@ WIDE_KINDS = (
 )
 #: A value that this many owners or more carry is a copied example.
 COPIED_OWNERS = 2
+#: So is one in this many repositories or more, whoever owns them; a live key is used in a few places.
+COPIED_REPOSITORIES = 5
 
 
 def _has(text: Column, hint: str) -> Column:
@@ -111,9 +114,9 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
 
 def scanned(
     df: DataFrame, text: str = "text", key: str = "doc_id", repository: str = "doc_id", owner: str = "source",
-    kinds: tuple[Kind, ...] = BASE_KINDS + WIDE_KINDS, copied_owners: int = COPIED_OWNERS,
+    kinds: tuple[Kind, ...] = BASE_KINDS + WIDE_KINDS, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
-    """Every row's reported spans: ``key`` and ``spans``, an array of (start, rank, end, value_hash, owners, live).
+    """Every row's reported spans: ``key`` and ``spans``, an array of (start, rank, end, value_hash, owners, repositories, live).
 
     ``rank`` is the kind's place in ``kinds``. Base kinds are all there; wider kinds only where they look live.
     The scan runs once: its spans, without any text, are written and read by the steps behind it.
@@ -125,14 +128,15 @@ def scanned(
     counts = ownership(some, "r", "o")
     uses = some.select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*")
     base = F.col("rank").isin([i for i, kind in enumerate(kinds) if kind.base])
-    judged = uses.join(counts, "value_hash").withColumn("live", F.col("owners") < copied_owners).filter(base | F.col("live"))
-    told = judged.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "value_hash", "owners", "live"))).alias("told"))
+    live = (F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories)
+    judged = uses.join(counts, "value_hash").withColumn("live", live).filter(base | F.col("live"))
+    told = judged.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "value_hash", "owners", "repositories", "live"))).alias("told"))
     silent = F.array().cast(told.schema["told"].dataType)
     return found.join(told, "row_key", "left").select(F.col("k").alias(key), F.coalesce("told", silent).alias("spans"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts and digests of every document's spans; ``n_live`` counts those whose value one source alone carries."""
+    """Counts and digests of every document's spans; ``repositories`` has each value's number of documents, ``n_live`` counts live values."""
     kinds = BASE_KINDS + WIDE_KINDS
     out = scanned(table(spark, folder, "documents"), kinds=kinds)
     names = F.array(*[F.lit(kind.name) for kind in kinds])
@@ -148,6 +152,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[of_rank(i).alias(f"n_{kind.name}") for i, kind in enumerate(BASE_KINDS)],
         F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.array_join(F.transform("spans", lambda s: s["repositories"].cast("string")), ",").alias("repositories"),
     )
 
 

@@ -52,5 +52,15 @@ def test_ownership(spark, tmp_path):
     assert [(d, bool(s), n) for d, s, n in got] == [(1, True, 1), (1, True, 1), (2, False, 0), (3, False, 0)]
 
 
+def test_many_documents_of_one_owner(spark, tmp_path):
+    least, mixed = scan.COPIED_REPOSITORIES, "key Ab1" + "cD2" * 12
+    few = mixed.replace("cD2", "eF3")
+    rows = [(i, f"{mixed} token={HEX}", None, "a", 0, "", "") for i in range(least)] + [(100 + i, few, None, "a", 0, "", "") for i in range(least - 1)]
+    got = {r["doc_id"]: r for r in scan.query(spark, frame(spark, rows, tmp_path)).collect()}
+    assert all("mixed:" not in got[i]["spans"] and got[i]["n_assign"] == 1 and got[i]["n_live"] == 0 for i in range(least))
+    assert all(set(got[i]["repositories"].split(",")) == {str(least)} for i in range(least))
+    assert all((r["spans"].split(":")[0], r["n_live"], r["repositories"]) == ("mixed", 1, str(least - 1)) for i, r in got.items() if i >= 100)
+
+
 def test_empty(spark, tmp_path):
     assert scan.query(spark, frame(spark, [], tmp_path)).collect() == []
