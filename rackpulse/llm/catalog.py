@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import chat, classifier, fingerprint, jaccard, line_dedup, mixing, packing, quality, secret_scan, slack
+from rackpulse.llm import (
+    chat, classifier, filter_audit, fingerprint, jaccard, line_dedup, mixing, packing, quality, resampling, secret_scan, shortest_pack, slack,
+)
 
-MODULES = (chat, line_dedup, secret_scan, quality, mixing, packing, fingerprint, jaccard, slack, classifier)
+MODULES = (
+    chat, line_dedup, secret_scan, quality, mixing, packing, fingerprint, jaccard, slack, classifier, filter_audit, shortest_pack, resampling,
+)
 
 
 def queries() -> dict:

@@ -34,14 +34,14 @@ def encoding(path: str | None = None):
 class Encoder:
     """Encodes runs of texts; one for each worker."""
 
-    def __init__(self, path: str | None = None):
-        self._encode = encoding(path).encode
+    def __init__(self, path: str | None = None, closing: int = 0):
+        self._encode, self._closing = encoding(path).encode, closing
         self._forget()
 
     def _forget(self) -> None:
         self._keys = np.zeros(0, np.uint64)  # sorted hashes of units
         self._entry = np.zeros(0, np.int64)  # and the entry of each
-        self._ids = np.zeros(1, np.uint32)  # entry 0 is the end of a text: id 0
+        self._ids = np.array([self._closing], np.uint32)  # entry 0 is the end of a text
         self._place = np.array([0, 1], np.int64)
 
     def _add(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ class Encoder:
         return entry[inverse]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows in one array, each row closed by id 0, and where each row begins (one more at the end)."""
+        """Ids of all rows in one array, each row closed by the closing id, and where each row begins (one more at the end)."""
         begin, end, before = textbytes.units(data, at)
         entry = self._entries(data, begin, end) if len(begin) else np.zeros(0, np.int64)
         whole = self._whole_rows(data, at)

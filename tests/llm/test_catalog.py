@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in catalog.queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(catalog.queries()) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert set(catalog.oracle_sql()) <= set(entry.oracle_sql())
 
