@@ -33,7 +33,7 @@ from rackpulse.llm.tables import table, text_of, written
 
 LETTERS = "ABCDE"
 COPY = 1 << LETTERS.index("E")
-#: Bytes of different texts that a task puts into a trie, about.
+#: Most bytes of different texts that a task puts into a trie, about; there are as many ranges as shuffle partitions at least.
 RANGE_BYTES = 16 << 20
 #: Characters of the first prefix, and how many times longer the next one is where it holds too much.
 PREFIX, LONGER = 32, 4
@@ -205,7 +205,8 @@ def copies(entries: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)], names=["entry", "least"])
 
     total = entries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = prefixed(entries.select("entry", "own", "text"), range_bytes).repartitionByRange(1 + int(total // range_bytes), "prefix")
+    ranges = max(1 + int(total // range_bytes), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = prefixed(entries.select("entry", "own", "text"), 1 + int(total // ranges)).repartitionByRange(ranges, "prefix")
     return dealt.select("entry", "own", "text").mapInArrow(run, "entry long, least long")
 
 

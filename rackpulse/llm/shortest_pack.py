@@ -12,7 +12,8 @@ is padded, and only pieces of the dissolved packs are cut.
 
 Documents meet the plan by rank: a piece's place in the global order by length says which pattern, which copy of it and
 which place in it is the piece's. No task sees more than a range of that order, and nothing but the histogram and the
-plan visits the driver.
+plan visits the driver. Ids are written once where they are made and stay there: what is ranked is a narrow row for each piece, and
+only ids of cut pieces are read again. ``sequences`` brings all ids together.
 
 Defined results: a null or empty text is the closing id alone; rows without an id are packed like any other; repeated rows are
 packed each; pieces of equal length are told apart by where they were read; an empty table gives no rows; further columns
@@ -21,10 +22,12 @@ are not read. Texts are processed whole; one longer than the capacity is cut int
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +39,12 @@ from rackpulse.llm.tokens import Encoder
 CAPACITY = 2048
 CLOSING = 1
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+PARTS = "row long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, begin long, whole long, sequence_id long, offset long"
 
 
 def pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing: int = CLOSING) -> DataFrame:
-    """Every text's ids in pieces of at most ``capacity`` (``PIECES``; ``ids``: unsigned 32-bit, little-endian)."""
+    """Every text's ids in pieces of at most ``capacity`` (``PIECES``; ``ids``: unsigned 32-bit, little-endian, with their checksum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, closing)
@@ -53,10 +57,11 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
                 row = np.repeat(np.arange(len(size)), count)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * capacity
                 length = np.minimum(capacity, size[row] - start)
+                ids, ends = ids.astype("<u4", copy=False), np.append(place[row] + start, place[-1])
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(begin + row)), pa.array(start), pa.array(length), pa.array(size[row]),
-                     textbytes.binaries(ids.astype("<u4", copy=False), np.append(place[row] + start, place[-1]))],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                    [names.take(pa.array(begin + row)), pa.array(start), pa.array(length), pa.array(size[row]), pa.array(crc, pa.int64()), textbytes.binaries(ids, ends)],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"],
                 )
 
     return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
@@ -171,45 +176,62 @@ class Plan:
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def packed(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing: int = CLOSING) -> DataFrame:
-    """Every piece with its ids, its sequence and its place there (``PIECES``, ``sequence_id``, ``offset``)."""
-    made = written(pieces(df, capacity, vocabulary, closing).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+def _parts(made: DataFrame, capacity: int) -> DataFrame:
+    """Parts of all pieces (``PARTS``; ``begin``: of the part in its piece, ``whole``: length of the piece). Those of cut pieces have no checksum."""
     counts = np.zeros(capacity + 1, np.int64)
     for row in made.groupBy("length").count().collect():  # at most one row for each possible length
         counts[row["length"]] = row["count"]
-    sent = df.sparkSession.sparkContext.broadcast(Plan(counts))  # bounded by the capacity
+    sent = made.sparkSession.sparkContext.broadcast(Plan(counts))  # bounded by the capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            piece, start, length, sequence, offset = sent.value.parts(batch.column("place").to_numpy())
-            cut = length != batch.column("length").to_numpy()[piece]
-            for part in (np.flatnonzero(~cut), np.flatnonzero(cut)):
-                take = pa.array(piece[part])
-                ids = batch.column("ids").take(take)
-                if len(part) and cut[part[0]]:
-                    begin, end = 4 * start[part], 4 * (start[part] + length[part])
-                    ids = pa.array([x.as_py()[a:b] for x, a, b in zip(ids, begin.tolist(), end.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), pa.array(batch.column("start").to_numpy()[piece[part]] + start[part]), pa.array(length[part]),
-                     batch.column("doc_tokens").take(take), ids, pa.array(sequence[part]), pa.array(offset[part])],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
-                )
+            piece, begin, length, sequence, offset = sent.value.parts(batch.column("place").to_numpy())
+            whole = batch.column("length").to_numpy()[piece]
+            row, doc, start, tokens, crc = (batch.column(c).take(pa.array(piece)) for c in ("row", "doc_id", "start", "doc_tokens", "ids_crc32"))
+            crc = pc.if_else(pa.array(length == whole), crc, pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [row, doc, pa.array(start.to_numpy() + begin), pa.array(length), tokens, crc, pa.array(begin), pa.array(whole), pa.array(sequence), pa.array(offset)],
+                names=["row", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "begin", "whole", "sequence_id", "offset"],
+            )
+
+    narrow = made.select("row", "doc_id", "start", "length", "doc_tokens", "ids_crc32")
+    return numbered(narrow, F.col("length"), F.col("row")).mapInArrow(run, PARTS)
 
-    placed = numbered(made, F.col("length"), F.col("row"))
-    return placed.select("doc_id", "start", "length", "doc_tokens", "ids", "place").mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
+def _made(df: DataFrame, capacity: int, vocabulary: str | None, closing: int) -> DataFrame:
+    rows = pieces(df, capacity, vocabulary, closing).withColumn("row", F.monotonically_increasing_id())
+    return written(rows, "pack-pieces", compression="zstd")
 
-def sequences(rows: DataFrame) -> DataFrame:
-    """Whole sequences of packed pieces: ids in one binary, begin of each segment, document and place of its first id."""
-    segment = F.struct("offset", "doc_id", "start", "length", "ids")
-    lists = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(segment)).alias("s"))  # at most the capacity of segments
-    ids = F.aggregate("s", F.expr("cast('' as binary)"), lambda all_ids, x: F.concat(all_ids, x["ids"]))
-    return lists.select("sequence_id", ids.alias("ids"), *[F.col("s")[c].alias(f"{c}s") for c in ("offset", "doc_id", "start", "length")])
+
+def _ids(part: DataFrame) -> DataFrame:
+    """Parts with the ids of their piece, cut to their own."""
+    return part.withColumn("ids", F.expr("substring(ids, cast(4 * begin + 1 as int), cast(4 * length as int))"))
+
+
+def packed(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing: int = CLOSING) -> DataFrame:
+    """Every piece with the checksum of its ids, its sequence and its place there."""
+    made = _made(df, capacity, vocabulary, closing)
+    parts = written(_parts(made, capacity), "pack-parts")
+    # In the order of one length, pieces of dissolved packs come last: their ids are found by a least row for each length.
+    cut = parts.filter(F.col("ids_crc32").isNull())
+    least = F.broadcast(cut.groupBy(F.col("whole").alias("length")).agg(F.min("row").alias("least")))  # at most a row for each length
+    ids = made.select("row", "length", "ids").join(least, "length").filter(F.col("row") >= F.col("least")).select("row", "ids")
+    filled = _ids(cut.join(ids, "row")).withColumn("ids_crc32", F.crc32("ids"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return parts.filter(F.col("ids_crc32").isNotNull()).select(*columns).unionByName(filled.select(*columns))
+
+
+def sequences(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing: int = CLOSING) -> DataFrame:
+    """The sequences themselves: all ids in one binary, and of each segment its offset, document, start there and length."""
+    made = _made(df, capacity, vocabulary, closing)
+    parts = _ids(written(_parts(made, capacity), "pack-parts").join(made.select("row", "ids"), "row"))
+    segments = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
+    ids = F.aggregate("s", F.expr("cast('' as binary)"), lambda before, x: F.concat(before, x["ids"]))  # at most ``capacity`` segments
+    return segments.select("sequence_id", ids.alias("ids"), *[F.col("s")[c].alias(f"{c}s") for c in ("offset", "doc_id", "start", "length")])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    rows = packed(table(spark, folder, "documents"))
-    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed(table(spark, folder, "documents"))
 
 
 QUERIES = {"op12_shortest_pack": (query, None)}

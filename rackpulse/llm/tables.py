@@ -65,13 +65,13 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folders: set[str] = set()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once below the shared folder and read back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The frame, written once below the shared folder and read back. ``options`` are those of the Parquet writer.
 
     Cuts the lineage: what is read later comes from files that outlive any executor. The folder lies below
     ``llm-<application id>`` and is the operator's to expire, as checkpoint files are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
