@@ -150,10 +150,12 @@ WITH {MEASURES}, h AS (
   FROM m WHERE metric IN ('load_avg', 'Pwr Consumption') GROUP BY 1, 2)
 SELECT epoch_us(poll) AS poll_us, {_COLUMNS} FROM h GROUP BY poll"""
 
+SQL_PAIRS_PER_HOST = _sql_pairs("a.user_id = b.user_id AND", 6 * HOUR, 5 * SECOND)
+
 QUERIES = {
     "tolerance_join": (tolerance_join_fleet, _sql_pairs("", 60 * SECOND, 0)),
     "tolerance_join_drift": (tolerance_join_drift, _sql_pairs("", 60 * SECOND, 5 * SECOND)),
-    "tolerance_join_per_host": (tolerance_join_host, _sql_pairs("a.user_id = b.user_id AND", 6 * HOUR, 5 * SECOND)),
+    "tolerance_join_per_host": (tolerance_join_host, SQL_PAIRS_PER_HOST),
     "curated_samples": (curated_samples, CURATED),
     "dedupe_last_wins": (dedupe_last_wins, DEDUPE),
     "aligned_samples": (aligned, ALIGNED),

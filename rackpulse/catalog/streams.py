@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rackpulse.catalog import tables as t
-from rackpulse.catalog.series import POLL_ROLLUP, shaped_rollup
+from rackpulse.catalog.series import HOUR, POLL_ROLLUP, SQL_PAIRS_PER_HOST, points, shaped_rollup
 from rackpulse.catalog.tables import MEASURES, fixed, sql_fixed
 from rackpulse.functions.parse import micros
 from rackpulse.operators.series import SECOND
 from rackpulse.session import prepare, scratch_path
-from rackpulse.streaming.joins import tolerance_join_stream
+from rackpulse.streaming.handover import open_windows, run_to_end, window_closed
+from rackpulse.streaming.joins import is_answered, open_pairs, tolerance_join_stream
 from rackpulse.streaming.rollups import aligned_stream, poll_status
-from rackpulse.streaming.sinks import run_available
 
 WINDOW_HOURS = 6
 
@@ -38,19 +38,18 @@ def _measure_stream(spark, d):
 
 
 def stream_poll_rollup(spark, d):
-    """Poll counters of the windows the watermark has closed."""
+    """Poll counters of all windows: those the stream has closed, and the open ones from the rows behind its watermark."""
+    seconds = WINDOW_HOURS * 3600
     rolled = poll_status(_measure_stream(spark, d), f"{WINDOW_HOURS} hours")
-    return shaped_rollup(run_available(rolled, "poll-rollup", scratch_path(spark, "poll-rollup")))
-
-
-_CLOSED = """(SELECT epoch_us(max(ts)) FROM m WHERE metric IN ('load_avg', 'Pwr Consumption')) - 600000000"""
-STREAM_ROLLUP = f"{POLL_ROLLUP} HAVING epoch_us(poll) + {WINDOW_HOURS * 3600 * SECOND} <= {_CLOSED}"
+    rest = open_windows(points(spark, d), "time", seconds, lambda rows: poll_status(rows, f"{WINDOW_HOURS} hours"), "poll_start")
+    return shaped_rollup(run_to_end(rolled, scratch_path(spark, "poll-rollup"), rest, window_closed("poll_start", seconds)))
 
 
 def stream_aligned(spark, d):
-    """Last value of each closed hour per measurement."""
-    rows = aligned_stream(_measure_stream(spark, d), ["measurement"], "time", "value", 3600)
-    table = run_available(rows, "aligned", scratch_path(spark, "aligned"))
+    """Last value of each hour per measurement, open hours included."""
+    last = lambda rows: aligned_stream(rows, ["measurement"], "time", "value", 3600)
+    rest = open_windows(points(spark, d), "time", 3600, last, "window_start")
+    table = run_to_end(last(_measure_stream(spark, d)), scratch_path(spark, "aligned"), rest, window_closed("window_start", 3600))
     return table.select("measurement", micros("window_start").alias("window_us"), fixed("value").alias("value"), "n")
 
 
@@ -58,35 +57,33 @@ STREAM_ALIGNED = f"""
 WITH {MEASURES}
 SELECT CASE metric WHEN 'load_avg' THEN 'load_avg' ELSE 'pwr_consumption' END AS measurement,
   epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, {sql_fixed('arg_max(value, ts)')} AS value, count(*) AS n
-FROM m WHERE metric IN ('load_avg', 'Pwr Consumption') GROUP BY 1, 2
-HAVING epoch_us(time_bucket(INTERVAL '1 hour', any_value(ts))) + {3600 * SECOND} <= {_CLOSED}"""
+FROM m WHERE metric IN ('load_avg', 'Pwr Consumption') GROUP BY 1, 2"""
 
 
 def stream_tolerance_join(spark, d):
-    """Views paired with clicks of the same user within six hours, as the stream closes each day."""
-    side = lambda kind: _event_stream(spark, d).where(F.col("event_type") == kind).select(
-        F.col("user_id").cast("string").alias("host"), "ts", F.col("event_id").cast("string").alias("payload")
+    """Views and purchases paired with the other events of the same user, as the batch join pairs them.
+
+    Rows whose reach the watermark has passed are answered by the stream, the others by the batch join behind it.
+    """
+    tolerance, drift = 6 * HOUR, 5 * SECOND
+    bmc = F.col("event_type").isin("view", "purchase")
+    side = lambda events, mine: events.where(mine).select(
+        F.col("user_id").cast("string").alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"),
+        F.col("event_id").cast("string").alias("payload"),
     )
-    pairs = tolerance_join_stream(
-        side("view"), side("click"), 6 * 3600 * SECOND, 5 * SECOND, slice_seconds=86400, lateness_seconds=600
+    live = _event_stream(spark, d)
+    pairs = tolerance_join_stream(side(live, bmc), side(live, ~bmc), tolerance, drift, slice_seconds=30 * 86400, lateness_seconds=600)
+    stored = t.read(spark, d, "events")
+    table = run_to_end(
+        pairs, scratch_path(spark, "pairs"),
+        lambda watermark: open_pairs(side(stored, bmc), side(stored, ~bmc), watermark, tolerance, drift),
+        lambda watermark: is_answered(watermark, tolerance, drift),
     )
-    table = run_available(pairs, "pairs", scratch_path(spark, "pairs"))
     return table.select(F.col("bmc").cast("bigint").alias("bmc_id"), F.col("sample").cast("bigint").alias("host_id"))
 
 
-_TOL, _DRIFT, _DAY = 6 * 3600 * SECOND, 5 * SECOND, 86400 * SECOND
-_DELAY = (600 + 1) * SECOND + 3 * _TOL + _DRIFT
-_SLICE_END = f"(CAST(floor((epoch_us(a.ts) - {_DRIFT + _TOL}) / {_DAY}.0) AS BIGINT) + 1) * {_DAY}"
-_NEWEST = f"""(SELECT max(epoch_us(ts) - CASE event_type WHEN 'view' THEN {_DRIFT + _TOL} ELSE 0 END)
-  FROM events WHERE event_type IN ('view', 'click'))"""
-STREAM_JOIN = f"""
-SELECT a.event_id AS bmc_id, arg_min(b.event_id, b.ts) AS host_id
-FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - {_DRIFT} - epoch_us(b.ts)) < {_TOL}
-WHERE a.event_type = 'view' AND b.event_type = 'click' AND {_SLICE_END} <= ({_NEWEST} // 1000 * 1000) - {_DELAY}
-GROUP BY 1"""
-
 QUERIES = {
-    "stream_poll_rollup": (stream_poll_rollup, STREAM_ROLLUP),
+    "stream_poll_rollup": (stream_poll_rollup, f"{POLL_ROLLUP}"),
     "stream_aligned_samples": (stream_aligned, STREAM_ALIGNED),
-    "stream_tolerance_join": (stream_tolerance_join, STREAM_JOIN),
+    "stream_tolerance_join": (stream_tolerance_join, SQL_PAIRS_PER_HOST),
 }

@@ -40,18 +40,20 @@ def store_poll(
 ) -> DataFrame:
     """Stores one poll where a path is given: points, measures of each machine, redacted host dump.
 
-    The poll is written once and returned, since every store starts from it. Points that could not be written are an
+    The poll is written once and returned, since every store starts from it. The poll's time is the run of its points and
+    measures, so a poll that is stored again replaces itself. Points that could not be written are an
     error, raised when the other stores are done.
     """
     kept = materialise(polled, "poll")
+    run = str(kept.agg(F.max("time")).first()[0])
     points = host_points(kept)
     stored = True
     if point_path:
-        stored = tables.points(points.unionByName(fleet_points(kept)), point_path)
+        stored = tables.points(points.unionByName(fleet_points(kept)), point_path, run)
     if measure_path:
         metric = F.create_map(*[F.lit(x) for pair in METRIC_NAMES.items() for x in pair])
         named = points.withColumn("measurement", metric[F.col("measurement")])
-        tables.measures(tables.measures_from_points(named, F.col("tags")["host"], 300.0), measure_path)
+        tables.measures(tables.measures_from_points(named, F.col("tags")["host"], 300.0), measure_path, run)
     if dump_path:
         tables.curated_machines(tables.redacted(kept), dump_path, as_json=True)
     if not stored:

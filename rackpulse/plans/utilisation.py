@@ -57,12 +57,14 @@ def nightly_run(
 ) -> DataFrame:
     """The daily job: verdicts, and where a path is given alert rows and fleet counters.
 
-    The verdicts are written once, since alerts and counters both start from them.
+    The verdicts are written once, since alerts and counters both start from them. The day of the newest login count is the run, so
+    a job that runs again replaces what it wrote.
     """
     verdicts = materialise(machine_verdicts(machines, measures), "verdicts")
+    run = str(verdicts.agg(F.max(F.to_date("anchor"))).first()[0])
     if alert_path:
-        tables.alerts(alerts(verdicts, users, base_url), alert_path)
-    if point_path and not tables.points(counter_measures(verdicts), point_path):
+        tables.alerts(alerts(verdicts, users, base_url), alert_path, run)
+    if point_path and not tables.points(counter_measures(verdicts), point_path, run):
         raise OSError(f"the counters of this run are not in {point_path}; run it again")
     return verdicts
 

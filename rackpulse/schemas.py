@@ -52,6 +52,9 @@ SAMPLE_CURATED = _struct(
 )
 
 POINT = _struct(("measurement", S), ("tags", T.MapType(S, S)), ("time", TS), ("value", D))
+POINT_STORED = _struct(*((f.name, f.dataType) for f in POINT.fields), ("date", T.DateType()))
+SEGMENT = _struct(*((f.name, f.dataType) for f in SAMPLE_RAW.fields), ("date", T.DateType()), ("hour", I))
+ALERT = _struct(("owner", S), ("email", S), ("subject", S), ("host", S), ("links", T.ArrayType(S)), ("reason", S))
 MEASURE = _struct(("host", S), ("metric", S), ("ts", TS), ("granularity", D), ("value", D))
 PRODUCT_TEMP = _struct(("product", S), ("min", I), ("max", I))
 OID = _struct(("oid", S), ("io", S), ("type", S), ("phase", S))

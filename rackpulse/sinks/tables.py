@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.parse import host_bucket
 from rackpulse.session import rebalanced
+from rackpulse.sinks import runs
 
 log = logging.getLogger(__name__)
 
@@ -62,20 +63,29 @@ def encoded_parts(df: DataFrame, path: str) -> None:
     df.select(*keys, *labels).write.mode("overwrite").option("header", True).csv(f"{path}/groundtruth")
 
 
-def points(df: DataFrame, path: str) -> bool:
-    """Appends points by measurement and day. A failed write is logged and told; the caller keeps the points."""
+def points(df: DataFrame, path: str, run: str | None = None) -> bool:
+    """Points by measurement and day. A failed write is logged and told; the caller keeps the points.
+
+    With a run, a repetition replaces the run's points (see ``runs``); without one, points are appended.
+    """
+    dated = df.withColumn("date", F.to_date("time"))
     try:
-        dated = rebalanced(df.withColumn("date", F.to_date("time")), "measurement", "date")
-        dated.write.mode("append").partitionBy("measurement", "date").parquet(path)
+        if run is not None:
+            runs.write_run(dated, path, run, ["measurement", "date"])
+        else:
+            rebalanced(dated, "measurement", "date").write.mode("append").partitionBy("measurement", "date").parquet(path)
         return True
     except Exception:  # noqa: BLE001 - the other stores of a poll still run; the caller raises afterwards
         log.exception("writing points to %s failed", path)
         return False
 
 
-def measures(df: DataFrame, path: str) -> None:
-    """Appends measures of resources; a new resource or type needs no preparation."""
-    rebalanced(df, "metric").write.mode("append").partitionBy("metric").parquet(path)
+def measures(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Measures of resources by metric; a new resource or type needs no preparation. A repeated run replaces itself."""
+    if run is not None:
+        runs.write_run(df, path, run, ["metric"])
+    else:
+        rebalanced(df, "metric").write.mode("append").partitionBy("metric").parquet(path)
 
 
 def measures_from_points(points_df: DataFrame, resource: Column, granularity: float) -> DataFrame:
@@ -86,14 +96,21 @@ def measures_from_points(points_df: DataFrame, resource: Column, granularity: fl
     )
 
 
-def raw_segments(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Raw samples by day and hour, the segment length of production runs."""
+def raw_segments(df: DataFrame, path: str, ts: str = "ts", run: str | None = None) -> None:
+    """Raw samples by day and hour, the segment length of production runs. A repeated run replaces itself."""
     cut = df.withColumn("date", F.to_date(ts)).withColumn("hour", F.hour(ts))
-    rebalanced(cut, "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
-
-
-def alerts(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("reason").parquet(path)
+    if run is not None:
+        runs.write_run(cut, path, run, ["date", "hour"])
+    else:
+        rebalanced(cut, "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
+
+
+def alerts(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Alert rows by reason. A repeated run replaces its alerts, so nobody is told twice."""
+    if run is not None:
+        runs.write_run(df, path, run, ["reason"])
+    else:
+        df.write.mode("append").partitionBy("reason").parquet(path)
 
 
 def model(fitted, path: str, method: str) -> None:

@@ -10,6 +10,7 @@ from rackpulse import schemas
 from rackpulse.functions.parse import WORKLOADS, host_bucket, keyed_json, sample_file_fields
 from rackpulse.operators.skew import last_wins
 from rackpulse.session import prepare
+from rackpulse.sinks import runs
 
 # The fields of a roster entry that are taken over.
 ROSTER_FIELDS = ("hostname", "ip_address", "user", "power_state", "power_user", "power_driver", "power_address")
@@ -140,9 +141,30 @@ def text_dumps(spark: SparkSession, path: str, kind: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table written in runs, or one that is only appended to."""
+    if runs.has_runs(spark, path):
+        return runs.read_runs(spark, path, schema).drop(runs.RUN)
+    return spark.read.schema(schema).parquet(path)
+
+
 def measures(spark: SparkSession, path: str) -> DataFrame:
     """Measure table; a filter on the metric prunes partitions."""
-    return spark.read.schema(schemas.MEASURE).parquet(path)
+    return _stored(spark, path, schemas.MEASURE)
+
+
+def points(spark: SparkSession, path: str) -> DataFrame:
+    """Point table; filters on measurement and date prune partitions."""
+    return _stored(spark, path, schemas.POINT_STORED)
+
+
+def alerts(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path, schemas.ALERT)
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """Raw samples as stored by day and hour."""
+    return _stored(spark, path, schemas.SEGMENT)
 
 
 def users(spark: SparkSession, path: str) -> DataFrame:

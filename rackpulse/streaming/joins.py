@@ -1,80 +1,138 @@
 """The tolerance join on live series.
 
-Rows of one host and time slice are gathered by a windowed aggregation, which
-Spark emits once the watermark has passed the slice. Then one ordered pass over
-many slices at a time pairs them by the same rule as the batch join.
+Rows of one host and time slice meet in a state of their own, ordered by time. A BMC row is answered by a timer when the
+watermark has passed its reach, since no host row that could still be earlier can come then; host rows that no BMC row
+can need any more go. So a state holds rows of one reach behind the watermark, and the next batch's rows, never a whole slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rackpulse.functions.parse import micros
-from rackpulse.operators.series import SECOND
+from rackpulse.operators.series import SECOND, tolerance_join
 
 OUTPUT = "host string, bmc_t bigint, bmc string, host_t bigint, sample string"
-
-
-def _pair(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """First host row strictly after each BMC row's time, within the reach, in its slice."""
-    ordered = rows.sort_values(["t", "payload"], kind="stable")
-    bmc = ordered[ordered["side"] == 0]
-    host = ordered[ordered["side"] == 1].drop_duplicates(["slice", "t"])
-    paired = pd.merge_asof(
-        bmc, host[["slice", "t", "payload"]].assign(host_t=host["t"]), on="t", by="slice", direction="forward",
-        allow_exact_matches=False, tolerance=reach - 1, suffixes=("", "_host"),
-    )
-    return paired.dropna(subset=["host_t"])
-
-
-def _pair_slices(reach: int, shift: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # A batch holds whole slices; its row number tells them apart.
-            rows = pd.DataFrame([
-                (i, host, r["t"], r["side"], r["payload"])
-                for i, (host, held) in enumerate(zip(batch["host"], batch["held"])) for r in held
-            ], columns=["slice", "host", "t", "side", "payload"])
-            found = _pair(rows, reach)
-            yield pd.DataFrame({
-                "host": found["host"], "bmc_t": found["t"].astype("int64") + shift, "bmc": found["payload"],
-                "host_t": found["host_t"].astype("int64"), "sample": found["payload_host"],
-            })
-
-    return run
+#: State stores that timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROW = "t bigint, side int, tie bigint, payload string"
+
+
+def closing_ms(t, reach: int):
+    """Millisecond that the watermark must have passed before a BMC row is answered."""
+    return -(-(t + reach) // 1000)
+
+
+class Pairing(StatefulProcessor):
+    """Rows of one host and slice that wait: BMC rows (side 0) for their answer, host rows (side 1) for BMC rows."""
+
+    def __init__(self, reach: int, shift: int):
+        self.reach, self.shift = reach, shift
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _ROW)
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for batch in rows:
+            self.held.appendList(list(batch[["t", "side", "tie", "payload"]].itertuples(index=False, name=None)))
+            bmc = batch.loc[batch["side"] == 0, "t"]
+            due = closing_ms(int(bmc.min()), self.reach) if len(bmc) else int(batch["t"].max()) // 1000 + 1
+            least = due if least is None else min(least, due)
+        if least is not None:
+            self._wake(least)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.held.get()), columns=["t", "side", "tie", "payload"]).sort_values(["t", "tie"], kind="stable")
+        bmc, host = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        ready = closing_ms(bmc["t"], self.reach) < passed
+        answered, waiting = bmc[ready], bmc[~ready]
+        times = host["t"].to_numpy(np.int64)
+        at = np.searchsorted(times, answered["t"].to_numpy(np.int64), "right")  # the first host row strictly behind
+        found = at < len(times)
+        found[found] = times[at[found]] < answered["t"].to_numpy(np.int64)[found] + self.reach
+        answered, host_rows = answered[found], host.iloc[at[found]]
+        # Rows that come later are not behind the watermark.
+        needed = min(int(waiting["t"].min()) if len(waiting) else passed * 1000, passed * 1000)
+        kept = pd.concat([waiting, host[host["t"] > needed]])
+        self.due.clear()
+        if len(kept):
+            self.held.put(list(kept.itertuples(index=False, name=None)))
+            self._wake(closing_ms(int(waiting["t"].min()), self.reach) if len(waiting) else int(kept["t"].max()) // 1000 + 1)
+        else:
+            self.held.clear()
+        yield pd.DataFrame({
+            "host": pd.Series([key[0]] * len(answered), dtype=object), "bmc_t": answered["t"].to_numpy(np.int64) + self.shift,
+            "bmc": answered["payload"].to_numpy(object), "host_t": host_rows["t"].to_numpy(np.int64), "sample": host_rows["payload"].to_numpy(object),
+        })
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, due: int) -> None:
+        """One timer for a state, at the earliest time something is due."""
+        now = self.due.get()
+        if now is None or due < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.due.update((due,))
+            self.handle.registerTimer(due)
+
+
+def _side(df: DataFrame, number: int, t: Column) -> DataFrame:
+    tie = F.col("tie").cast("bigint") if "tie" in df.columns else F.lit(0).cast("bigint")
+    return df.select(F.col("host").cast("string").alias("host"), t.alias("t"), F.lit(number).alias("side"), tie.alias("tie"), "payload")
 
 
 def tolerance_join_stream(
     bmc: DataFrame, host: DataFrame, tolerance_us: int = SECOND, drift_us: int = 0,
-    slice_seconds: int = 60, lateness_seconds: int = 10,
+    slice_seconds: int = 600, lateness_seconds: int = 10,
 ) -> DataFrame:
-    """Pairs of two streams with columns ``host``, ``ts`` and ``payload`` (text).
+    """Pairs of two streams with columns ``host``, ``ts`` and ``payload`` (text); of host rows at one time the least ``tie`` counts.
 
-    A slice is emitted once the watermark has passed it; rows later than the
-    lateness are dropped. A slice of one host has to fit in a state row, so it
-    should span seconds or minutes.
+    A BMC row is answered once the watermark has passed its reach; rows later than the lateness are dropped. Slices
+    spread a busy host over tasks; host rows near the start of a slice are also given to the slice before.
     """
+    spark = bmc.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     reach, shift = 2 * tolerance_us, drift_us + tolerance_us
     slice_us = max(slice_seconds * SECOND, reach)
+    start = F.col("t") - F.pmod(F.col("t"), F.lit(slice_us))
+    left = _side(bmc, 0, micros("ts") - shift).withColumn("slice", start)
+    slices = F.when(F.col("t") - start < reach, F.array(start - slice_us, start)).otherwise(F.array(start))
+    right = _side(host, 1, micros("ts")).withColumn("slice", F.explode(slices))
+    # A BMC row's place lies behind its own time by the shift.
+    delay = lateness_seconds + -(-abs(shift) // SECOND)
+    both = left.unionByName(right).withColumn("at", F.timestamp_micros("t")).withWatermark("at", f"{delay} seconds")
+    return both.groupBy("host", "slice").transformWithStateInPandas(Pairing(reach, shift), OUTPUT, "append", "EventTime")
 
-    def side(df: DataFrame, number: int, t: Column) -> DataFrame:
-        return df.select("host", t.alias("t"), F.lit(number).alias("side"), "payload")
 
-    left = side(bmc, 0, micros("ts") - shift).withColumn("slot", F.col("t"))
-    start = F.col("t") - F.pmod(F.col("t"), F.lit(slice_us))
-    # A host row near the start of its slice is also the last instant of the slice before.
-    slots = F.when(F.col("t") - start < reach, F.array("t", start - 1)).otherwise(F.array("t"))
-    right = side(host, 1, micros("ts")).withColumn("slot", F.explode(slots))
-    # Slots lag the clock by the shift of a BMC row or the reach of a host row.
-    delay_us = lateness_seconds * SECOND + reach + abs(shift)
-    held = (
-        left.unionByName(right).withColumn("slot", F.timestamp_micros("slot"))
-        .withWatermark("slot", f"{delay_us // SECOND + 1} seconds")
-        .groupBy("host", F.window("slot", f"{slice_us // 1000} milliseconds"))
-        .agg(F.collect_list(F.struct("t", "side", "payload")).alias("held"))
+def open_pairs(bmc: DataFrame, host: DataFrame, watermark_us: int, tolerance_us: int = SECOND, drift_us: int = 0) -> DataFrame:
+    """Pairs of the BMC rows that a stream with this watermark has not answered, by the batch join over the rows behind it."""
+    reach, shift = 2 * tolerance_us, drift_us + tolerance_us
+    late = lambda t: (F.floor((t - shift + reach + 999) / 1000) >= watermark_us // 1000)
+    left = bmc.withColumn("t", micros("ts")).where(late(F.col("t")))
+    right = host.withColumn("t", micros("ts")).where(F.col("t") > watermark_us - reach - 1000)
+    row = lambda df: _side(df, 0, F.col("t")).drop("side")
+    pairs = tolerance_join(row(left), row(right), ["host"], tolerance_us, drift_us, tie=["tie"])
+    return pairs.select(
+        "host", F.col("bmc_row.t").alias("bmc_t"), F.col("bmc_row.payload").alias("bmc"),
+        F.col("host_row.t").alias("host_t"), F.col("host_row.payload").alias("sample"),
     )
-    return held.select("host", "held").mapInPandas(_pair_slices(reach, shift), OUTPUT)
+
+
+def is_answered(watermark_us: int, tolerance_us: int = SECOND, drift_us: int = 0) -> Column:
+    """Whether a stream with this watermark has answered the BMC row of a pair."""
+    reach, shift = 2 * tolerance_us, drift_us + tolerance_us
+    return F.floor((F.col("bmc_t") - shift + reach + 999) / 1000) < watermark_us // 1000
