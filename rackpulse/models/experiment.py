@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.models import estimators
+from rackpulse.models import estimators, grouped
 from rackpulse.operators import evaluate, features as feat
+from rackpulse.operators.inventory import members_with_samples
 from rackpulse.operators.skew import keyed_join
 from rackpulse.session import rebalanced, scratch_path
 
@@ -132,7 +133,12 @@ def by_machine_lists(
     samples: DataFrame, train_hosts: DataFrame, test_hosts: DataFrame | None, task: Task,
     n_experiments: int = 1, test_source: DataFrame | None = None,
 ) -> DataFrame:
-    """Experiments on given training and test machines (frames with a ``host`` column)."""
+    """Experiments on given training and test machines (frames with a ``host`` column).
+
+    Methods whose fit follows from sums run all experiments in one pass (see ``grouped``).
+    """
+    if task.method in grouped.METHODS:
+        return grouped.experiments(samples, grouped.list_parts(train_hosts, test_hosts, n_experiments), task, test_source=test_source)
     chosen = samples.join(train_hosts.select("host"), "host", "left_semi")
     tested = None
     if test_hosts is not None:
@@ -150,12 +156,17 @@ def by_hardware_group(
 ) -> DataFrame:
     """Experiments per hardware group, each with its own split of the group's machines.
 
-    ``members`` has hwconfig, hostname and position. All groups are split and
+    ``members`` has hwconfig, hostname and position. Methods whose fit follows from sums run all groups and
+    experiments in one pass (see ``grouped``). For the others all groups are split and
     written by group and part in one pass, so a group's fit reads only its own
     files. The driver holds the list of groups; ``at_once`` of them are fitted together, in the
     order of their codes or, with a random selection, in a random order of the seed.
     """
+    if task.method in grouped.METHODS:
+        parts = grouped.group_parts(samples, members, n_experiments, selection, task.seed)
+        return grouped.experiments(samples, parts, task)
     spark = samples.sparkSession
+    members = members_with_samples(members, samples)
     numbered = hardware_numbers(members)
     groups = {r["code"]: r["hwconfig"] for r in numbered.collect()}
     coded = keyed_join(members, numbered, ["hwconfig"])

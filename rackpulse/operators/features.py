@@ -177,18 +177,19 @@ def balanced_sample(
 
 
 def machine_split(
-    members: DataFrame, group: str, machine: str, position: str, selection: str = "random", seed: int = 0
+    members: DataFrame, group: str | list[str], machine: str, position: str, selection: str = "random", seed: int | Column = 0
 ) -> DataFrame:
     """Half of each hardware group for training, the rest for testing, in random or listed order.
 
-    A group of one is for training only.
+    A group of one is for training only. ``group`` may be several columns and the seed a column that is constant in a group.
     """
+    by = [group] if isinstance(group, str) else list(group)
     order = shuffled_order(F.col(position), seed) if selection == "random" else F.col(position)
     ordered = members.withColumn("_order", order)
     slice_of = hash_slice(F.col("_order")) if selection == "random" else F.floor(F.col("_order") / 4096)
-    ranked = rank_in_group(ordered, [group], slice_of, ["_order", position], "_rank")
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
-    joined = keyed_join(ranked, sizes, [group])
+    ranked = rank_in_group(ordered, by, slice_of, ["_order", position], "_rank")
+    sizes = members.groupBy(*by).agg(F.count("*").alias("_n"))
+    joined = keyed_join(ranked, sizes, by)
     train = F.greatest(F.floor(F.col("_n") * 0.5), F.lit(1))
     return joined.withColumn(
         "part", F.when(F.col("_rank") <= train, "train").otherwise("test")

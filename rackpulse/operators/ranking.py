@@ -16,8 +16,8 @@ SLICES = 1 << 16
 HASH_RANGE = 1 << 32
 
 
-def shuffled_order(key: Column, seed: int = 0) -> Column:
-    """Reproducible pseudo-random order of integer keys: a multiplicative hash in [0, 2^32)."""
+def shuffled_order(key: Column, seed: int | Column = 0) -> Column:
+    """Reproducible pseudo-random order of integer keys: a multiplicative hash in [0, 2^32). The seed may be a column."""
     half = F.lit(HASH_RANGE // 2)
     mixed = F.pmod(F.pmod(key.cast("bigint"), half) + F.lit(seed), half)
     return F.pmod(mixed * F.lit(2654435761), F.lit(HASH_RANGE))
