@@ -14,8 +14,10 @@ the threshold; the result is every document's connected component. No step compa
 4. Each representative first meets its home bucket (the largest it is in) together with its set. Survivors are
    verified there, one link for each component met, so thousands of near copies shrink to a tree of links. In the
    buckets that still hold several components, the first document of each is then verified against the first of all.
-5. Buckets that still hold more than one component are searched by the R-tree for pairs across components; these
-   survivors are verified against the sets.
+5. Buckets that still hold more than one component are searched by the R-tree for pairs across components that have not met at
+   home. A pair is told narrowly, with the number of shingles the bucket stands for; only pairs told for as many as the
+   promise of step 2 asks for are verified against the sets. Buckets with the same members (all shingles of a passage that some documents
+   share) are one bucket that counts as many.
 
 Buckets larger than ``BLOCK`` are dealt to blocks, and the search across components runs over all pairs of blocks, so
 no pair is lost and no task holds more than two blocks.
@@ -315,9 +317,13 @@ def _merge_home(batches, percent: int):
 
 
 def _across(batches, percent: int):
-    """Pairs of different components of each bucket (or pair of blocks) that may link."""
+    """Pairs of different components of each bucket (or pair of blocks) that may link and have not met at home.
+
+    Each comes with the number of shingles of the bucket (``shared``) and the size of its smaller set (``small``).
+    """
     for rows, at in groups(batches, ["h", "lower", "upper"]):
         name, comp = rows.column("rep").to_numpy(), rows.column("comp").to_numpy()
+        weight, home = rows.column("weight").to_numpy(), np.stack([rows.column(c).to_numpy() for c in ("home", "home_block")])
         size, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
         lower, upper = rows.column("lower").to_numpy(), rows.column("upper").to_numpy()
         points = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in rows.column("point")), np.uint8).reshape(-1, GROUPS)
@@ -346,7 +352,9 @@ def _across(batches, percent: int):
                 if len(near):
                     pairs.append(np.stack([np.full(len(near), i), near], 1))
         p = np.concatenate(pairs)
-        yield {"a": np.maximum(name[p[:, 0]], name[p[:, 1]]), "b": np.minimum(name[p[:, 0]], name[p[:, 1]])}
+        p = p[(home[:, p[:, 0]] != home[:, p[:, 1]]).any(0)]
+        i, j = p.T
+        yield {"a": np.maximum(name[i], name[j]), "b": np.minimum(name[i], name[j]), "shared": weight[i], "small": np.minimum(size[i], size[j])}
 
 
 def _verify(batches, percent: int):
@@ -374,11 +382,9 @@ def _checked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(batches, schema)
 
 
-def _mixed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Entries of the buckets that hold several components, with the component (``h``, ``rep``, ``members``, ``comp``)."""
-    if roots is None:
-        return entries.withColumn("comp", F.col("rep"))
-    placed = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "members", F.coalesce("root", "rep").alias("comp"))
+def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold several components, with the component (``comp``)."""
+    placed = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     bucket = Window.partitionBy("h")
     several = placed.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
     return several.filter(F.col("low") != F.col("high")).drop("low", "high")
@@ -398,15 +404,20 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     entries = some.select(F.explode("lead").alias("h"), "doc_id").withColumn("members", F.count("*").over(bucket)).filter(F.col("members") > 1)
     entries = entries.select("h", "doc_id").join(names, "doc_id").withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
     entries = entries.filter(F.col("shared") >= enough).select("h", "rep", "n").repartition("h").dropDuplicates(["h", "rep"])
-    entries = entries.withColumn("members", F.count("*").over(bucket)).filter(F.col("members") > 1)
+    entries = entries.withColumns({
+        "members": F.count("*").over(bucket), "s1": F.bit_xor(F.xxhash64("rep")).over(bucket),
+        "s2": F.sum(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 40))).over(bucket),
+    }).filter(F.col("members") > 1)
     entries = entries.withColumn("shared", F.count("*").over(Window.partitionBy("rep"))).filter(F.col("shared") >= enough)
-    entries = written(entries.select("h", "rep", "members"), "buckets")
+    # Buckets of the same members are one, named by the least of them.
+    entries = entries.groupBy("rep", "members", "s1", "s2").agg(F.min("h").alias("h"), F.count("*").alias("weight"))
+    entries = written(entries.select("h", "rep", "members", "weight"), "buckets")
 
     # Home buckets, with the sets.
     items = written(sets(docs, entries.select("rep").distinct(), words), "sets")
     home = entries.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("home")).select("rep", F.col("home")["h"].alias("h"))
     home = home.withColumn("at_home", F.count("*").over(bucket)).filter(F.col("at_home") > 1)
-    home = home.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("at_home") / BLOCK)))
+    home = written(home.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("at_home") / BLOCK))).drop("at_home"), "homes")
     links = written(home_links(home.join(items, "rep"), percent), "home-links")
     roots = components(links)
     for _ in range(HEAD_ROUNDS):
@@ -418,14 +429,20 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     # Buckets that still hold several components.
     batches, schema = _arrow(_points, "rep long, n long, point binary")
-    points = items.mapInArrow(batches, schema)
+    met = home.select("rep", F.col("h").alias("home"), F.col("block").alias("home_block"))
+    # One alone in its home bucket has met nobody: a home of its own stands for that.
+    points = items.mapInArrow(batches, schema).join(met, "rep", "left").select(
+        "rep", "n", "point", F.coalesce("home", "rep").alias("home"), F.coalesce("home_block", F.lit(-1)).alias("home_block"))
     rest = _mixed(entries, roots).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("h", "rep", "comp", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper")).join(points, "rep")
-    batches, schema = _arrow(lambda source: _across(source, percent), "a long, b long")
+    rest = rest.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).drop("other", "members", "blocks").join(points, "rep")
+    batches, schema = _arrow(lambda source: _across(source, percent), "a long, b long, shared long, small long")
     keys = ["h", "lower", "upper"]
-    pairs = rest.select(*keys, "rep", "comp", "block", "n", "point").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(batches, schema).distinct()
+    told = rest.select(*keys, "rep", "comp", "block", "weight", "home", "home_block", "n", "point")
+    told = told.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(batches, schema)
+    pairs = told.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("small").alias("small"))
+    pairs = written(pairs.filter(F.col("shared") >= F.lit(1) + F.floor(F.col("small") / SHARED_PART)).select("a", "b"), "pairs")
     late = written(_checked(pairs, items, percent), "late-links")
     if not late.isEmpty():
         roots = components(_as_links(roots).unionByName(late))
