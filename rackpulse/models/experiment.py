@@ -7,7 +7,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.models import estimators, grouped
@@ -131,14 +131,15 @@ def run_one(
 
 def by_machine_lists(
     samples: DataFrame, train_hosts: DataFrame, test_hosts: DataFrame | None, task: Task,
-    n_experiments: int = 1, test_source: DataFrame | None = None,
+    n_experiments: int = 1, test_source: DataFrame | None = None, key: Column | None = None,
 ) -> DataFrame:
     """Experiments on given training and test machines (frames with a ``host`` column).
 
-    Methods whose fit follows from sums run all experiments in one pass (see ``grouped``).
+    Methods whose fit follows from sums run all experiments in one pass (see ``grouped``); there ``key`` orders the rows of a class
+    when classes are balanced.
     """
     if task.method in grouped.METHODS:
-        return grouped.experiments(samples, grouped.list_parts(train_hosts, test_hosts, n_experiments), task, test_source=test_source)
+        return grouped.experiments(samples, grouped.list_parts(train_hosts, test_hosts, n_experiments), task, key, test_source)
     chosen = samples.join(train_hosts.select("host"), "host", "left_semi")
     tested = None
     if test_hosts is not None:
@@ -152,7 +153,7 @@ def by_machine_lists(
 
 def by_hardware_group(
     samples: DataFrame, members: DataFrame, task: Task, n_experiments: int = 1, selection: str = "random",
-    at_once: int = 4,
+    at_once: int = 4, key: Column | None = None,
 ) -> DataFrame:
     """Experiments per hardware group, each with its own split of the group's machines.
 
@@ -164,7 +165,7 @@ def by_hardware_group(
     """
     if task.method in grouped.METHODS:
         parts = grouped.group_parts(samples, members, n_experiments, selection, task.seed)
-        return grouped.experiments(samples, parts, task)
+        return grouped.experiments(samples, parts, task, key)
     spark = samples.sparkSession
     members = members_with_samples(members, samples)
     numbered = hardware_numbers(members)
