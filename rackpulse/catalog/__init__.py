@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rackpulse.catalog import experiments, features, fleet, inventory, models, series, streams, text
+from rackpulse.catalog import experiments, features, fleet, inventory, models, series, storage, streams, text
 
-MODULES = (fleet, text, series, features, inventory, models, experiments, streams)
+MODULES = (fleet, text, series, features, inventory, models, experiments, storage, streams)
 
 
 def queries() -> dict:
