@@ -13,7 +13,8 @@ the threshold; the result is every document's connected component. No step compa
    and prunes it; leaves give the pairs that may link.
 4. Each representative first meets its home bucket (the largest it is in) together with its set. Survivors are
    verified there, one link for each component met, so thousands of near copies shrink to a tree of links. In the
-   buckets that still hold several components, the first document of each is then verified against the first of all.
+   buckets that still hold several components, the first document of each is then verified against the first of all, if the two
+   share enough of such buckets; this only saves work, and pairs left out come again in the last step.
 5. Buckets that still hold more than one component are searched by the R-tree for pairs across components that have not met at
    home. A pair is told narrowly, with the number of shingles the bucket stands for; only pairs told for as many as the
    promise of step 2 asks for are verified against the sets. Buckets with the same members (all shingles of a passage that some documents
@@ -382,6 +383,12 @@ def _checked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(batches, schema)
 
 
+def _promising(told: DataFrame) -> DataFrame:
+    """Pairs told for as many shared leading shingles as sets of their sizes share if they link (see ``shared_least``)."""
+    pairs = told.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("small").alias("small"))
+    return written(pairs.filter(F.col("shared") >= F.lit(1) + F.floor(F.col("small") / SHARED_PART)).select("a", "b"), "pairs")
+
+
 def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries of the buckets that hold several components, with the component (``comp``)."""
     placed = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
@@ -410,8 +417,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     }).filter(F.col("members") > 1)
     entries = entries.withColumn("shared", F.count("*").over(Window.partitionBy("rep"))).filter(F.col("shared") >= enough)
     # Buckets of the same members are one, named by the least of them.
-    entries = entries.groupBy("rep", "members", "s1", "s2").agg(F.min("h").alias("h"), F.count("*").alias("weight"))
-    entries = written(entries.select("h", "rep", "members", "weight"), "buckets")
+    entries = entries.groupBy("rep", "n", "members", "s1", "s2").agg(F.min("h").alias("h"), F.count("*").alias("weight"))
+    entries = written(entries.select("h", "rep", "n", "members", "weight"), "buckets")
 
     # Home buckets, with the sets.
     items = written(sets(docs, entries.select("rep").distinct(), words), "sets")
@@ -421,8 +428,10 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     links = written(home_links(home.join(items, "rep"), percent), "home-links")
     roots = components(links)
     for _ in range(HEAD_ROUNDS):
-        heads = _mixed(entries, roots).groupBy("h", "comp").agg(F.min("rep").alias("a")).withColumn("b", F.min("a").over(bucket))
-        found = written(_checked(heads.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), items, percent), "head-links")
+        heads = _mixed(entries, roots).groupBy("h", "comp").agg(F.min(F.struct("rep", "n")).alias("x"), F.min("weight").alias("shared"))
+        heads = heads.withColumn("y", F.min("x").over(bucket)).filter(F.col("x.rep") != F.col("y.rep"))
+        met = heads.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "shared", F.least("x.n", "y.n").alias("small"))
+        found = written(_checked(_promising(met), items, percent), "head-links")
         if found.isEmpty():
             break
         roots = components(_as_links(roots).unionByName(found))
@@ -436,14 +445,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rest = _mixed(entries, roots).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).drop("other", "members", "blocks").join(points, "rep")
+    rest = rest.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).drop("other", "members", "blocks", "n").join(points, "rep")
     batches, schema = _arrow(lambda source: _across(source, percent), "a long, b long, shared long, small long")
     keys = ["h", "lower", "upper"]
     told = rest.select(*keys, "rep", "comp", "block", "weight", "home", "home_block", "n", "point")
     told = told.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(batches, schema)
-    pairs = told.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("small").alias("small"))
-    pairs = written(pairs.filter(F.col("shared") >= F.lit(1) + F.floor(F.col("small") / SHARED_PART)).select("a", "b"), "pairs")
-    late = written(_checked(pairs, items, percent), "late-links")
+    late = written(_checked(_promising(told), items, percent), "late-links")
     if not late.isEmpty():
         roots = components(_as_links(roots).unionByName(late))
 
