@@ -31,6 +31,8 @@ from rackpulse.llm.tables import SPACE, free, table, text_of, written
 
 EDITS, MIN_CHARS = 2, 32
 ID_BUCKETS = 1 << 20
+#: Characters after which an edit distance that has left its band ends.
+PROBED = 16
 NULL_ID = (1 << 63) - 1
 LETTER_GROUPS = ("aqAQ0", "eihEIH1", "tnTN2", "osOS34", "rdlRDL5", "ucmUCM67", "wfgypWFGYP8", "bvkBVK9")
 
@@ -119,11 +121,20 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
             return F.transform(F.array(rows), moved)[0]
 
-        last = F.aggregate(F.sequence(F.lit(1), F.length(y)), start, step, lambda s: s[f"r{edits}"])
         end = F.length(x) - F.length(y) + edits
         near = F.abs(F.length(x) - F.length(y)) <= edits
-        done = F.when(F.length(y) == 0, F.length(x) <= edits).otherwise(F.getbit(last, F.when(near, end).otherwise(0)) == 1)
-        return near & done
+        reached = lambda state: F.getbit(state[f"r{edits}"], F.when(near, end).otherwise(0)) == 1
+
+        def rest(head: Column) -> Column:
+            """Lines that are far apart have lost every diagonal after a few characters, and end there."""
+            state = head["s"]
+            return F.when(state[f"r{edits}"] == 0, False).when(F.length(y) <= PROBED, reached(state)).otherwise(
+                reached(F.aggregate(F.sequence(F.lit(PROBED + 1), F.length(y)), state, step))
+            )
+
+        head = F.aggregate(F.sequence(F.lit(1), F.least(F.length(y), F.lit(PROBED))), start, step)
+        walked = F.transform(F.array(F.struct(head.alias("s"))), rest)[0]
+        return F.when(~near, False).when(F.length(y) == 0, F.length(x) <= edits).otherwise(walked)
 
     return F.transform(F.array(_common_ends(a, b, edits)), run)[0]
 
@@ -148,7 +159,9 @@ def _place() -> Column:
 
 def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
     """Lines that hold a word (``doc_id``, ``r1``, ``r2``, ``line_no``, ``line``)."""
-    rows = docs.select("doc_id", *row_key(text), F.posexplode(F.split(text_of(text), "\n", -1)).alias("line_no", "line"))
+    # Keys come before the lines: behind them, the text would be hashed again for each line.
+    keyed = docs.select("doc_id", *row_key(text), F.split(text_of(text), "\n", -1).alias("lines"))
+    rows = keyed.select("doc_id", "r1", "r2", F.posexplode("lines").alias("line_no", "line"))
     return rows.filter(F.col("line").rlike(f"[^{SPACE}]"))
 
 
@@ -157,18 +170,22 @@ def _names(line: Column) -> list[Column]:
 
 
 def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every distinct line with its first place (``k1``, ``k2``, ``line``, ``first``)."""
+    """Every distinct line with its first place and how often it stands (``k1``, ``k2``, ``line``, ``first``, ``places``)."""
     rows = exploded(docs, text)
     return rows.select(*_names(F.col("line")), "line", _place().alias("place")).groupBy("k1", "k2").agg(
-        F.min("place").alias("first"), F.first("line").alias("line")
+        F.min("place").alias("first"), F.first("line").alias("line"), F.count("*").alias("places")
     )
 
 
+def _likely(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows of some ids and a few others, by a broadcast table of at most ``ID_BUCKETS`` hashes of ids: most go where they are read."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS))
+    return rows.withColumn("id_bucket", bucket).join(F.broadcast(ids.select(bucket.alias("id_bucket")).distinct()), "id_bucket", "left_semi").drop("id_bucket")
+
+
 def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The lines of some ids. Most others go where they are read, by a table of at most ``ID_BUCKETS`` hashes of ids."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
-    near = lines.withColumn("id_bucket", bucket).join(F.broadcast(ids.select(bucket.alias("id_bucket")).distinct()), "id_bucket", "left_semi")
-    return near.join(ids, "id", "left_semi").drop("id_bucket")
+    """The lines of some ids."""
+    return _likely(lines, ids).join(ids, "id", "left_semi")
 
 
 def _checked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -180,7 +197,10 @@ def _checked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every distinct line's class (``k1``, ``k2``, ``first``, ``class_first``): the first place of its first line."""
+    """Classes of the lines that stand in more than one place or share their class (``k1``, ``k2``, ``first``, ``class_first``).
+
+    ``class_first`` is the first place of the class's first line. Lines that stand once and are like no other are left out.
+    """
     lines = written(distinct_lines(docs, text).withColumn("id", F.monotonically_increasing_id()), "lines")
     long_lines = lines.filter(F.length("line") >= min_chars)
     entries = keys(long_lines, edits)
@@ -207,18 +227,19 @@ def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars:
     late = _checked(pairs, known, edits)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
 
-    grouped = lines.select("k1", "k2", "first", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    grouped = grouped.withColumn("class", F.coalesce("root", "id"))
-    joined = roots.select("root").distinct()  # classes of more than one line
-    shared = grouped.join(joined.withColumnRenamed("root", "class"), "class", "left_semi")
+    named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")  # classes of more than one line
+    narrow = lines.select("k1", "k2", "first", "id", "places")
+    shared = written(_likely(narrow, named).join(named, "id").withColumnRenamed("root", "class"), "shared-lines")
     least = shared.groupBy("class").agg(F.min("first").alias("class_first"))
-    return grouped.join(least, "class", "left").select("k1", "k2", "first", F.coalesce("class_first", "first").alias("class_first"))
+    alone = narrow.filter(F.col("places") > 1).join(named.select("id"), "id", "left_anti").withColumn("class_first", F.col("first"))
+    return shared.join(least, "class").select("k1", "k2", "first", "class_first").unionByName(alone.select("k1", "k2", "first", "class_first"))
 
 
 def repeated(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines to drop (``doc_id``, ``r1``, ``r2``, ``line_no``, ``class_first``): every line that is not the first of its class."""
     rows = exploded(docs, text).select("doc_id", "r1", "r2", "line_no", *_names(F.col("line")))
-    judged = rows.join(classes(docs, text, edits, min_chars), ["k1", "k2"])
+    found = written(classes(docs, text, edits, min_chars).drop("first"), "shared-classes")
+    judged = _likely(rows, found.select("k1"), "k1").join(found, ["k1", "k2"])
     return judged.filter(_place() != F.col("class_first")).select("doc_id", "r1", "r2", "line_no", "class_first")
 
 
@@ -227,6 +248,16 @@ def _per_document(docs: DataFrame, text: str, edits: int, min_chars: int) -> Dat
     return repeated(docs, text, edits, min_chars).groupBy("doc_id", "r1", "r2").agg(F.sort_array(F.collect_set(drop)).alias("dropped"))
 
 
+def without(values: Column, places: Column) -> Column:
+    """An array without the values at some places; the work is linear in the array, however many go."""
+    def kept(p: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(p["values"]) - 1), p["places"])
+        return F.transform(left, lambda i: F.get(p["values"], i))
+
+    some = F.transform(F.array(F.struct(values.alias("values"), places.alias("places"))), kept)[0]
+    return F.when(F.size(places) == 0, values).otherwise(some)
+
+
 def deduplicated(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without repeated lines; a document that loses every line with a word goes."""
     name, r1, r2, s1, s2, lost = free(docs, "line_doc", "line_r1", "line_r2", "row_r1", "row_r2", "lost_lines")
@@ -234,7 +265,7 @@ def deduplicated(docs: DataFrame, text: str = "text", edits: int = EDITS, min_ch
     gone = gone.select(F.col("doc_id").alias(name), F.col("r1").alias(r1), F.col("r2").alias(r2), F.transform("dropped", lambda d: d["line_no"]).alias(lost))
     keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(text), (s1, s2))])
     both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(s1) == F.col(r1)) & (F.col(s2) == F.col(r2)), "left")
-    kept = F.array_join(F.filter(F.split(text_of(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
+    kept = F.array_join(without(F.split(text_of(text), "\n", -1), F.col(lost)), "\n")
     left = both.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept))
     return left.filter(F.col(lost).isNull() | F.col(text).rlike(f"[^{SPACE}]")).select(*docs.columns)
 

@@ -115,3 +115,23 @@ def test_rows_of_one_id_or_none(spark, folder):
 
 def test_empty_table(spark, folder):
     assert line_dedup.query(spark, folder([])).collect() == []
+
+
+def test_a_text_of_many_equal_lines(spark):
+    rows = [(1, "the same line again and again and again\n" * 100_000 + "the end"), (2, "a line of its own, which nobody else has written")]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: "the same line again and again and again\nthe end", 2: rows[1][1]}
+
+
+def test_without(spark):
+    cases = [([], []), (["a"], []), (["a"], [0]), (list("abcdef"), [0, 1, 5]), (list("abcdef"), [2, 3]), (list("abc"), [0, 1, 2])]
+    df = spark.createDataFrame([(i, v, p) for i, (v, p) in enumerate(cases)], "i int, v array<string>, p array<int>")
+    got = {r["i"]: r["w"] for r in df.select("i", line_dedup.without(F.col("v"), F.col("p")).alias("w")).collect()}
+    assert got == {i: [x for k, x in enumerate(v) if k not in p] for i, (v, p) in enumerate(cases)}
+
+
+def test_equal_rows_are_one(spark):
+    text = "first of all lines, long enough to be compared\nsecond of all lines, long enough too"
+    rows = [(5, text), (5, text), (6, text.replace("second", "secund")), (None, text), (None, text)]
+    kept = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(5, text), (5, text)]
