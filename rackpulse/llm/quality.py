@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a column expression over the raw text that is true for a document to reject. The cost of each rule
-and the share it rejects are measured on a sample; the rules then run in the order of rejection per cost, and a
-document leaves at the first rule that rejects it, so costly rules see only what cheap ones have let through.
-The order changes the work, never the verdict.
+A rule compares parts of a document: its words, its lines, counts over them. The cost of each part is measured on a sample, and so
+is which sampled documents each rule rejects. Rules then run in the order of rejection per cost: the next one is the rule that
+rejects most of what the rules before it have left, for the cost of the parts that none of them has computed yet. A
+document leaves at the first rule that rejects it, and a part is computed once, when the first rule that needs it is reached,
+so costly parts see only what cheap rules have let through. The order changes the work, never the verdict.
 
 Defined results: a null or empty text has no words and is rejected for it; every row is judged by itself, so
 repeated rows and ties need no rule; an empty table gives an empty table; further columns pass through untouched.
@@ -12,12 +13,13 @@ repeated rows and ties need no rule; an empty table gives an empty table; furthe
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.tables import SPACE, free, text_of, words_of
+from rackpulse.llm.tables import SPACE, free, text_of, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -113,20 +115,72 @@ def base_failed(words: Column, repeated: Column, limits: Thresholds = Thresholds
     return (words < limits.min_words) | (repeated * 100 > words * limits.max_repeat_percent)
 
 
-def rules(text: Column, limits: Thresholds = Thresholds()) -> list[Rule]:
-    """The standard rules over a text column that is never null."""
-    words = n_words(text)
-    lines = F.size(worded_lines(text))
+#: What rules are made of, each from the text or from parts before it.
+PARTS: dict[str, tuple[tuple[str, ...], Callable[[dict[str, Column]], Column]]] = {
+    "words": ((), lambda p: words_of(p["text"])),
+    "n_words": (("words",), lambda p: F.size(p["words"]).cast("long")),
+    "word_chars": (("words",), lambda p: F.length(F.array_join(p["words"], "")).cast("long")),
+    "n_symbols": ((), lambda p: n_symbols(p["text"])),
+    "lines": ((), lambda p: worded_lines(p["text"])),
+    "n_lines": (("lines",), lambda p: F.size(p["lines"]).cast("long")),
+    "n_dup_lines": (("lines",), lambda p: (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long")),
+    "n_capitals": ((), lambda p: n_capitals(p["text"])),
+    "n_repeat_words": (("words",), lambda p: n_repeat_words(p["words"])),
+}
+
+
+@dataclass(frozen=True)
+class Step:
+    """A rule of the cascade: the parts it compares, and the comparison that is true for a document to reject."""
+
+    name: str
+    needs: tuple[str, ...]
+    test: Callable[[dict[str, Column]], Column]
+
+
+def steps(limits: Thresholds = Thresholds()) -> list[Step]:
+    """The standard rules."""
     return [
-        Rule("few_words", words < limits.min_words),
-        Rule("repeated_windows", n_repeat_words(words_of(text)) * 100 > words * limits.max_repeat_percent),
-        Rule("symbols", n_symbols(text) * 100 > words * limits.max_symbols_percent),
-        Rule("capitals", n_capitals(text) * 100 > word_chars(text) * limits.max_capitals_percent),
-        Rule("duplicate_lines", n_duplicate_lines(text) * 100 > lines * limits.max_duplicate_lines_percent),
-        Rule("word_length", ~word_chars(text).between(words * limits.min_mean_word, words * limits.max_mean_word)),
+        Step("few_words", ("n_words",), lambda p: p["n_words"] < limits.min_words),
+        Step("repeated_windows", ("n_repeat_words", "n_words"), lambda p: p["n_repeat_words"] * 100 > p["n_words"] * limits.max_repeat_percent),
+        Step("symbols", ("n_symbols", "n_words"), lambda p: p["n_symbols"] * 100 > p["n_words"] * limits.max_symbols_percent),
+        Step("capitals", ("n_capitals", "word_chars"), lambda p: p["n_capitals"] * 100 > p["word_chars"] * limits.max_capitals_percent),
+        Step("duplicate_lines", ("n_dup_lines", "n_lines"), lambda p: p["n_dup_lines"] * 100 > p["n_lines"] * limits.max_duplicate_lines_percent),
+        Step("word_length", ("word_chars", "n_words"), lambda p: ~p["word_chars"].between(p["n_words"] * limits.min_mean_word, p["n_words"] * limits.max_mean_word)),
     ]
 
 
+def missing(step: Step, known: set[str]) -> list[str]:
+    """Parts a rule still needs, each behind those it rests on."""
+    out: list[str] = []
+
+    def add(part: str) -> None:
+        if part not in known and part not in out:
+            for other in PARTS[part][0]:
+                add(other)
+            out.append(part)
+
+    for part in step.needs:
+        add(part)
+    return out
+
+
+def cascade(plan: list[Step], known: dict[str, Column]) -> Column:
+    """Name of the first rule that rejects, null for a document to keep. Later rules and their parts are not evaluated."""
+    if not plan:
+        return F.lit(None).cast("string")
+    wanted = missing(plan[0], set(known))
+    if wanted:
+        part = wanted[0]
+        return _bound(PARTS[part][1](known), lambda v: cascade(plan, {**known, part: v}))
+    return F.when(F.coalesce(plan[0].test(known), F.lit(False)), F.lit(plan[0].name)).otherwise(cascade(plan[1:], known))
+
+
+def rules(text: Column, limits: Thresholds = Thresholds()) -> list[Rule]:
+    """The standard rules one by one, over a text column that is never null."""
+    return [Rule(s.name, cascade([s], {"text": text}).isNotNull()) for s in steps(limits)]
+
+
 def measure(df: DataFrame, text: str, checks: list[Rule], sample_rows: int = 400, repeats: int = 4, judged: str = "text") -> list[Measured]:
     """Seconds and rejected share of every rule on the first rows of the table, each in a job of its own.
 
@@ -134,8 +188,8 @@ def measure(df: DataFrame, text: str, checks: list[Rule], sample_rows: int = 400
     ``repeats`` times, so that the rule outweighs the job around it, whose time alone is taken off. ``judged`` is the
     name of the text in the rules.
     """
-    sample = df.select(text_of(text).alias(judged)).limit(sample_rows)
-    rows = sample.select(judged, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("judged_again"))
+    sample = df.withColumn(judged, text_of(text)).limit(sample_rows)
+    rows = sample.withColumn("judged_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
     def run(condition: Column) -> tuple[float, int, int]:
         began = time.monotonic()
@@ -165,42 +219,63 @@ def verdict(checks: list[Rule]) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if checks else F.lit(None).cast("string")
 
 
+def sampled(df: DataFrame, text: str, sample_rows: int) -> DataFrame:
+    """A bounded sample of the table's texts with all parts, from everywhere in it. It only steers the order of the rules."""
+    chosen = df.select(text_of(text).alias("text")).orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(sample_rows)
+    for part, (_, value) in PARTS.items():
+        chosen = chosen.withColumn(part, value({c: F.col(c) for c in chosen.columns}))
+    return written(chosen, "quality-sample")
+
+
+def planned(checks: list[Step], costs: dict[str, float], rejected: list[set[str]], known: set[str] = frozenset()) -> list[Step]:
+    """The rules in the order of rejection per cost, given what the rules before each have rejected and computed; equal ones by name."""
+    out, left, known, rows = [], sorted(checks, key=lambda s: s.name), set(known), list(rejected)
+    while left:
+        def gain(step: Step) -> float:
+            share = sum(step.name in r for r in rows) / max(len(rows), 1)
+            return share / max(sum(costs.get(p, 0.0) for p in missing(step, known)), 1e-6)
+
+        best = max(left, key=gain)
+        out.append(best)
+        left.remove(best)
+        known |= set(missing(best, known))
+        rows = [r for r in rows if best.name not in r]
+    return out
+
+
+def plan_for(df: DataFrame, text: str, checks: list[Step], sample_rows: int, known: set[str] = frozenset()) -> list[Step]:
+    """The order for a table: costs of the parts and rejections of the rules, measured on a sample."""
+    sample = sampled(df, text, sample_rows)
+    parts = {c: F.col(c) for c in ["text", *PARTS]}
+    timed = measure(sample, "text", [Rule(p, F.xxhash64(value(parts)) == 0) for p, (_, value) in PARTS.items()], sample_rows)
+    verdicts = sample.select(*[F.coalesce(s.test(parts), F.lit(False)).alias(s.name) for s in checks]).collect()  # sample_rows at most
+    return planned(checks, {m.name: m.seconds for m in timed}, [{s.name for s in checks if r[s.name]} for r in verdicts], known)
+
+
 def kept(df: DataFrame, text: str = "text", limits: Thresholds = Thresholds(), sample_rows: int = 400) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
     (name,) = free(df, "judged_text")
-    checks = rules(F.col(name), limits)
-    plan = ordered(checks, measure(df, text, checks, sample_rows, judged=name))
-    return df.withColumn(name, text_of(text)).filter(verdict(plan).isNull()).drop(name)
+    plan = plan_for(df, text, steps(limits), sample_rows)
+    return df.withColumn(name, text_of(text)).filter(cascade(plan, {"text": F.col(name)}).isNull()).drop(name)
 
 
 def judged(df: DataFrame, limits: Thresholds = Thresholds(), sample_rows: int = 400) -> DataFrame:
     """Counts, base rules and the verdict of the cascade for every document (columns ``doc_id``, ``text``).
 
-    The counts are wanted for every document, so the rules that rest on them come free; the others run in the
-    measured order, on what the base rules have let through.
+    The counts are wanted for every document, so the cascade starts with them as parts it need not compute; it computes
+    what else a rule needs when it reaches that rule.
     """
     docs = df.select("doc_id", text_of().alias("text"))
-    checks = rules(F.col("text"), limits)
-    plan = ordered(checks, measure(docs, "text", checks, sample_rows))
-    counted = docs.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        n_symbols(F.col("text")).alias("n_symbols"), F.size(worded_lines(F.col("text"))).alias("n_lines"), n_duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        n_repeat_words(F.col("words")).alias("n_repeat_words"),
-    )
-    words = F.col("n_words")
-    known = {
-        "few_words": words < limits.min_words,
-        "repeated_windows": F.col("n_repeat_words") * 100 > words * limits.max_repeat_percent,
-        "symbols": F.col("n_symbols") * 100 > words * limits.max_symbols_percent,
-        "capitals": n_capitals(F.col("text")) * 100 > F.col("word_chars") * limits.max_capitals_percent,
-        "duplicate_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * limits.max_duplicate_lines_percent,
-        "word_length": ~F.col("word_chars").between(words * limits.min_mean_word, words * limits.max_mean_word),
-    }
-    plan = [Rule(r.name, known.get(r.name, r.rejects)) for r in plan]
-    failed = base_failed(words, F.col("n_repeat_words"), limits)
+    counted = docs.withColumn("words", words_of(F.col("text"))).withColumn("lines", worded_lines(F.col("text")))
+    given = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    parts = {c: F.col(c) for c in ("text", "words", "lines")}
+    counted = counted.select("doc_id", "text", *[PARTS[p][1](parts).alias(p) for p in given])
+    plan = plan_for(docs, "text", steps(limits), sample_rows, set(given))
+    known = {c: F.col(c) for c in ("text", *given)}
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), limits)
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(verdict(plan).isNull()).alias("kept"),
+        F.when(failed, F.lit(False)).otherwise(cascade(plan, known).isNull()).alias("kept"),
     )
 
 

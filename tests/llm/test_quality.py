@@ -64,3 +64,32 @@ def test_measured_on_the_sample(spark, folder):
     docs = spark.read.parquet(folder([(i, "w " * (i % 2) * 60) for i in range(40)]) + "/documents.parquet")
     figures = quality.measure(docs, "text", [quality.Rule("few", quality.n_words(F.col("text")) < 50)])
     assert figures[0].rejection == 0.5 and figures[0].seconds > 0
+
+
+def test_parts_are_computed_when_a_rule_needs_them(spark, monkeypatch):
+    fails = F.raise_error(F.lit("evaluated")).cast("bigint")
+    monkeypatch.setitem(quality.PARTS, "n_capitals", ((), lambda p: fails))
+    by_name = {s.name: s for s in quality.steps()}
+    rows = spark.createDataFrame([("few words",), ("# " * 60,)], "text string")
+    plan = [by_name[n] for n in ("few_words", "symbols", "capitals")]
+    assert [r["v"] for r in rows.select(quality.cascade(plan, {"text": F.col("text")}).alias("v")).collect()] == ["few_words", "symbols"]
+
+
+def test_order_counts_shared_parts_once():
+    by_name = {s.name: s for s in quality.steps()}
+    costs = {"words": 1.0, "n_words": 0.0, "word_chars": 0.1, "n_symbols": 0.4, "n_capitals": 0.2, "n_repeat_words": 5.0}
+    rejected = [{"few_words"}] * 30 + [{"symbols"}] * 20 + [{"word_length"}] * 19 + [{"few_words", "repeated_windows"}] * 31
+    plan = quality.planned([by_name[n] for n in ("few_words", "symbols", "word_length", "repeated_windows")], costs, rejected)
+    # Once the words are there, the word length costs 0.1; nobody is left to reject for the repeated windows.
+    assert [s.name for s in plan] == ["few_words", "word_length", "symbols", "repeated_windows"]
+
+
+def test_cascade_equals_all_rules(spark, folder):
+    prose = [" ".join(plain.prose(i, 40 + 5 * i)) for i in range(20)]
+    odd = [p.upper() for p in prose[:4]] + [p.replace(" ", " # ", 20) for p in prose[4:8]] + ["\n".join([p[:50]] * 5) for p in prose[8:12]] + ["", None]
+    docs = spark.read.parquet(folder(list(enumerate(prose + odd))) + "/documents.parquet")
+    alone = docs.withColumn("t", F.coalesce("text", F.lit("")))
+    for rule in quality.rules(F.col("t")):
+        alone = alone.filter(~rule.rejects)
+    want = sorted(r["doc_id"] for r in alone.collect())
+    assert 0 < len(want) < 20 and sorted(r["doc_id"] for r in quality.kept(docs).collect()) == want
