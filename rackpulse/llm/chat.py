@@ -55,8 +55,6 @@ def messages(events: DataFrame) -> DataFrame:
     )
     order = [F.col(c).asc_nulls_first() for c in ("seq", "message", "action", "role", "text")]
     log = log.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    if "message_id" not in have and "action" not in have:  # every event is a message
-        return log.select("conv_id", F.col("place").alias("position"), "role", "text")
     # An event without an id is a message of its own, named by its place.
     log = log.withColumn("message", F.coalesce(F.concat(F.lit("id "), "message"), F.concat(F.lit("at "), F.col("place").cast("string"))))
     own = Window.partitionBy("conv_id", "message").orderBy("place")
@@ -120,14 +118,17 @@ def read_back(texts: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    """Digest of every formatted conversation, read back from the training text."""
+    """Digest of every formatted conversation, read back from the training text.
+
+    Each turn is an event that starts a message of its own; the log is folded like any other.
+    """
     log = table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     number, said = PROBE
     probe = spark.range(2).select(
         F.lit(number).cast("long").alias("conv_id"), F.col("id").alias("seq"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
-    out = formatted(messages(log.unionByName(probe)))
+    out = formatted(messages(log.unionByName(probe).withColumn("action", F.lit("message"))))
     spoken = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     back = read_back(out).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", spoken.alias("spoken"), "loss"))).alias("t"))
     back = back.select(
