@@ -151,7 +151,10 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, settings: Settings)
                     names=["y", "buckets", "counts"],
                 )
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").select("y", "text").mapInArrow(run, "y int, buckets binary, counts binary")
+    # One row of each id, the one of the least text hash, however many rows an id has.
+    texts = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").withColumn("h", F.xxhash64("text"))
+    texts = texts.groupBy("doc_id", "y").agg(F.min(F.struct("h", "text")).alias("least")).select("y", F.col("least")["text"].alias("text"))
+    rows = texts.mapInArrow(run, "y int, buckets binary, counts binary")
     found = sorted((r["y"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows.collect())  # in an order of their own
     return [(y, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for y, a, b in found]
 
