@@ -247,6 +247,54 @@ UNION ALL SELECT 'l_linenumber', {_sql_corr('ln', 'y')} FROM r
 UNION ALL SELECT 'flat', CAST(NULL AS DOUBLE)"""
 
 
+RANKED = ("l_quantity", "l_discount", "l_linenumber", "l_extendedprice", "l_tax", "flat")
+
+
+def spearman_matrix(spark, d):
+    """Rank correlation of all pairs of six columns, one of them constant."""
+    rows = t.read(spark, d, "lineitem").withColumn("flat", F.lit(1.0))
+    return feat.spearman_matrix(rows, list(RANKED)).select("a", "b", fixed("corr", 6).alias("corr"))
+
+
+_RANKS = ", ".join(f"{_sql_rank(c)} AS {c}" for c in RANKED[:-1])
+SPEARMAN_MATRIX = f"WITH r AS (SELECT {_RANKS} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, " + ("CAST(NULL AS DOUBLE)" if "flat" in (a, b) else _sql_corr(a, b)) + " AS corr" + ("" if "flat" in (a, b) else " FROM r")
+    for i, a in enumerate(RANKED) for b in RANKED[i:]
+)
+
+
+def _fan_samples(spark, d):
+    """Line items as samples with fans of several names, some of them failing, beside other sensors."""
+    qty, line = F.col("l_quantity"), F.col("l_linenumber")
+    name = F.concat(F.lit("FAN"), (F.col("l_suppkey") % 3).cast("string"), F.lit(" SYS"))
+    extra = F.map_concat(
+        F.create_map(name, 3000 + qty), F.create_map(F.lit("CPU1 Power"), qty),
+        F.when(line > 3, F.create_map(F.lit("Chassis fan"), F.when(F.col("l_orderkey") % 89 == 1, -1.0).otherwise(1500.0 + line))).otherwise(F.create_map().cast("map<string,double>")),
+    )
+    return t.read(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("host"), F.when(F.col("l_suppkey") % 2 == 0, 12.0).alias("fan_power"), extra.alias("extra"),
+    )
+
+
+def fan_features(spark, d):
+    """All fan readings, found by their names, summed by host, name and code."""
+    samples = _fan_samples(spark, d)
+    codes = feat.fan_dictionary(samples)
+    rows = feat.with_fans(samples, codes).select("host", F.inline("fans"))
+    sums = rows.groupBy("host", "code").agg(F.count("*").alias("n"), fixed(F.sum("value"), 3).alias("total"))
+    return sums.join(codes.select("code", "name"), "code").select("host", "code", "name", "n", "total")
+
+
+FAN_FEATURES = f"""
+WITH s AS (SELECT row_number() OVER () AS i, l_suppkey, CAST(l_suppkey AS VARCHAR) AS host, l_quantity AS qty, l_linenumber AS line, l_orderkey AS o FROM lineitem),
+f AS (SELECT i, host, o, line, 'FAN' || (l_suppkey % 3) || ' SYS' AS name, 3000 + qty AS v FROM s
+  UNION ALL SELECT i, host, o, line, 'Chassis fan', CASE WHEN o % 89 = 1 THEN -1 ELSE 1500 + line END FROM s WHERE line > 3
+  UNION ALL SELECT i, host, o, line, 'fan_power', 12 FROM s WHERE l_suppkey % 2 = 0),
+c AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT name FROM f) z)
+SELECT host, code, name, count(*) AS n, {sql_fixed('sum(v)', 3)} AS total FROM f JOIN c USING (name)
+WHERE NOT (line > 3 AND o % 89 = 1) GROUP BY 1, 2, 3"""
+
+
 def usable_features(spark, d):
     """Features left after those without a defined correlation go; some always stay."""
     rows = _lines(spark, d).withColumn("inlet_temp", F.lit(20.0))
@@ -317,6 +365,8 @@ QUERIES = {
     "correlation_rank": (correlation_rank, CORRELATION),
     "correlation_matrix": (correlation_matrix, MATRIX),
     "spearman_rank": (spearman_rank, SPEARMAN),
+    "spearman_matrix": (spearman_matrix, SPEARMAN_MATRIX),
+    "fan_features": (fan_features, FAN_FEATURES),
     "usable_features": (usable_features, USABLE),
     "load_bin_profile": (load_bin_profile, LOAD_BINS),
 }

@@ -12,7 +12,7 @@ from rackpulse.functions.status import (
     all_of, cpu_load_class, load_average_class, not_negative, util_label,
 )
 from rackpulse.operators.ranking import (
-    hash_slice, rank_in_group, shuffled_order, slice_offsets, value_positions,
+    hash_slice, mean_places, rank_in_group, shuffled_order, slice_offsets, value_positions,
 )
 from rackpulse.operators.skew import keyed_join
 from rackpulse.session import materialise
@@ -20,6 +20,9 @@ from rackpulse.session import materialise
 # Features that stay even when their correlation is undefined.
 ALWAYS_KEPT = ("power", "cpu_power", "inlet_temp", "util", "load")
 
+# Fixed value: names of readings that count as fans.
+FAN_NAMES = "(?i)fan"
+
 LABELS = {"binary": "util", "multi": "load", "reg": "load"}
 CLASSES = {"binary": (0, 1), "multi": (0, 1, 2, 3)}
 
@@ -257,6 +260,54 @@ def spearman_with_label(df: DataFrame, features: list[str], label: str) -> DataF
     ).orderBy(F.desc_nulls_last("corr"), "feature")
 
 
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rank correlation of every pair of columns, in long form; rows with an empty column are left out.
+
+    Every column is ranked once, all columns in one global order; a row's ranks come together again by its number, and one aggregation
+    gives the products of all pairs.
+    """
+    numbered = materialise(
+        df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna().withColumn("row", F.monotonically_increasing_id()),
+        "rank-rows",
+    )
+    names = [f"c{i}" for i in range(len(columns))]
+    long = numbered.unpivot("row", names, "name", "x").withColumn("column", F.substring("name", 2, 9).cast("int")).drop("name")
+    total = numbered.agg(F.count("*")).scalar()
+    ranked = mean_places(long, "column", "x", "row", "mean")
+    # Places of a column start where the one before it ends; its mean place is in their middle.
+    centred = ranked.withColumn("rank", F.col("mean") - F.col("column") * total - (total - 1) / 2)
+    aligned = centred.groupBy("row").agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = aligned.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_{i}_{j}") for i, j in pairs])
+    spread = lambda i: F.sqrt(F.col(f"_{i}_{i}"))
+    cells = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.try_divide(F.col(f"_{i}_{j}"), spread(i) * spread(j)).alias("corr")) for i, j in pairs]
+    return sums.select(F.inline(F.array(*cells)))
+
+
+def fan_readings(pattern: str = FAN_NAMES) -> Column:
+    """Readings of a curated sample whose name speaks of a fan, whatever the case of its letters."""
+    own = F.when(F.col("fan_power").isNotNull(), F.create_map(F.lit("fan_power"), F.col("fan_power"))).otherwise(F.create_map().cast("map<string,double>"))
+    return F.map_filter(F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,double>")), own), lambda k, _: k.rlike(pattern))
+
+
+def fan_dictionary(samples: DataFrame, pattern: str = FAN_NAMES) -> DataFrame:
+    """Names of all fan readings that occur, coded by name, with the samples that have them. As many rows as sensors have names."""
+    names = samples.select(F.explode(F.map_keys(fan_readings(pattern))).alias("name")).groupBy("name").agg(F.count("*").alias("n_samples"))
+    return names.withColumn("code", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+
+
+def with_fans(samples: DataFrame, dictionary: DataFrame, pattern: str = FAN_NAMES) -> DataFrame:
+    """Samples with their fan readings as a sparse feature: code and value by code (``fans``).
+
+    Nobody names the fans: whatever the dictionary found is taken. Samples with an empty or negative fan reading are dropped.
+    """
+    codes = dictionary.agg(F.map_from_entries(F.collect_list(F.struct("name", "code")))).scalar()
+    readings = samples.withColumn("_fans", fan_readings(pattern)).withColumn("_codes", codes)
+    good = readings.where(F.forall(F.map_values("_fans"), lambda v: v.isNotNull() & (v >= 0)))
+    coded = F.transform(F.map_entries("_fans"), lambda e: F.struct(F.try_element_at(F.col("_codes"), e["key"]).alias("code"), e["value"].alias("value")))
+    return good.withColumn("fans", F.array_sort(coded)).drop("_fans", "_codes")
+
+
 @dataclass(frozen=True)
 class TrainingFacts:
     """Size of a training set, spread of its label and the features worth using."""
