@@ -9,6 +9,8 @@ verdict beside them; the wider kinds, which alone would be mostly noise, are rep
 Positions are code points, end exclusive. A kind's spans are leftmost and do not overlap each other. Spark's
 pattern functions give matches without positions; the texts between the matches give them: both alternate.
 
+Texts are scanned whole, however long; the work grows little more than with the matches of a text.
+
 Defined results: a null or empty text has no span; a null owner or repository counts as one owner or repository
 of its own; a repeated row is a row of its own in the result and adds nothing to distinct counts; an empty table
 gives an empty result; further columns are not read. The texts never leave the scan: only spans with hashes,
@@ -65,6 +67,41 @@ def _has(text: Column, hint: str) -> Column:
     return F.contains(text, F.lit(hint)) if hint.replace(" ", "").isalnum() else text.rlike(hint)
 
 
+_SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+
+
+def _placed(rows: Column, rank: int) -> Column:
+    """Spans from the gaps before the matches, by a running sum.
+
+    An array that grows in a fold is copied at each step, so matches are folded in blocks of about the root of their number: first
+    the lengths of the blocks give each its start, then every block is folded on its own.
+    """
+    size = F.size(rows)
+    block = F.ceil(F.sqrt(size.cast("double"))).cast("int")
+
+    def whole(b: Column) -> Column:
+        lengths = F.transform(b["blocks"], lambda part: F.aggregate(part, F.lit(0), lambda n, r: n + r["gap"] + F.length(r["whole"])))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(
+            lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+        )
+        return F.flatten(F.zip_with(b["blocks"], starts, fold))
+
+    def fold(part: Column, at: Column) -> Column:
+        step = f"struct<at:int,out:{_SPANS}>"
+
+        def add(acc: Column, r: Column) -> Column:
+            begin = acc["at"] + r["gap"]
+            end = begin + F.length(r["whole"])
+            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), r["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")).cast(step)
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")).cast(step), add, lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), size - 1, block), lambda i: F.slice(rows, i + 1, block))
+    return F.when(size == 0, F.array().cast(_SPANS)).otherwise(F.transform(F.array(F.struct(blocks.alias("blocks"))), whole)[0])
+
+
 def _found(text: Column, kind: Kind, rank: int) -> Column:
     """Spans of one kind as an array of (start, rank, end, value), in order."""
     def build(t: Column) -> Column:
@@ -73,19 +110,10 @@ def _found(text: Column, kind: Kind, rank: int) -> Column:
         rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
         # The text after the last match has no match beside it.
         rows = F.filter(rows, lambda r: r["whole"].isNotNull())
-        step = "struct<at:int,out:array<struct<start:int,rank:int,end:int,value:string>>>"
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out")).cast(step)
-
-        def add(acc: Column, r: Column) -> Column:
-            begin = acc["at"] + r["gap"]
-            end = begin + F.length(r["whole"])
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), r["value"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")).cast(step)
-
-        spans = F.aggregate(rows, start, add, lambda acc: acc["out"])
+        spans = F.transform(F.array(F.struct(rows.alias("rows"))), lambda v: _placed(v["rows"], rank))[0]
         return F.filter(spans, lambda s: F.length(s["value"]) >= kind.least)
 
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    none = F.array().cast(_SPANS)
     test = text.rlike(kind.pattern) if kind.hint is None else _has(text, kind.hint)
     return F.when(test, build(text)).otherwise(none)
 

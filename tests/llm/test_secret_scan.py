@@ -64,3 +64,9 @@ def test_many_documents_of_one_owner(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert scan.query(spark, frame(spark, [], tmp_path)).collect() == []
+
+
+def test_a_text_of_very_many_matches(spark, tmp_path):
+    text = " ".join(f"token={i:06x}x" for i in range(40_000))
+    got = scan.query(spark, frame(spark, [(1, text, None, "s", None, "x", "y")], tmp_path)).first()
+    assert got["n_assign"] == 40_000 and got["base_sha256"] == hashlib.sha256(",".join(plain(text)).encode()).hexdigest()
