@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rackpulse.models.fourier import RandomFourierFeatures
 from rackpulse.operators import neighbours
 from rackpulse.operators.features import TrainingFacts, training_facts
+from rackpulse.session import materialise
 
 CLASSIFIERS = ("lor", "nbc", "dt", "rf", "knn")
 REGRESSORS = ("lir", "rir", "knnr", "svr_lin", "svr_poly", "svr_rbf")
@@ -131,10 +132,9 @@ class NeighbourModel:
     regression: bool
 
     def transform(self, df: DataFrame) -> DataFrame:
-        queries = _with_id(df, self.features)
-        found = neighbours.nearest_neighbours(
-            self.train, queries.dropDuplicates(["id"]), "id", "id", "_vector", self.label, self.k
-        )
+        # Rows are numbered and written once, so each gets its own answer back.
+        queries = materialise(_with_vector(df, self.features).withColumn("id", F.monotonically_increasing_id()), "queries")
+        found = neighbours.nearest_neighbours(self.train, queries, "id", "id", "_vector", self.label, self.k)
         answer = neighbours.mean_label(found) if self.regression else neighbours.vote(found)
         return queries.join(answer.withColumnRenamed("query_id", "id"), "id").select(*df.columns, "prediction")
 
@@ -142,11 +142,13 @@ class NeighbourModel:
         self.train.write.mode("overwrite").parquet(path)
 
 
+def _with_vector(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.withColumn("_vector", F.array(*[F.col(f"`{f}`").cast("double") for f in features]))
+
+
 def _with_id(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature vector and an id that is a function of the row, equal rows sharing it."""
-    return df.withColumn("_vector", F.array(*[F.col(f"`{f}`").cast("double") for f in features])).withColumn(
-        "id", F.xxhash64(*[f"`{c}`" for c in df.columns])
-    )
+    """Feature vector and an id that is a function of the row, equal rows sharing it; it orders training rows at equal distance."""
+    return _with_vector(df, features).withColumn("id", F.xxhash64(*[f"`{c}`" for c in df.columns]))
 
 
 def fit(
