@@ -214,7 +214,9 @@ def experiments(samples: DataFrame, parts: DataFrame, task, key: Column | None =
         raise ValueError(f"method {task.method} has no fit from sums; choose one of {METHODS}")
     label = task.label
     # A group of its own stands for the null group while rows are joined and counted.
-    named = parts.select(F.coalesce(F.concat(F.lit("="), "hwconfig"), F.lit("")).alias("hwconfig"), "host", F.col("experiment").cast("int").alias("experiment"), "part")
+    group = F.coalesce(F.concat(F.lit("="), "hwconfig"), F.lit("")).alias("hwconfig")
+    # Written once: training rows, test rows and the list of what to expect all start from the split.
+    named = materialise(parts.select(group, "host", F.col("experiment").cast("int").alias("experiment"), "part"), "experiment-parts")
     needed = list(dict.fromkeys([*task.features, label, "load"]))
     of = lambda df: df.select("host", *[f"`{c}`" for c in needed], (F.xxhash64(*[f"`{c}`" for c in df.columns]) if key is None else key).alias("_key"))
     placed = lambda df, part: keyed_join(of(df), named.where(F.col("part") == part), ["host"]).withColumn(label, F.col(label).cast("double"))
