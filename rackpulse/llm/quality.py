@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from rackpulse.llm.tables import SPACE, free, text_of, words_of, written
 
 SYMBOLS = "#*$%&|<>"
+SAMPLE_SEED = 4
 
 
 @dataclass(frozen=True)
@@ -220,8 +221,12 @@ def verdict(checks: list[Rule]) -> Column:
 
 
 def sampled(df: DataFrame, text: str, sample_rows: int) -> DataFrame:
-    """A bounded sample of the table's texts with all parts, from everywhere in it. It only steers the order of the rules."""
-    chosen = df.select(text_of(text).alias("text")).orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(sample_rows)
+    """A sample of about so many texts (twice as many at most) with all parts, from everywhere in the table.
+
+    Rows are drawn where they are read, nothing is sorted; the sample only steers the order of the rules.
+    """
+    share = min(1.0, sample_rows / max(df.count(), 1))
+    chosen = df.select(text_of(text).alias("text")).sample(share, seed=SAMPLE_SEED).limit(2 * sample_rows)
     for part, (_, value) in PARTS.items():
         chosen = chosen.withColumn(part, value({c: F.col(c) for c in chosen.columns}))
     return written(chosen, "quality-sample")
@@ -247,8 +252,8 @@ def plan_for(df: DataFrame, text: str, checks: list[Step], sample_rows: int, kno
     """The order for a table: costs of the parts and rejections of the rules, measured on a sample."""
     sample = sampled(df, text, sample_rows)
     parts = {c: F.col(c) for c in ["text", *PARTS]}
-    timed = measure(sample, "text", [Rule(p, F.xxhash64(value(parts)) == 0) for p, (_, value) in PARTS.items()], sample_rows)
-    verdicts = sample.select(*[F.coalesce(s.test(parts), F.lit(False)).alias(s.name) for s in checks]).collect()  # sample_rows at most
+    timed = measure(sample, "text", [Rule(p, F.xxhash64(value(parts)) == 0) for p, (_, value) in PARTS.items()], 2 * sample_rows)
+    verdicts = sample.select(*[F.coalesce(s.test(parts), F.lit(False)).alias(s.name) for s in checks]).collect()  # twice sample_rows at most
     return planned(checks, {m.name: m.seconds for m in timed}, [{s.name for s in checks if r[s.name]} for r in verdicts], known)
 
 
