@@ -229,9 +229,13 @@ def _times(n: Column, build) -> Column:
 
 
 def part_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Hardware figures of one machine per part."""
+    """Hardware figures of one machine per part.
+
+    A part is a few bytes in its file and kilobytes as a machine, so a file that is one split is dealt over tasks first.
+    """
     size = F.col("p_size")
-    return read(spark, folder, "part").select(
+    parts = read(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_size").repartition("p_partkey")
+    return parts.select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("hostname"),
         F.col("p_partkey").alias("position"), F.col("p_brand").alias("system_product"),
         F.concat(F.lit("Vendor"), (size % 3).cast("string")).alias("system_vendor"),

@@ -33,26 +33,29 @@ NODES = T.ArrayType(T.StructType(
 NEIGHBOURS = T.ArrayType(T.StructType([T.StructField(name, _TEXT) for name in ("interface", "mac", "vlan")]))
 
 
-def split_details(text: Column | str) -> Column:
-    """Struct with the neighbour document and the hardware document of a details text.
+def details_document(text: Column | str, tag: str) -> Column:
+    """The neighbour document (``lldp``) or the hardware document (``list``) of a details text.
 
     Two XML documents follow each other in either order. Each one ends at its
     first end tag or, where it has none, at the last self-closed tag.
     """
-    def document(segment: Column, tag: str) -> Column:
-        full = F.regexp_extract(segment, rf"(?s)^(.*?</{tag}>)", 1)
-        closed = F.regexp_extract(segment, r"(?s)^(.*/>)", 1)
-        return F.when(F.length(full) > 0, full).otherwise(closed).alias("hardware" if tag == "list" else tag)
-
-    def segments(t: Column) -> Column:
+    def segment(t: Column) -> Column:
         first = F.regexp_extract(t, r"(?s)(<\?xml.*)<\?xml", 1)
         second = F.regexp_extract(t, r"(?s)^.*(<\?xml.*)$", 1)
-        return F.when(
-            F.locate("<lldp", t) < F.locate("<list", t), F.struct(first.alias("lldp"), second.alias("list"))
-        ).otherwise(F.struct(second.alias("lldp"), first.alias("list")))
+        lldp_first = F.locate("<lldp", t) < F.locate("<list", t)
+        return F.when(lldp_first, first if tag == "lldp" else second).otherwise(second if tag == "lldp" else first)
+
+    def document(s: Column) -> Column:
+        full = F.regexp_extract(s, rf"(?s)^(.*?</{tag}>)", 1)
+        closed = F.regexp_extract(s, r"(?s)^(.*/>)", 1)
+        return F.when(F.length(full) > 0, full).otherwise(closed)
 
-    both = bind(as_column(text), segments)
-    return bind(both, lambda s: F.struct(document(s["lldp"], "lldp"), document(s["list"], "list")))
+    return bind(bind(as_column(text), segment), document)
+
+
+def split_details(text: Column | str) -> Column:
+    """Struct with the neighbour document and the hardware document of a details text."""
+    return F.struct(details_document(text, "lldp").alias("lldp"), details_document(text, "list").alias("hardware"))
 
 
 def _root(document: str | None) -> ET.Element | None:

@@ -203,3 +203,21 @@ def test_stored_poll_feeds_the_verdict(spark, tmp_path):
     measures = files.measures(spark, str(tmp_path / "measures"))
     row = lookback.lookbacks(measures).first()
     assert (row["login_count"], row["load_avg"], row["mean_power"]) == (1.0, 0.5, None)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_one_split_are_dealt_and_details_stay_off_the_driver(spark, tmp_path):
+    from rackpulse.catalog import tables as t
+
+    rows = [(i, f"Brand#{i % 3}", "STEEL", 1 + i % 49) for i in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    facts = t.part_facts(spark, str(tmp_path))
+    assert "hashpartitioning(p_partkey" in _plan(facts) and facts.count() == 50
+    curated, rejects = inv.curate_machines(t.part_machines(spark, str(tmp_path)), t.hardware_texts(spark, str(tmp_path)))
+    assert "Broadcast" not in _plan(curated) and "Broadcast" not in _plan(rejects)
+    assert curated.count() == 50 and rejects.count() == 0
+    links = inv.neighbour_links(t.hardware_texts(spark, str(tmp_path)))
+    assert links.count() == sum(i % 3 != 0 for i in range(50))
