@@ -3,16 +3,19 @@
 Training points are assigned to the nearest of a few centres. A bound on the
 k-th neighbour's distance, taken from the cells' distances to their centres,
 rules out the cells that cannot hold a closer point (the pivot-based kNN join,
-Lu et al. 2012). Large cells split into blocks on both sides; each pair of
-blocks reports only its k best rows per query, which are then merged.
+Lu et al. 2012). Large cells split into blocks on both sides, each packed into
+one row; pairs of blocks are read where they are joined, and only the k best
+rows of a query leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -23,6 +26,10 @@ from rackpulse.session import materialise
 BLOCK_ROWS = 8192
 MAX_CENTRES = 1024
 CHUNK_CELLS = 4_000_000
+#: Many rows are cut into this many cells at least; more only when blocks would be larger than BLOCK_ROWS.
+LEAST_CELLS = 64
+#: Bytes of vectors that a task of the block join holds of the points' side.
+RIGHT_BYTES = 256 << 20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -86,46 +93,108 @@ def _reachable_cells(centres: np.ndarray, radius: np.ndarray, closest: np.ndarra
     return reachable
 
 
-def _best(gaps: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest distances per row; ties at the edge go to the smaller id."""
-    if gaps.shape[1] <= k:
-        return np.broadcast_to(np.arange(gaps.shape[1]), gaps.shape)
-    best = np.argpartition(gaps, k - 1, axis=1)[:, :k]
-    edge = np.take_along_axis(gaps, best, axis=1).max(axis=1)
-    for i in np.flatnonzero((gaps <= edge[:, None]).sum(axis=1) > k):
-        tied = np.flatnonzero(gaps[i] <= edge[i])
-        best[i] = tied[np.lexsort((ids[tied], gaps[i, tied]))][:k]
-    return best
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+class _Block:
+    """One packed block of queries or points: ids, labels and the matrix of its vectors."""
+
+    def __init__(self, row: pa.RecordBatch, i: int, side: str):
+        flat = lambda name: row.column(name)[i].values
+        self.ids = flat(f"{side}_ids")
+        self.x = _numbers(flat(f"{side}_xs")).reshape(len(self.ids), -1)
+        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+
+
+class _Nearest:
+    """The k best points of each query of a block, merged point block by point block."""
+
+    def __init__(self, number: int, asked: _Block, k: int):
+        self.number, self.asked, self.k = number, asked, k
+        n = len(asked.ids)
+        self.gap, self.tid = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.label = np.full((n, k), np.nan)
+        self.filled = np.zeros(n, dtype=np.int64)
+
+    def add(self, known: _Block, labels: np.ndarray) -> None:
+        tid = known.ids.to_numpy(zero_copy_only=False)
+        step = max(1, CHUNK_CELLS // max(1, len(tid)))
+        for i in range(0, len(self.filled), step):
+            self._add(slice(i, min(i + step, len(self.filled))), known, tid, labels)
+
+    def _add(self, part: slice, known: _Block, tid: np.ndarray, labels: np.ndarray) -> None:
+        x, norms, k = self.asked.x[part], self.asked.norms[part], self.k
+        # Squares by one matrix product, off by rounding only; what they cannot rule out is measured by differences.
+        rough = norms[:, None] + known.norms[None, :] - 2 * (x @ known.x.T)
+        slack = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (norms + known.norms.max())
+        bound = self.gap[part, k - 1] ** 2
+        if len(tid) >= k and (self.filled[part] < k).any():
+            bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+        row, col = np.nonzero(rough <= (bound * (1 + 1e-9) + slack)[:, None])
+        if not len(row):
+            return
+        gaps = np.empty(len(row))
+        for j in range(0, len(row), CHUNK_CELLS // max(1, x.shape[1]) + 1):
+            some = slice(j, j + CHUNK_CELLS // max(1, x.shape[1]) + 1)
+            gap = x[row[some]] - known.x[col[some]]
+            gaps[some] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        held_row, held_col = np.nonzero(np.arange(k)[None, :] < self.filled[part][:, None])
+        rows = np.concatenate([held_row, row])
+        gaps = np.concatenate([self.gap[part][held_row, held_col], gaps])
+        tids = np.concatenate([self.tid[part][held_row, held_col], tid[col]])
+        label = np.concatenate([self.label[part][held_row, held_col], labels[col]])
+        order = np.lexsort((tids, gaps, rows))
+        rows = rows[order]
+        starts = np.searchsorted(rows, np.arange(len(norms)))
+        place = np.arange(len(rows)) - starts[rows]
+        kept = place < k
+        order, rows, place = order[kept], rows[kept], place[kept]
+        self.gap[part][rows, place], self.tid[part][rows, place], self.label[part][rows, place] = gaps[order], tids[order], label[order]
+        self.filled[part] = np.bincount(rows, minlength=len(norms))
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.arange(self.k)[None, :] < self.filled[:, None])
+        return pa.RecordBatch.from_arrays(
+            [self.asked.ids.take(pa.array(row)), pa.array(self.tid[row, col]), pa.array(self.label[row, col], from_pandas=True),
+             pa.array(self.gap[row, col])], ["_qid", "_tid", "_label", "distance"],
+        )
 
 
 def _block_join(k: int):
-    def join(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_qid": [], "_tid": [], "_label": [], "distance": []})
-        if queries.empty or points.empty:
-            return empty
-        tid, label, qid = points["_tid"].to_numpy(), points["_label"].to_numpy(), queries["_qid"].to_numpy()
-        asked, known = _matrix(queries["_x"]), _matrix(points["_x"])
-        step = max(1, CHUNK_CELLS // len(known))
-        parts = []
-        for i in range(0, len(asked), step):
-            gaps = _distances(asked[i:i + step], known)
-            best = _best(gaps, tid, k)
-            parts.append(pd.DataFrame({
-                "_qid": np.repeat(qid[i:i + step], best.shape[1]), "_tid": tid[best].ravel(),
-                "_label": label[best].ravel(), "distance": np.take_along_axis(gaps, best, axis=1).ravel(),
-            }))
-        return pd.concat(parts)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Nearest | None = None  # pairs of one query block follow each other
+        for batch in batches:
+            for i, number in enumerate(batch.column("q_block").to_pylist()):
+                if held is None or held.number != number:
+                    if held is not None:
+                        yield held.rows()
+                    held = _Nearest(number, _Block(batch, i, "q"), k)
+                held.add(_Block(batch, i, "t"), _numbers(batch.column("t_labels")[i].values))
+        if held is not None:
+            yield held.rows()
 
     return join
 
 
+def _packed(df: DataFrame, side: str, keys: list[str], fields: dict[str, str], *more: Column) -> DataFrame:
+    """One row per block: its fields as arrays in the same order, the vectors as one array."""
+    row = F.struct(*[F.col(c) for c in (*fields.values(), "_x")])
+    blocks = df.groupBy(*keys).agg(F.collect_list(row).alias("r"), *more)
+    return blocks.select(
+        *[c for c in blocks.columns if c != "r"],
+        *[F.col(f"r.{c}").alias(f"{side}_{n}") for n, c in fields.items()], F.flatten("r._x").alias(f"{side}_xs"),
+    )
+
+
 def nearest_neighbours(
     train: DataFrame, queries: DataFrame, train_id: str, query_id: str, vector: str, label: str, k: int,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest training rows of each query: query id, training id, label and distance.
 
-    Ids are integers; equal distances are ordered by training id.
+    Ids are integers; equal distances are ordered by training id. ``block_rows`` is the least size of a block: many rows
+    make larger ones, at most BLOCK_ROWS, so that pairs of blocks stay few.
     """
     points = train.select(
         F.col(train_id).cast("bigint").alias("_tid"), F.col(label).cast("double").alias("_label"),
@@ -137,8 +206,9 @@ def nearest_neighbours(
     n_points = points.count()
     if n_points == 0:
         raise ValueError("no training rows")
+    block_rows = max(block_rows, min(BLOCK_ROWS, n_points // LEAST_CELLS))
     centres = _centres(points, min(MAX_CENTRES, max(1, ceil(n_points / block_rows))))
-    # Both assignments are read several times below, so each is computed and written once.
+    # The assignment is read several times below, so it is computed and written once.
     placed = materialise(
         points.withColumn("_a", _nearest_centre(centres)("_x")).select("_tid", "_label", "_x", "_a.*"), "cells"
     )
@@ -151,24 +221,26 @@ def nearest_neighbours(
     for row in near.collect():
         closest[row["cell"], filled[row["cell"]]] = row["gap"]
         filled[row["cell"]] += 1
-    routed = materialise(
-        asked.withColumn("cell", F.explode(_reachable_cells(centres, radius, closest, k)("_x"))), "routes"
-    )
-    loads = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-    def blocks(counts) -> Column:
-        per_cell = F.array(*[F.lit(max(1, ceil(int(counts(c)) / block_rows))) for c in range(len(centres))])
-        return per_cell[F.col("cell")]
 
-    n_point_blocks, n_query_blocks = blocks(lambda c: sizes[c]), blocks(lambda c: loads.get(c, 0))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-    left = routed.withColumn("qb", own("_qid", n_query_blocks)).withColumn("tb", every(n_point_blocks))
-    right = placed.drop("gap").withColumn("tb", own("_tid", n_point_blocks)).withColumn("qb", every(n_query_blocks))
-    key = ["cell", "tb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        _block_join(k), "_qid bigint, _tid bigint, _label double, distance double"
+    per_cell = F.array(*[F.lit(max(1, ceil(int(n) / block_rows))) for n in sizes])
+    right = _packed(
+        placed.withColumn("tb", own("_tid", per_cell[F.col("cell")])), "t", ["cell", "tb"], {"ids": "_tid", "labels": "_label"}
+    ).drop("tb")
+    # Queries of one cell travel in one row with every cell that one of them can reach; no vector is copied for a cell.
+    homed = asked.withColumns({"home": _nearest_centre(centres)("_x")["cell"], "_cells": _reachable_cells(centres, radius, closest, k)("_x")})
+    spread = max(1, ceil(asked.count() / len(centres) / block_rows))
+    reached = F.array_distinct(F.flatten(F.collect_list("_cells"))).alias("cells")
+    left = _packed(homed.withColumn("qb", own("_qid", F.lit(spread))), "q", ["home", "qb"], {"ids": "_qid"}, reached)
+    left = left.select((F.col("home") * spread + F.col("qb")).alias("q_block"), "cells", "q_ids", "q_xs")
+    # Both sides are written, so each pair of their partitions is read where it is joined, and nothing is shuffled for it.
+    right, width = materialise(right, "point-blocks"), 8 * centres.shape[1]
+    left = materialise(left, "query-blocks")
+    cores = placed.sparkSession.sparkContext.defaultParallelism
+    pairs = left.repartition(min(len(centres) * spread, 4 * cores), "q_block").hint("shuffle_replicate_nl").join(
+        right.coalesce(max(1, ceil(n_points * width / RIGHT_BYTES))), F.array_contains("cells", F.col("cell"))
     )
+    found = pairs.drop("cells", "cell").mapInArrow(_block_join(k), "_qid bigint, _tid bigint, _label double, distance double")
     best = top_k(found, ["_qid"], [F.asc("distance"), F.asc("_tid")], k)
     return best.select(
         F.col("_qid").alias("query_id"), F.col("_tid").alias("train_id"), F.col("_label").alias("label"), "distance"

@@ -70,6 +70,15 @@ def test_neighbours_equal_brute_force(spark, dims, block, k):
         assert got[i] == set(np.lexsort((np.arange(300), gaps))[:k].tolist())
 
 
+def test_neighbour_vectors_are_not_copied_for_each_cell(spark):
+    rows = [(i, [float((i * 7919 + j * 104729) % 101) for j in range(16)], float(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>, y double")
+    found = neighbours.nearest_neighbours(df, df, "id", "id", "x", "y", 5, block_rows=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "CoGroup" not in plan
+    assert found.count() == 400 * 5
+
+
 def test_vote_and_mean(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 0.0), (2, 5.0), (2, 3.0)], "query_id bigint, label double")
     assert {r["query_id"]: r["prediction"] for r in neighbours.vote(df).collect()} == {1: 2.0, 2: 3.0}
