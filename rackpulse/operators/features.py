@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rackpulse.functions.status import (
-    all_of, cpu_load_class, load_average_class, not_negative, util_label,
+    all_of, bind, cpu_load_class, load_average_class, not_negative, util_label,
 )
 from rackpulse.operators.ranking import (
     hash_slice, mean_places, rank_in_group, shuffled_order, slice_offsets, value_positions,
@@ -23,6 +24,9 @@ ALWAYS_KEPT = ("power", "cpu_power", "inlet_temp", "util", "load")
 # Fixed value: names of readings that count as fans.
 FAN_NAMES = "(?i)fan"
 
+# Ranks (rows times columns) that one task sorts.
+RANK_ROWS = 1 << 20
+
 LABELS = {"binary": "util", "multi": "load", "reg": "load"}
 CLASSES = {"binary": (0, 1), "multi": (0, 1, 2, 3)}
 
@@ -272,11 +276,14 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     names = [f"c{i}" for i in range(len(columns))]
     long = numbered.unpivot("row", names, "name", "x").withColumn("column", F.substring("name", 2, 9).cast("int")).drop("name")
-    total = numbered.agg(F.count("*")).scalar()
-    ranked = mean_places(long, "column", "x", "row", "mean")
+    total_rows = numbered.count()
+    total = F.lit(total_rows)
+    # Rows that compress well would be gathered into few large tasks; a task gets as many whatever the table's size.
+    tasks = max(1, ceil(total_rows * len(columns) / RANK_ROWS))
+    ranked = mean_places(long, "column", "x", "row", "mean", tasks)
     # Places of a column start where the one before it ends; its mean place is in their middle.
     centred = ranked.withColumn("rank", F.col("mean") - F.col("column") * total - (total - 1) / 2)
-    aligned = centred.groupBy("row").agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
+    aligned = centred.repartition(tasks, "row").groupBy("row").agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     sums = aligned.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_{i}_{j}") for i, j in pairs])
     spread = lambda i: F.sqrt(F.col(f"_{i}_{i}"))
@@ -284,16 +291,28 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.inline(F.array(*cells)))
 
 
+def _no_readings() -> Column:
+    return F.create_map().cast("map<string,double>")
+
+
 def fan_readings(pattern: str = FAN_NAMES) -> Column:
     """Readings of a curated sample whose name speaks of a fan, whatever the case of its letters."""
-    own = F.when(F.col("fan_power").isNotNull(), F.create_map(F.lit("fan_power"), F.col("fan_power"))).otherwise(F.create_map().cast("map<string,double>"))
-    return F.map_filter(F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,double>")), own), lambda k, _: k.rlike(pattern))
+    own = F.when(F.col("fan_power").isNotNull(), F.create_map(F.lit("fan_power"), F.col("fan_power"))).otherwise(_no_readings())
+    return F.map_filter(F.map_concat(F.coalesce("extra", _no_readings()), own), lambda k, _: k.rlike(pattern))
 
 
 def fan_dictionary(samples: DataFrame, pattern: str = FAN_NAMES) -> DataFrame:
-    """Names of all fan readings that occur, coded by name, with the samples that have them. As many rows as sensors have names."""
-    names = samples.select(F.explode(F.map_keys(fan_readings(pattern))).alias("name")).groupBy("name").agg(F.count("*").alias("n_samples"))
-    return names.withColumn("code", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+    """Names of all fan readings that occur, coded by name, with the samples that have them. As many rows as sensors have names.
+
+    The samples are read once, here; the codes are a small written table.
+    """
+    # The names of a sample are counted as one value first: samples share few sets of names, and only those are taken apart.
+    own = F.when(F.col("fan_power").isNotNull(), F.lit("fan_power"))
+    sets = samples.select(F.map_keys(F.coalesce("extra", _no_readings())).alias("keys"), own.alias("own")).groupBy("keys", "own").agg(F.count("*").alias("n"))
+    all_names = F.array_distinct(F.concat("keys", F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast("array<string>"))))
+    names = sets.select("n", F.explode(all_names).alias("name")).where(F.col("name").rlike(pattern)).groupBy("name").agg(F.sum("n").alias("n_samples"))
+    coded = names.withColumn("code", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+    return materialise(coded, "fan-names")
 
 
 def with_fans(samples: DataFrame, dictionary: DataFrame, pattern: str = FAN_NAMES) -> DataFrame:
@@ -302,10 +321,15 @@ def with_fans(samples: DataFrame, dictionary: DataFrame, pattern: str = FAN_NAME
     Nobody names the fans: whatever the dictionary found is taken. Samples with an empty or negative fan reading are dropped.
     """
     codes = dictionary.agg(F.map_from_entries(F.collect_list(F.struct("name", "code")))).scalar()
-    readings = samples.withColumn("_fans", fan_readings(pattern)).withColumn("_codes", codes)
-    good = readings.where(F.forall(F.map_values("_fans"), lambda v: v.isNotNull() & (v >= 0)))
-    coded = F.transform(F.map_entries("_fans"), lambda e: F.struct(F.try_element_at(F.col("_codes"), e["key"]).alias("code"), e["value"].alias("value")))
-    return good.withColumn("fans", F.array_sort(coded)).drop("_fans", "_codes")
+
+    def coded(entries: Column) -> Column:
+        good = F.forall(entries, lambda e: e["value"].isNotNull() & (e["value"] >= 0))
+        fans = F.transform(entries, lambda e: F.struct(F.try_element_at(F.col("_codes"), e["key"]).alias("code"), e["value"].alias("value")))
+        return F.when(good, F.array(F.struct(F.sort_array(fans).alias("fans"))))
+
+    # A generator: a filter on the result would be moved before it and read the maps of every sample twice.
+    coded_rows = F.inline(bind(F.map_entries(fan_readings(pattern)), coded))
+    return samples.withColumn("_codes", codes).select(*samples.columns, coded_rows)
 
 
 @dataclass(frozen=True)

@@ -138,14 +138,14 @@ def exact_medians(
     )
 
 
-def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def placed(df: DataFrame, order: list[str], name: str, ranges: int) -> DataFrame:
     """The rows with their place (from 0) in a global order, and the range they were dealt to (``_part``).
 
     Rows are dealt to ranges by sampled bounds and sorted there; the written table fixes places, and the counts of the ranges, one
     row for each, tell where a range starts. The last column of the order should tell rows apart, so that a value that
-    many rows share is cut into ranges too.
+    many rows share is cut into ranges too. The number of ranges is said, since rows that compress well would be gathered into few.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     kept = materialise(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33))
     starts, total = [], 0
     for part, size in sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect()):
@@ -156,18 +156,19 @@ def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return kept.join(F.broadcast(heads), "_part").withColumn(name, F.col("_start") + inside).drop("_at", "_start")
 
 
-def mean_places(df: DataFrame, group: str, value: str, row: str, name: str) -> DataFrame:
+def mean_places(df: DataFrame, group: str, value: str, row: str, name: str, ranges: int) -> DataFrame:
     """The rows with the mean place of the rows of their group that share their value, in the order of group and value.
 
     Equal values are found inside each range, so no task sees all rows of a frequent value; the few values at the ends of ranges
     may go on in the next one, and a table of them (two for each range) is told to all.
     """
-    ranged = placed(df, [group, value, row], "_place")
+    ranged = placed(df, [group, value, row], "_place", ranges)
     ends = ranged.groupBy("_part").agg(*[f(F.struct("_place", group, value)).alias(n) for n, f in (("low", F.min), ("high", F.max))])
     crossing = ends.select(F.explode(F.array("low", "high")).alias("e")).select(f"e.{group}", f"e.{value}").distinct()
     wide = ranged.join(F.broadcast(crossing), [group, value]).groupBy(group, value).agg(F.min("_place").alias("_low"), F.max("_place").alias("_high"))
     inside = Window.partitionBy("_part", group, value)
-    local = ranged.withColumns({"_first": F.min("_place").over(inside), "_last": F.max("_place").over(inside)})
+    # The runs are dealt to as many tasks, for the same reason.
+    local = ranged.repartition(ranges, "_part", group, value).withColumns({"_first": F.min("_place").over(inside), "_last": F.max("_place").over(inside)})
     both = local.join(F.broadcast(wide), [group, value], "left")
     mean = (F.coalesce("_low", "_first") + F.coalesce("_high", "_last")) / 2
     return both.withColumn(name, mean).drop("_part", "_place", "_first", "_last", "_low", "_high")

@@ -146,3 +146,26 @@ def test_class_counts_of_raw_loads(spark):
 def test_features_with_gaps_are_not_used(spark):
     df = spark.createDataFrame([(1.0, None, None, 1.0), (2.0, 3.0, None, 2.0)], "a double, b double, cpu_power double, load double")
     assert feat.training_facts(df, ["a", "b", "cpu_power"], "load").features == ["a"]
+
+
+def test_ranks_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(feat, "RANK_ROWS", 100)
+    rows = spark.range(300).selectExpr("cast(id % 7 as double) a", "cast(id as double) b", "1.0 c")
+    found = feat.spearman_matrix(rows, ["a", "b", "c"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row" in plan and ", 9)" in plan
+    got = {(r["a"], r["b"]): r["corr"] for r in found.collect()}
+    table = rows.toPandas().corr("spearman")
+    assert abs(got["a", "b"] - table.loc["a", "b"]) < 1e-9 and got["a", "c"] is None
+
+
+def test_fans_are_read_once_for_check_and_value(spark):
+    rows = [("h1", {"Fan1": 10.0, "x": 1.0}, 5.0), ("h2", {"Fan1": -1.0}, None), ("h3", {"FAN2": None}, None), ("h4", None, None), ("h5", {"fan_power": 1.0}, 7.0)]
+    samples = spark.createDataFrame(rows, "host string, extra map<string,double>, fan_power double")
+    names = feat.fan_dictionary(samples)
+    assert {r["name"]: (r["code"], r["n_samples"]) for r in names.collect()} == {"FAN2": (0, 1), "Fan1": (1, 2), "fan_power": (2, 2)}
+    found = feat.with_fans(samples, names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_filter") == 1 and found.columns == ["host", "extra", "fan_power", "fans"]
+    got = {r["host"]: [tuple(f) for f in r["fans"]] for r in found.collect()}
+    assert got == {"h1": [(1, 10.0), (2, 5.0)], "h4": [], "h5": [(2, 7.0)]}
