@@ -163,8 +163,11 @@ def mean_places(df: DataFrame, group: str, value: str, row: str, name: str, rang
     may go on in the next one, and a table of them (two for each range) is told to all.
     """
     ranged = placed(df, [group, value, row], "_place", ranges)
-    ends = ranged.groupBy("_part").agg(*[f(F.struct("_place", group, value)).alias(n) for n, f in (("low", F.min), ("high", F.max))])
-    crossing = ends.select(F.explode(F.array("low", "high")).alias("e")).select(f"e.{group}", f"e.{value}").distinct()
+    # Numbers by their place, not structs: aggregates of structs sort all rows of a task first.
+    edge = lambda by: [by(c, "_place").alias(f"{by.__name__}_{i}") for i, c in enumerate((group, value))]
+    ends = ranged.groupBy("_part").agg(*edge(F.min_by), *edge(F.max_by))
+    either = F.array(*[F.struct(F.col(f"{n}_0").alias(group), F.col(f"{n}_1").alias(value)) for n in ("min_by", "max_by")])
+    crossing = ends.select(F.inline(either)).distinct()
     wide = ranged.join(F.broadcast(crossing), [group, value]).groupBy(group, value).agg(F.min("_place").alias("_low"), F.max("_place").alias("_high"))
     inside = Window.partitionBy("_part", group, value)
     # The runs are dealt to as many tasks, for the same reason.
