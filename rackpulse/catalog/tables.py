@@ -14,6 +14,8 @@ from rackpulse.functions.status import bind
 from rackpulse.sources.dimensions import PRODUCT_TEMPERATURES
 
 PRODUCTS = [*PRODUCT_TEMPERATURES, "Unlisted product"]
+# Machines made by one task; as many have some hundred thousand values and some ten megabytes of details.
+MACHINES_PER_TASK = 20_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -231,11 +233,13 @@ def _times(n: Column, build) -> Column:
 def part_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Hardware figures of one machine per part.
 
-    A part is a few bytes in its file and kilobytes as a machine, so a file that is one split is dealt over tasks first.
+    A part is a few bytes in its file and kilobytes as a machine, so parts are dealt over tasks first: as many as their
+    number asks for, so that what a task holds does not grow with the table.
     """
     size = F.col("p_size")
-    parts = read(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_size").repartition("p_partkey")
-    return parts.select(
+    parts = read(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-parts.count() // MACHINES_PER_TASK))
+    return parts.repartition(tasks, "p_partkey").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("hostname"),
         F.col("p_partkey").alias("position"), F.col("p_brand").alias("system_product"),
         F.concat(F.lit("Vendor"), (size % 3).cast("string")).alias("system_vendor"),

@@ -221,3 +221,15 @@ def test_parts_of_one_split_are_dealt_and_details_stay_off_the_driver(spark, tmp
     assert curated.count() == 50 and rejects.count() == 0
     links = inv.neighbour_links(t.hardware_texts(spark, str(tmp_path)))
     assert links.count() == sum(i % 3 != 0 for i in range(50))
+
+
+def test_tasks_of_parts_follow_their_number(spark, tmp_path, monkeypatch):
+    from rackpulse.catalog import tables as t
+
+    rows = [(i, f"Brand#{i % 3}", "STEEL", 1 + i % 49) for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(t, "MACHINES_PER_TASK", 10)
+    facts = t.part_facts(spark, str(tmp_path))
+    assert ", 20), REPARTITION_BY_NUM" in _plan(facts) and facts.count() == 200
+    counts = inv.part_counts(inv.attribute_values(t.curated_parts(spark, str(tmp_path))))
+    assert counts.where("attribute = 'hostname' AND n = 1").count() == 200
