@@ -31,6 +31,8 @@ from rackpulse.llm.tables import SPACE, free, table, text_of, written
 
 EDITS, MIN_CHARS = 2, 32
 ID_BUCKETS = 1 << 20
+#: Bits of a key that are kept; keys that meet by chance are verified like others.
+KEY_BITS = (1 << 48) - 1
 #: Characters after which an edit distance that has left its band ends.
 PROBED = 16
 NULL_ID = (1 << 63) - 1
@@ -61,7 +63,8 @@ def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     rows = lines.select("id", "line", F.length("line").alias("n"), F.inline(spec)).withColumn("other", F.col("n") - F.col("shorter"))
     rows = rows.withColumn("small", F.expr(f"cast(other div {count} as int)")).withColumn("plain", F.expr(f"{count} - other % {count}"))
     rows = rows.withColumn("at", F.expr("i * small + greatest(0, i - plain) + shift")).withColumn("size", F.expr("small + if(i >= plain, 1, 0)"))
-    return rows.filter("at >= 0 and at + size <= n").select("id", F.expr("xxhash64(other, i, substr(line, at + 1, size))").alias("key"), "indexed")
+    key = F.expr(f"xxhash64(other, i, substr(line, at + 1, size)) & {KEY_BITS}L").alias("key")
+    return rows.filter("at >= 0 and at + size <= n").select("id", key, "indexed")
 
 
 def _common_ends(a: Column, b: Column, edits: int) -> tuple[Column, Column]:
@@ -171,10 +174,9 @@ def _names(line: Column) -> list[Column]:
 
 def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every distinct line with its first place and how often it stands (``k1``, ``k2``, ``line``, ``first``, ``places``)."""
-    rows = exploded(docs, text)
-    return rows.select(*_names(F.col("line")), "line", _place().alias("place")).groupBy("k1", "k2").agg(
-        F.min("place").alias("first"), F.first("line").alias("line"), F.count("*").alias("places")
-    )
+    # Hashes do not compress; they come behind the shuffle.
+    found = exploded(docs, text).select("line", _place().alias("place")).groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("places"))
+    return found.select(*_names(F.col("line")), "line", "first", "places")
 
 
 def _likely(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
@@ -201,14 +203,17 @@ def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars:
 
     ``class_first`` is the first place of the class's first line. Lines that stand once and are like no other are left out.
     """
-    lines = written(distinct_lines(docs, text).withColumn("id", F.monotonically_increasing_id()), "lines")
+    found = distinct_lines(docs, text).select("line", "first", "places").withColumn("id", F.monotonically_increasing_id())
+    lines = written(found, "lines", compression="zstd")
     long_lines = lines.filter(F.length("line") >= min_chars)
-    entries = keys(long_lines, edits)
+    # Number and kind of an entry travel as one number.
+    tagged = keys(long_lines, edits).select("key", (F.shiftleft("id", 1) + F.col("indexed").cast("long")).alias("tag"))
+    id_, indexed = F.shiftright("tag", 1), F.col("tag").bitwiseAND(F.lit(1)) == 1
     bucket = Window.partitionBy("key")
-    entries = entries.withColumn("members", F.count("*").over(bucket)).withColumn("head", F.min(F.when(F.col("indexed"), F.col("id"))).over(bucket))
+    entries = tagged.withColumn("members", F.count("*").over(bucket)).withColumn("head", F.min(F.when(indexed, id_)).over(bucket))
     # Keys without an indexed line, and keys of one line, join nothing.
     entries = entries.filter((F.col("members") > 1) & F.col("head").isNotNull())
-    met = written(entries.select("key", "id", "indexed", "head"), "line-keys")
+    met = written(entries.select("key", id_.alias("id"), indexed.alias("indexed"), "head"), "line-keys")
     known = written(_wanted(lines, met.select("id").distinct()).select("id", "line", letters(F.col("line")).alias("letters")), "met-lines")
     pairs = met.filter(F.col("id") != F.col("head")).select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
     links = _checked(pairs, known, edits)
@@ -228,7 +233,7 @@ def classes(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars:
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
 
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")  # classes of more than one line
-    narrow = lines.select("k1", "k2", "first", "id", "places")
+    narrow = lines.select(*_names(F.col("line")), "first", "id", "places")
     shared = written(_likely(narrow, named).join(named, "id").withColumnRenamed("root", "class"), "shared-lines")
     least = shared.groupBy("class").agg(F.min("first").alias("class_first"))
     alone = narrow.filter(F.col("places") > 1).join(named.select("id"), "id", "left_anti").withColumn("class_first", F.col("first"))

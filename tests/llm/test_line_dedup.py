@@ -135,3 +135,13 @@ def test_equal_rows_are_one(spark):
     rows = [(5, text), (5, text), (6, text.replace("second", "secund")), (None, text), (None, text)]
     kept = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["text"]) for r in kept] == [(5, text), (5, text)]
+
+
+def test_hashes_stay_behind_the_shuffle_of_lines(spark):
+    docs = spark.createDataFrame([(1, "a line of words that is long enough\nother"), (2, "other\n\nother")], "doc_id long, text string")
+    found = line_dedup.distinct_lines(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(line" in plan and "hashpartitioning(k1" not in plan
+    assert {r["line"]: r["places"] for r in found.collect()} == {"a line of words that is long enough": 1, "other": 3}
+    tall = line_dedup.keys(found.withColumn("id", F.monotonically_increasing_id())).where((F.col("key") < 0) | (F.col("key") > line_dedup.KEY_BITS))
+    assert tall.count() == 0
