@@ -11,9 +11,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -21,6 +19,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.models.forest import Forest
 from rackpulse.models.fourier import RandomFourierFeatures
 from rackpulse.operators import neighbours
 from rackpulse.operators.features import TrainingFacts, training_facts
@@ -31,8 +30,8 @@ REGRESSORS = ("lir", "rir", "knnr", "svr_lin", "svr_poly", "svr_rbf")
 
 # Parameters of the methods.
 SEED, TREES, NEIGHBOURS_CLASS, NEIGHBOURS_REG, RIDGE_ALPHA, LOGISTIC_C = 30, 100, 5, 11, 0.1, 1.0
-# Limits of MLlib's trees, the same for one tree and for a forest: deepest node (MLlib allows no more), split points
-# of a numeric feature, and memory for node statistics of one pass.
+# Limits of the trees, the same for one tree and for a forest: deepest node (MLlib allows no more), split points
+# of a numeric feature, and memory for node statistics of one pass of MLlib's tree.
 MAX_TREE_DEPTH, TREE_BINS, TREE_MEMORY_MB = 30, 256, 1024
 
 
@@ -64,12 +63,12 @@ def _stages(ctype: str, method: str, n_features: int, label: str, n_rows: int, l
         return [logistic if ctype == "binary" else OneVsRest(classifier=logistic, labelCol=label, parallelism=4)]
     if method == "nbc":
         return [NaiveBayes(labelCol=label, modelType="gaussian")]
-    # More memory for node statistics means fewer passes per tree level.
-    tree = {"labelCol": label, "seed": SEED, "maxDepth": MAX_TREE_DEPTH, "maxBins": TREE_BINS, "maxMemoryInMB": TREE_MEMORY_MB}
+    tree = {"labelCol": label, "seed": SEED, "maxDepth": MAX_TREE_DEPTH, "maxBins": TREE_BINS}
     if method == "dt":
-        return [DecisionTreeClassifier(**tree)]
+        # More memory for node statistics means fewer passes per tree level.
+        return [DecisionTreeClassifier(**tree, maxMemoryInMB=TREE_MEMORY_MB)]
     if method == "rf":
-        return [RandomForestClassifier(numTrees=TREES, **tree)]
+        return [Forest(numTrees=TREES, **tree)]
     if method == "lir":
         return [LinearRegression(labelCol=label, solver="normal")]
     if method == "rir":
