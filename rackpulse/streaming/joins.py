@@ -7,11 +7,12 @@ can need any more go. So a state holds rows of one reach behind the watermark, a
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,7 +22,8 @@ from rackpulse.operators.series import SECOND, tolerance_join
 OUTPUT = "host string, bmc_t bigint, bmc string, host_t bigint, sample string"
 #: State stores that timers need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ROW = "t bigint, side int, tie bigint, payload string"
+#: Rows (t, side, tie, payload) that lie in a state as one text; storing each on its own costs far more than its rows do.
+_ROWS, _AT_ONCE = "rows string", 4096
 
 
 def closing_ms(t, reach: int):
@@ -29,52 +31,60 @@ def closing_ms(t, reach: int):
     return -(-(t + reach) // 1000)
 
 
+def _packed(rows: list) -> list[tuple[str]]:
+    return [(json.dumps(rows[i : i + _AT_ONCE]),) for i in range(0, len(rows), _AT_ONCE)]
+
+
 class Pairing(StatefulProcessor):
-    """Rows of one host and slice that wait: BMC rows (side 0) for their answer, host rows (side 1) for BMC rows."""
+    """Rows of one host and slice that wait: BMC rows (side 0) for their answer, host rows (side 1) for BMC rows.
+
+    A state has few rows and states are many, so they are handled as plain rows; a frame for each would cost more than they do.
+    """
 
     def __init__(self, reach: int, shift: int):
         self.reach, self.shift = reach, shift
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _ROW)
+        self.held = handle.getListState("held", _ROWS)
         self.due = handle.getValueState("due", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        least = None
-        for batch in rows:
-            self.held.appendList(list(batch[["t", "side", "tie", "payload"]].itertuples(index=False, name=None)))
-            bmc = batch.loc[batch["side"] == 0, "t"]
-            due = closing_ms(int(bmc.min()), self.reach) if len(bmc) else int(batch["t"].max()) // 1000 + 1
-            least = due if least is None else min(least, due)
-        if least is not None:
-            self._wake(least)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = last = None
+        while held := [(r.t, r.side, r.tie, r.payload) for r in islice(rows, _AT_ONCE)]:
+            self.held.appendList(_packed(held))
+            bmc = [t for t, side, _, _ in held if side == 0]
+            if bmc:
+                first = min(bmc) if first is None else min(first, *bmc)
+            last = max(t for t, _, _, _ in held) if last is None else max(last, *(t for t, _, _, _ in held))
+        if last is not None:
+            self._wake(closing_ms(first, self.reach) if first is not None else last // 1000 + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.held.get()), columns=["t", "side", "tie", "payload"]).sort_values(["t", "tie"], kind="stable")
-        bmc, host = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        ready = closing_ms(bmc["t"], self.reach) < passed
-        answered, waiting = bmc[ready], bmc[~ready]
-        times = host["t"].to_numpy(np.int64)
-        at = np.searchsorted(times, answered["t"].to_numpy(np.int64), "right")  # the first host row strictly behind
-        found = at < len(times)
-        found[found] = times[at[found]] < answered["t"].to_numpy(np.int64)[found] + self.reach
-        answered, host_rows = answered[found], host.iloc[at[found]]
+        rows = sorted((r for (text,) in self.held.get() for r in json.loads(text)), key=lambda r: (r[0], r[2] is None, r[2] or 0))
+        host = [r for r in rows if r[1] == 1]
+        times, waiting = [r[0] for r in host], []
+        for row in rows:
+            t, side, _, payload = row
+            if side == 1:
+                continue
+            if closing_ms(t, self.reach) >= passed:
+                waiting.append(row)
+                continue
+            at = bisect_right(times, t)  # the first host row strictly behind
+            if at < len(times) and times[at] < t + self.reach:
+                yield Row(host=key[0], bmc_t=t + self.shift, bmc=payload, host_t=times[at], sample=host[at][3])
         # Rows that come later are not behind the watermark.
-        needed = min(int(waiting["t"].min()) if len(waiting) else passed * 1000, passed * 1000)
-        kept = pd.concat([waiting, host[host["t"] > needed]])
-        self.due.clear()
-        if len(kept):
-            self.held.put(list(kept.itertuples(index=False, name=None)))
-            self._wake(closing_ms(int(waiting["t"].min()), self.reach) if len(waiting) else int(kept["t"].max()) // 1000 + 1)
+        needed = min(waiting[0][0] if waiting else passed * 1000, passed * 1000)
+        behind = host[bisect_right(times, needed):]
+        if waiting or behind:
+            self.held.put(_packed(waiting + behind))
+            self._set(closing_ms(waiting[0][0], self.reach) if waiting else behind[-1][0] // 1000 + 1)
         else:
+            self.due.clear()
             self.held.clear()
-        yield pd.DataFrame({
-            "host": pd.Series([key[0]] * len(answered), dtype=object), "bmc_t": answered["t"].to_numpy(np.int64) + self.shift,
-            "bmc": answered["payload"].to_numpy(object), "host_t": host_rows["t"].to_numpy(np.int64), "sample": host_rows["payload"].to_numpy(object),
-        })
 
     def close(self) -> None:
         pass
@@ -85,8 +95,11 @@ class Pairing(StatefulProcessor):
         if now is None or due < now[0]:
             if now is not None:
                 self.handle.deleteTimer(now[0])
-            self.due.update((due,))
-            self.handle.registerTimer(due)
+            self._set(due)
+
+    def _set(self, due: int) -> None:
+        self.due.update((due,))
+        self.handle.registerTimer(due)
 
 
 def _side(df: DataFrame, number: int, t: Column) -> DataFrame:
@@ -115,7 +128,7 @@ def tolerance_join_stream(
     # A BMC row's place lies behind its own time by the shift.
     delay = lateness_seconds + -(-abs(shift) // SECOND)
     both = left.unionByName(right).withColumn("at", F.timestamp_micros("t")).withWatermark("at", f"{delay} seconds")
-    return both.groupBy("host", "slice").transformWithStateInPandas(Pairing(reach, shift), OUTPUT, "append", "EventTime")
+    return both.groupBy("host", "slice").transformWithState(Pairing(reach, shift), OUTPUT, "append", "EventTime")
 
 
 def open_pairs(bmc: DataFrame, host: DataFrame, watermark_us: int, tolerance_us: int = SECOND, drift_us: int = 0) -> DataFrame:
